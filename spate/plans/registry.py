@@ -116,3 +116,250 @@ SELECT id, term, n FROM bow""",
 )
 def q_bag_of_words(spark, sf_dir):
     return terms.bag_of_words(document_tokens(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Step 3: spam limiting, histograms, counts, selections (events as posts)
+# ---------------------------------------------------------------------------
+
+from spate.operators import dedup, views  # noqa: E402
+
+EVENTS_POSTS_SQL = """posts AS (
+    SELECT event_id AS id, ts AS created_at, user_id, event_type AS loc_name, value FROM events
+)"""
+
+# The selection used by the view queries: a predicate on the location column.
+SELECTED_LOCATION = "click"
+
+
+def _events(spark, sf_dir):
+    return tables.events_as_posts(spark, sf_dir)
+
+
+def _selected_ids(posts):
+    return posts.filter(F.col("loc_name") == SELECTED_LOCATION).select("id")
+
+
+@register(
+    "one_per_user_week",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT id, created_at, user_id, loc_name, value, CAST(date_trunc('week', created_at) AS DATE) + 6 AS week
+FROM posts
+WHERE user_id IS NOT NULL AND created_at IS NOT NULL AND loc_name IS NOT NULL
+QUALIFY row_number() OVER (
+    PARTITION BY user_id, date_trunc('week', created_at), loc_name ORDER BY created_at, id) = 1""",
+)
+def q_one_per_user_week(spark, sf_dir):
+    return dedup.one_per_user_week(_events(spark, sf_dir), loc="loc_name")
+
+
+@register(
+    "one_per_user_week_any_location",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT id, created_at, user_id, loc_name, value, CAST(date_trunc('week', created_at) AS DATE) + 6 AS week
+FROM posts
+WHERE user_id IS NOT NULL AND created_at IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('week', created_at) ORDER BY created_at, id) = 1""",
+)
+def q_one_per_user_week_any(spark, sf_dir):
+    return dedup.one_per_user_week(_events(spark, sf_dir))
+
+
+@register(
+    "user_rollup",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT user_id, first(id ORDER BY created_at, id) AS first_id, count(*) AS n_posts,
+       min(created_at) AS first_time, max(created_at) AS last_time,
+       count(DISTINCT loc_name) AS n_locations
+FROM posts WHERE user_id IS NOT NULL GROUP BY user_id""",
+)
+def q_user_rollup(spark, sf_dir):
+    return dedup.user_rollup(_events(spark, sf_dir))
+
+
+@register(
+    "merge_pages",
+    """SELECT conv_id, turn, role, text FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
+)
+def q_merge_pages(spark, sf_dir):
+    conv = tables.table(spark, sf_dir, "conversations")
+    return dedup.merge_pages(conv, id="conv_id", seq="turn")
+
+
+@register(
+    "value_counts",
+    """SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY event_type""",
+)
+def q_value_counts(spark, sf_dir):
+    return views.value_counts(tables.table(spark, sf_dir, "events"), "event_type")
+
+
+@register(
+    "location_counts",
+    f"""WITH {EVENTS_POSTS_SQL},
+c AS (SELECT loc_name, count(*) AS n FROM posts WHERE loc_name IS NOT NULL GROUP BY loc_name),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, loc_name) AS rank FROM c)
+SELECT loc_name, n, loc_name || ' (' || CAST(n AS VARCHAR) || ')' AS label, rank, rank <= 5 AS is_top FROM r""",
+)
+def q_location_counts(spark, sf_dir):
+    return views.location_counts(_events(spark, sf_dir))
+
+
+HISTOGRAM_SQL = f"""WITH {EVENTS_POSTS_SQL},
+span AS (SELECT floor((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 86400000000) >= 30 AS monthly FROM posts),
+b AS (
+    SELECT CASE WHEN loc_name = '{SELECTED_LOCATION}' THEN 'selected' ELSE 'not_selected' END AS series,
+           CASE WHEN (SELECT monthly FROM span) THEN last_day(CAST(created_at AS DATE)) ELSE CAST(created_at AS DATE) END AS bin
+    FROM posts WHERE created_at IS NOT NULL
+),
+c AS (SELECT series, bin, count(*) AS n FROM b GROUP BY series, bin),
+bounds AS (SELECT series, min(bin) AS lo, max(bin) AS hi FROM c GROUP BY series),
+spine AS (
+    SELECT series, CAST(d AS DATE) AS bin FROM bounds,
+    LATERAL (SELECT unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS d)
+    WHERE NOT (SELECT monthly FROM span)
+    UNION ALL
+    SELECT series, last_day(CAST(d AS DATE)) AS bin FROM bounds,
+    LATERAL (SELECT unnest(generate_series(CAST(date_trunc('month', lo) AS TIMESTAMP), CAST(date_trunc('month', hi) AS TIMESTAMP), INTERVAL 1 MONTH)) AS d)
+    WHERE (SELECT monthly FROM span)
+)
+SELECT s.series, s.bin, coalesce(c.n, 0) AS n FROM spine s LEFT JOIN c USING (series, bin)"""
+
+
+@register("time_histogram", HISTOGRAM_SQL)
+def q_time_histogram(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    return views.time_histogram(posts, _selected_ids(posts))
+
+
+@register(
+    "label_series",
+    f"""WITH {EVENTS_POSTS_SQL},
+s AS (
+    SELECT CAST(date_trunc('week', created_at) AS DATE) + 6 AS bin,
+           sum(CAST(loc_name = 'purchase' AS INTEGER)) AS purchase,
+           sum(CAST(loc_name = 'error' AS INTEGER)) AS error
+    FROM posts WHERE created_at IS NOT NULL GROUP BY 1
+),
+spine AS (SELECT CAST(unnest(generate_series(CAST(min(bin) AS TIMESTAMP), CAST(max(bin) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS bin FROM s)
+SELECT spine.bin, coalesce(purchase, 0) AS purchase, coalesce(error, 0) AS error FROM spine LEFT JOIN s USING (bin)""",
+)
+def q_label_series(spark, sf_dir):
+    posts = _events(spark, sf_dir).select(
+        "created_at",
+        (F.col("loc_name") == "purchase").cast("int").alias("purchase"),
+        (F.col("loc_name") == "error").cast("int").alias("error"),
+    )
+    return views.label_series(posts, ["purchase", "error"], freq="week")
+
+
+@register(
+    "summary",
+    f"""WITH {EVENTS_POSTS_SQL},
+sel AS (SELECT * FROM posts WHERE loc_name = '{SELECTED_LOCATION}')
+SELECT (SELECT count(*) FROM posts) AS total,
+       (SELECT count(*) FROM posts) AS with_location,
+       count(*) AS selected, min(created_at) AS first_time, max(created_at) AS last_time,
+       (SELECT count(DISTINCT loc_name) + coalesce(max(CAST(loc_name IS NULL AS INTEGER)), 0) FROM posts) AS total_locations,
+       count(DISTINCT loc_name) AS selected_locations
+FROM sel""",
+)
+def q_summary(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    sel = posts.filter(F.col("loc_name") == SELECTED_LOCATION)
+    return views.summary(posts, posts, sel)
+
+
+@register(
+    "page",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT id, created_at, user_id, loc_name, round(value, 3) AS value FROM posts
+ORDER BY value DESC NULLS LAST, id LIMIT 20 OFFSET 40""",
+)
+def q_page(spark, sf_dir):
+    return views.page(_events(spark, sf_dir), sort="value", desc=True, page_no=2, size=20)
+
+
+@register(
+    "split_selection",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT * FROM posts WHERE id NOT IN (SELECT id FROM posts WHERE loc_name = '{SELECTED_LOCATION}')""",
+)
+def q_split_selection(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    return views.split_selection(posts, _selected_ids(posts))[1]
+
+
+@register(
+    "flag_selected",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT id, created_at, user_id, loc_name, value, loc_name IS NOT DISTINCT FROM '{SELECTED_LOCATION}' AS selected FROM posts""",
+)
+def q_flag_selected(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    return views.flag_selected(posts, _selected_ids(posts))
+
+
+@register(
+    "intersect_ids",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT DISTINCT id FROM posts WHERE loc_name IN ('click', 'view') AND value > 10 AND user_id < 100""",
+)
+def q_intersect_ids(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    return views.intersect_ids(
+        posts.filter(F.col("loc_name").isin("click", "view")),
+        posts.filter(F.col("value") > 10),
+        posts.filter(F.col("user_id") < 100),
+    )
+
+
+@register(
+    "slice_posts",
+    f"""WITH {EVENTS_POSTS_SQL}
+SELECT * FROM posts WHERE created_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00'
+AND loc_name = 'signup'""",
+)
+def q_slice_posts(spark, sf_dir):
+    return views.slice_posts(
+        _events(spark, sf_dir), "2024-01-03 00:00:00", "2024-01-10 12:00:00", loc_name="signup"
+    )
+
+
+LABELLED_DOCS_SQL = """labelled AS (
+    SELECT d.doc_id AS id, d.text, d.lang, l.quality AS relevant, l.toxic AS mentions_impact
+    FROM documents d JOIN labels l USING (doc_id)
+)"""
+
+
+def labelled_documents(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lab = tables.table(spark, sf_dir, "labels")
+    return docs.join(lab, "doc_id").select(
+        F.col("doc_id").alias("id"), "text", "lang",
+        F.col("quality").alias("relevant"), F.col("toxic").alias("mentions_impact"),
+    )
+
+
+@register(
+    "union_labelled",
+    f"""WITH {LABELLED_DOCS_SQL}
+SELECT id, text, relevant AS label FROM labelled WHERE lang = 'en'
+UNION ALL
+SELECT id, text, relevant AS label FROM labelled WHERE lang <> 'en'""",
+)
+def q_union_labelled(spark, sf_dir):
+    lab = labelled_documents(spark, sf_dir)
+    return views.union_labelled(
+        [lab.filter(F.col("lang") == "en"), lab.filter(F.col("lang") != "en")], "relevant"
+    )
+
+
+@register(
+    "complete_labels",
+    """SELECT * FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL
+AND trim(CAST(quality AS VARCHAR)) <> '' AND trim(CAST(toxic AS VARCHAR)) <> ''""",
+)
+def q_complete_labels(spark, sf_dir):
+    return views.complete_labels(tables.table(spark, sf_dir, "labels"), ["quality", "toxic"])

@@ -22,7 +22,7 @@ def events_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``user_id`` as is, ``event_type`` plays the location name."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
-        F.col("ts").cast("timestamp").alias("created_at"),
+        F.col("ts").alias("created_at"),
         "user_id",
         F.col("event_type").alias("loc_name"),
         "value",
