@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spate.functions import text as tx
-from spate.operators.groups import first_per_group
+from spate.operators.groups import first_per_group, with_computed
 
 
 def drop_reposts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -47,7 +47,8 @@ def clean_posts(
     out = out.withColumn(
         "text_translated", F.col(translated) if translated else F.col(text)
     )
-    out = out.withColumn(
+    out = with_computed(
+        out,
         text,
         tx.clean_text(
             F.col("text_translated"),

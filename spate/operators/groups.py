@@ -113,3 +113,15 @@ def lookup_join(
     f = fact.withColumn("__salt", salt.cast("int"))
     d = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return f.join(d, [on, "__salt"], how).drop("__salt")
+
+
+def with_computed(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add column ``name`` = ``expr``, evaluated exactly once per row.
+
+    Predicate pushdown substitutes a projected alias into every filter above
+    it, so a filter on an expensive expression (a whole-text cleaning) would
+    evaluate it once per reference.  A one-element ``explode`` is a Generate
+    node, which filters are not pushed through, so the value is computed once.
+    """
+    cols = [F.col(c) for c in df.columns if c != name]
+    return df.select(*cols, F.explode(F.array(expr)).alias(name))

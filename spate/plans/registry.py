@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spate.functions import text as tx
 from spate.operators import clean, terms
 from spate.plans import tables
+from spate.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,8 +55,13 @@ def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_posts(posts, order="id").select("id", "lang", "text")
 
 
-def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned_documents(spark, sf_dir).select("id", "lang", tx.tokens("text").alias("tokens"))
+def document_tokens(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
+    """Tokens of the cleaned documents.  ``reuse=True`` when a query reads the
+    corpus in several branches (fit and apply, counts): the cleaned corpus is
+    then written once to the checkpoint folder instead of being re-cleaned per
+    branch."""
+    toks = cleaned_documents(spark, sf_dir).select("id", "lang", tx.tokens("text").alias("tokens"))
+    return cut_lineage(toks) if reuse else toks
 
 
 # ---------------------------------------------------------------------------
@@ -92,7 +98,7 @@ wt AS (SELECT term, w / nrm AS weight FROM sel JOIN norm USING (id) WHERE abs(w
 SELECT term, round(avg(weight), 5) AS mean, count(*) AS count FROM wt GROUP BY term""",
 )
 def q_top_terms(spark, sf_dir):
-    docs = document_tokens(spark, sf_dir)
+    docs = document_tokens(spark, sf_dir, reuse=True)
     selection = docs.filter(F.col("lang") == "en")
     return terms.top_terms(selection, all_docs=docs)
 
@@ -105,7 +111,7 @@ norm AS (SELECT id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY id)
 SELECT id, term, round(w / nrm, 5) AS weight FROM w JOIN norm USING (id) WHERE abs(w / nrm) > 1e-12""",
 )
 def q_tfidf(spark, sf_dir):
-    docs = document_tokens(spark, sf_dir)
+    docs = document_tokens(spark, sf_dir, reuse=True)
     return terms.tfidf(docs).select("id", "term", F.round("weight", 5).alias("weight"))
 
 
