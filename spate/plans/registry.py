@@ -369,3 +369,310 @@ AND trim(CAST(quality AS VARCHAR)) <> '' AND trim(CAST(toxic AS VARCHAR)) <> ''"
 )
 def q_complete_labels(spark, sf_dir):
     return views.complete_labels(tables.table(spark, sf_dir, "labels"), ["quality", "toxic"])
+
+
+# ---------------------------------------------------------------------------
+# Step 4: metrics, balancing, splits (labels ⋈ documents)
+# ---------------------------------------------------------------------------
+
+from spate.operators import classify  # noqa: E402
+
+# A rule predictor used to exercise the metric operators against SQL: long
+# documents are "predicted" relevant.
+RULE_MIN_CHARS = 2000
+
+
+@register(
+    "binary_metrics",
+    f"""WITH p AS (
+    SELECT l.quality AS label, CAST(d.n_chars >= {RULE_MIN_CHARS} AS INTEGER) AS predicted_label
+    FROM documents d JOIN labels l USING (doc_id)
+), c AS (
+    SELECT count_if(label = 1 AND predicted_label = 1) AS tp, count_if(label = 0 AND predicted_label = 0) AS tn,
+           count_if(label = 0 AND predicted_label = 1) AS fp, count_if(label = 1 AND predicted_label = 0) AS fn FROM p
+)
+SELECT tp, tn, fp, fn,
+       (tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0) AS accuracy,
+       tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS precision,
+       tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS recall,
+       tp / nullif(tp + 0.5 * (fp + fn), 0) AS f1
+FROM c""",
+)
+def q_binary_metrics(spark, sf_dir):
+    return classify.binary_metrics(_rule_predictions(spark, sf_dir))
+
+
+def _rule_predictions(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = tables.table(spark, sf_dir, "labels")
+    return docs.join(lab, "doc_id").select(
+        F.col("quality").alias("label"), (F.col("n_chars") >= RULE_MIN_CHARS).cast("int").alias("predicted_label")
+    )
+
+
+@register(
+    "confusion",
+    f"""WITH p AS (
+    SELECT l.quality AS actual, CAST(d.n_chars >= {RULE_MIN_CHARS} AS INTEGER) AS predicted
+    FROM documents d JOIN labels l USING (doc_id)
+), g AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS g(actual, predicted))
+SELECT g.actual, g.predicted, count(p.actual) AS n FROM g LEFT JOIN p USING (actual, predicted) GROUP BY g.actual, g.predicted""",
+)
+def q_confusion(spark, sf_dir):
+    return classify.confusion(_rule_predictions(spark, sf_dir))
+
+
+SEED = 7
+KEY_SQL = f"((id % {classify.ORDER_MODULUS}) * {classify.ORDER_MULTIPLIER} + {SEED}) % {classify.ORDER_MODULUS}"
+
+
+@register(
+    "undersample",
+    f"""WITH {LABELLED_DOCS_SQL},
+r AS (SELECT id, text, relevant AS label, row_number() OVER (PARTITION BY relevant ORDER BY {KEY_SQL}, id) AS rk FROM labelled),
+m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labelled GROUP BY relevant))
+SELECT id, text, label FROM r WHERE rk <= (SELECT m FROM m)""",
+)
+def q_undersample(spark, sf_dir):
+    lab = labelled_documents(spark, sf_dir).select("id", "text", F.col("relevant").alias("label"))
+    return classify.undersample(lab, "label", seed=SEED)
+
+
+@register(
+    "split",
+    f"""WITH {LABELLED_DOCS_SQL},
+r AS (SELECT id, relevant AS label, row_number() OVER (ORDER BY {KEY_SQL}, id) AS rk FROM labelled),
+n AS (SELECT count(*) AS n FROM labelled),
+t AS (SELECT ceil(n * 0.1) AS held, ceil(ceil(n * 0.1) * 0.5) AS test FROM n)
+SELECT id, label, CASE WHEN rk <= (SELECT test FROM t) THEN 'test' WHEN rk <= (SELECT held FROM t) THEN 'valid' ELSE 'train' END AS split
+FROM r""",
+)
+def q_split(spark, sf_dir):
+    lab = labelled_documents(spark, sf_dir).select("id", F.col("relevant").alias("label"))
+    return classify.split(lab, seed=SEED)
+
+
+# ---------------------------------------------------------------------------
+# Step 5: places — toponyms, smallest location, clusters, regions
+# ---------------------------------------------------------------------------
+
+from spate.operators import geo  # noqa: E402
+from spate.sources import gazetteer as gz  # noqa: E402
+from spate.sources import regions as rg  # noqa: E402
+
+_N_NAMES = len(gz.SAMPLE_MENTIONS)
+_NAMES_SQL = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in gz.SAMPLE_MENTIONS) + "]"
+
+# Every event mentions one to three place names chosen by integer arithmetic on
+# its id, and sits at a coordinate derived the same way — identical in Spark
+# and in SQL, and growing with the events table.
+EVENT_TOPONYMS_SQL = f"""toponyms AS (
+    SELECT event_id AS id, 0 AS pos, {_NAMES_SQL}[(event_id % {_N_NAMES}) + 1] AS word FROM events
+    UNION ALL
+    SELECT event_id, 1, {_NAMES_SQL}[((event_id * 7 + 3) % {_N_NAMES}) + 1] FROM events WHERE event_id % 3 <> 0
+    UNION ALL
+    SELECT event_id, 2, {_NAMES_SQL}[((event_id * 11 + 5) % {_N_NAMES}) + 1] FROM events WHERE event_id % 4 = 0
+),
+gaz AS (SELECT * FROM {gz.gazetteer_values_sql()}),
+best AS (
+    SELECT lower(name) AS key, place_id, display_name, boundingbox, lat, lon, importance, class, type FROM gaz
+    WHERE upper(country_code) = 'SE'
+    QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY importance DESC, place_id) = 1
+),
+resolved AS (SELECT t.id, t.pos, t.word, b.* EXCLUDE (key) FROM toponyms t LEFT JOIN best b ON lower(t.word) = b.key)"""
+
+
+def event_toponyms(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events").select("event_id")
+    names = F.array(*[F.lit(n) for n in gz.SAMPLE_MENTIONS])
+    eid = F.col("event_id")
+
+    def pick(expr):
+        return F.element_at(names, (expr % _N_NAMES + 1).cast("int"))
+
+    mentions = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("pos"), pick(eid).alias("word")),
+            F.when(eid % 3 != 0, F.struct(F.lit(1).alias("pos"), pick(eid * 7 + 3).alias("word"))),
+            F.when(eid % 4 == 0, F.struct(F.lit(2).alias("pos"), pick(eid * 11 + 5).alias("word"))),
+        ),
+        lambda m: m.isNotNull(),
+    )
+    return ev.select(eid.alias("id"), F.explode(mentions).alias("m")).select("id", "m.pos", "m.word")
+
+
+def resolved_event_toponyms(spark, sf_dir):
+    return geo.resolve_toponyms(event_toponyms(spark, sf_dir), gz.sample_gazetteer(spark), country="SE")
+
+
+@register(
+    "resolve_toponyms",
+    f"""WITH {EVENT_TOPONYMS_SQL}
+SELECT id, pos, word, place_id, display_name FROM resolved""",
+)
+def q_resolve_toponyms(spark, sf_dir):
+    r = resolved_event_toponyms(spark, sf_dir)
+    return r.select("id", "pos", "word", F.col("loc.place_id").alias("place_id"), F.col("loc.display_name").alias("display_name"))
+
+
+SMALLEST_SQL = f"""WITH {EVENT_TOPONYMS_SQL},
+cand AS (
+    SELECT *, abs(CAST(boundingbox[1] AS DOUBLE) - CAST(boundingbox[2] AS DOUBLE))
+            + abs(CAST(boundingbox[3] AS DOUBLE) - CAST(boundingbox[4] AS DOUBLE)) AS size
+    FROM resolved
+    WHERE place_id IS NOT NULL
+      AND NOT list_contains(list_transform(string_split(display_name, ','), lambda p: trim(p)), 'Lan')
+      AND trim(string_split(display_name, ',')[1]) <> 'Sweden'
+),
+pick AS (
+    SELECT * FROM cand WHERE size < 999
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY size, pos) = 1
+)"""
+
+
+@register(
+    "smallest_location",
+    f"""{SMALLEST_SQL}
+SELECT id, place_id, class, importance, type, display_name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon,
+       string_split(display_name, ',')[1] AS loc_name
+FROM pick""",
+)
+def q_smallest_location(spark, sf_dir):
+    best = geo.smallest_location(resolved_event_toponyms(spark, sf_dir))
+    flat = geo.flatten_location(best.withColumn("place_id", F.col("loc.place_id")))
+    return flat.drop("boundingbox")
+
+
+@register(
+    "country_mentions",
+    f"""WITH {EVENT_TOPONYMS_SQL}
+SELECT count(*) AS country_mentions FROM resolved
+WHERE place_id IS NOT NULL
+  AND NOT list_contains(list_transform(string_split(display_name, ','), lambda p: trim(p)), 'Lan')
+  AND trim(string_split(display_name, ',')[1]) = 'Sweden'""",
+)
+def q_country_mentions(spark, sf_dir):
+    return geo.country_mentions(resolved_event_toponyms(spark, sf_dir))
+
+
+@register(
+    "has_location",
+    f"""WITH {EVENT_TOPONYMS_SQL}
+SELECT id, bool_or(place_id IS NOT NULL) AS has_location FROM resolved GROUP BY id""",
+)
+def q_has_location(spark, sf_dir):
+    return geo.has_location(resolved_event_toponyms(spark, sf_dir))
+
+
+@register(
+    "error_slices",
+    f"""WITH {EVENT_TOPONYMS_SQL},
+h AS (SELECT id, bool_or(place_id IS NOT NULL) AS has_location FROM resolved GROUP BY id),
+a AS (SELECT h.id, h.has_location, CAST(e.value >= 25 AS INTEGER) AS mentions_location FROM h JOIN events e ON e.event_id = h.id)
+SELECT id, has_location, mentions_location,
+       CASE WHEN mentions_location = 1 AND has_location THEN 'blue' WHEN mentions_location = 0 AND has_location THEN 'red' END AS outcome,
+       CASE WHEN mentions_location = 1 AND has_location THEN 'TP' WHEN mentions_location <> 1 AND NOT has_location THEN 'TN'
+            WHEN mentions_location <> 1 AND has_location THEN 'FP' ELSE 'FN' END AS slice
+FROM a""",
+)
+def q_error_slices(spark, sf_dir):
+    h = geo.has_location(resolved_event_toponyms(spark, sf_dir))
+    ev = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("value") >= 25).cast("int").alias("mentions_location"))
+    return classify.error_slices(classify.outcome(h.join(ev, "id")))
+
+
+POINTS_SQL = """points AS (
+    SELECT event_id AS id, event_type AS loc_name,
+           11 + ((event_id * 7) % 1300) / 100.0 AS lon, 55 + ((event_id * 13) % 1400) / 100.0 AS lat
+    FROM events
+)"""
+
+
+def event_points(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("loc_name"),
+        (F.lit(11) + (F.col("event_id") * 7 % 1300) / F.lit(100.0)).alias("lon"),
+        (F.lit(55) + (F.col("event_id") * 13 % 1400) / F.lit(100.0)).alias("lat"),
+    )
+
+
+@register(
+    "coordinate_rollup",
+    f"""WITH {POINTS_SQL}
+SELECT lon, lat, count(*) AS n, min(id) AS first_id, arg_min(loc_name, id) AS loc_name FROM points GROUP BY lon, lat""",
+)
+def q_coordinate_rollup(spark, sf_dir):
+    return geo.coordinate_rollup(event_points(spark, sf_dir))
+
+
+CLUSTER_ZOOM = 5
+
+
+@register(
+    "grid_clusters",
+    f"""WITH {POINTS_SQL},
+px AS (
+    SELECT id, lon, lat,
+           floor((lon + 180.0) / 360.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS cx,
+           floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS cy
+    FROM points
+)
+SELECT cx, cy, count(*) AS n, avg(lon) AS lon, avg(lat) AS lat, min(id) AS first_id FROM px GROUP BY cx, cy""",
+)
+def q_grid_clusters(spark, sf_dir):
+    return geo.grid_clusters(event_points(spark, sf_dir), zoom=CLUSTER_ZOOM)
+
+
+@register(
+    "nearest",
+    f"""WITH {POINTS_SQL}
+SELECT id, loc_name, lon, lat, (lon - 15.0) * (lon - 15.0) + (lat - 60.0) * (lat - 60.0) AS distance
+FROM points ORDER BY distance, id LIMIT 25""",
+)
+def q_nearest(spark, sf_dir):
+    return views.nearest(event_points(spark, sf_dir), 15.0, 60.0, 25)
+
+
+@register(
+    "at_point",
+    f"""WITH {POINTS_SQL}
+SELECT * FROM points WHERE lon = 18.0 AND lat = 60.0""",
+)
+def q_at_point(spark, sf_dir):
+    return views.at_point(event_points(spark, sf_dir), 18.0, 60.0)
+
+
+PIP_SQL = f"""WITH {POINTS_SQL},
+regions AS (SELECT * FROM {rg.regions_values_sql()}),
+tested AS (
+    SELECT p.*, r.level AS region_level, r.name AS region_name,
+        list_sum(list_transform(r.rings, lambda ring: list_sum(list_transform(range(1, len(ring)), lambda i:
+            CASE WHEN (ring[i].y > p.lat) <> (ring[i + 1].y > p.lat) THEN
+                CASE WHEN p.lon < (ring[i + 1].x - ring[i].x) * (p.lat - ring[i].y) / (ring[i + 1].y - ring[i].y) + ring[i].x THEN 1 ELSE 0 END
+            ELSE 0 END)))) AS crossings,
+        list_bool_or(list_transform(r.rings, lambda ring: list_bool_or(list_transform(range(1, len(ring)), lambda i:
+            (ring[i + 1].x - ring[i].x) * (p.lat - ring[i].y) - (ring[i + 1].y - ring[i].y) * (p.lon - ring[i].x) = 0
+            AND p.lon BETWEEN least(ring[i].x, ring[i + 1].x) AND greatest(ring[i].x, ring[i + 1].x)
+            AND p.lat BETWEEN least(ring[i].y, ring[i + 1].y) AND greatest(ring[i].y, ring[i + 1].y))))) AS on_edge
+    FROM points p CROSS JOIN regions r
+)"""
+
+
+@register(
+    "points_in_regions",
+    f"""{PIP_SQL}
+SELECT DISTINCT id, loc_name, lon, lat, region_level, region_name FROM tested WHERE on_edge OR crossings % 2 = 1""",
+)
+def q_points_in_regions(spark, sf_dir):
+    return geo.points_in_regions(event_points(spark, sf_dir), rg.sample_regions(spark))
+
+
+@register(
+    "filter_region",
+    f"""{PIP_SQL}
+SELECT DISTINCT id, loc_name, lon, lat FROM tested WHERE region_name = 'North' AND (on_edge OR crossings % 2 = 1)""",
+)
+def q_filter_region(spark, sf_dir):
+    return geo.filter_region(event_points(spark, sf_dir), rg.sample_regions(spark), "North")
