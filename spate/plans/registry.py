@@ -676,3 +676,76 @@ SELECT DISTINCT id, loc_name, lon, lat FROM tested WHERE region_name = 'North' A
 )
 def q_filter_region(spark, sf_dir):
     return geo.filter_region(event_points(spark, sf_dir), rg.sample_regions(spark), "North")
+
+
+# ---------------------------------------------------------------------------
+# Step 6: near duplicates, vocabulary, phrases
+# ---------------------------------------------------------------------------
+
+from spate.operators import similarity  # noqa: E402
+
+
+def _near_dup_sql(thr: float) -> str:
+    return f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT j.vec_id, j.label FROM e j
+WHERE NOT EXISTS (
+    SELECT 1 FROM e i
+    WHERE i.vec_id < j.vec_id
+      AND list_dot_product(i.v, j.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(j.v, j.v))) > {thr}
+)"""
+
+
+def _near_dup(spark, sf_dir, thr):
+    emb = tables.table(spark, sf_dir, "embeddings")
+    kept = similarity.drop_near_duplicates(emb, vec="embedding", order="vec_id", id="vec_id", thr=thr)
+    return kept.select("vec_id", "label")
+
+
+@register("drop_near_duplicates", _near_dup_sql(0.8))
+def q_drop_near_duplicates(spark, sf_dir):
+    return _near_dup(spark, sf_dir, 0.8)
+
+
+@register("drop_near_duplicates_thr04", _near_dup_sql(0.4))
+def q_drop_near_duplicates_04(spark, sf_dir):
+    return _near_dup(spark, sf_dir, 0.4)
+
+
+@register(
+    "vocabulary",
+    f"""WITH {TOKENS_SQL}
+SELECT term, count(*) AS df FROM bow GROUP BY term
+HAVING count(*) >= least(20, 0.05 * (SELECT n FROM ndocs)) AND count(*) <= 0.75 * (SELECT n FROM ndocs)""",
+)
+def q_vocabulary(spark, sf_dir):
+    return terms.vocabulary(document_tokens(spark, sf_dir, reuse=True))
+
+
+@register(
+    "tfidf_smooth",
+    f"""WITH t AS (
+    SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '{terms.SMOOTH_TOKEN_PATTERN}')) AS term FROM documents
+),
+bow AS (SELECT id, term, count(*) AS n FROM t GROUP BY id, term),
+nd AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((1 + (SELECT n FROM nd)) / (1 + count(*))) + 1 AS idf FROM bow GROUP BY term),
+w AS (SELECT id, term, n * idf AS w FROM bow JOIN idf USING (term)),
+nrm AS (SELECT id, sqrt(sum(w * w)) AS s FROM w GROUP BY id)
+SELECT id, term, round(w / s, 5) AS weight FROM w JOIN nrm USING (id)""",
+)
+def q_tfidf_smooth(spark, sf_dir):
+    docs = tables.spread(tables.table(spark, sf_dir, "documents"))
+    w = terms.tfidf_smooth(docs, id="doc_id", text="text")
+    return w.select("id", "term", F.round("weight", 5).alias("weight"))
+
+
+@register(
+    "hashtags",
+    """SELECT doc_id AS id,
+       array_to_string(list_filter(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'),
+                       lambda w: w <> '' AND starts_with(w, '#')), ', ') AS hashtags
+FROM documents""",
+)
+def q_hashtags(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), tx.hashtags("text").alias("hashtags"))
