@@ -749,3 +749,67 @@ FROM documents""",
 def q_hashtags(spark, sf_dir):
     docs = tables.table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("id"), tx.hashtags("text").alias("hashtags"))
+
+
+from spate.operators import phrases  # noqa: E402
+
+TOKEN_LISTS_SQL = f"""{CLEAN_DOCS_SQL},
+tl AS (SELECT id, string_split(text, ' ') AS t FROM cleaned),
+uni AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM tl) GROUP BY w),
+pairs AS (
+    SELECT id, pos, t[pos + 1] AS a, t[pos + 2] AS b
+    FROM (SELECT id, t, unnest(range(0, len(t) - 1)) AS pos FROM tl)
+),
+pc AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b),
+ph AS (
+    SELECT a, b, pc.n,
+           (pc.n - {phrases.BIGRAM_MIN_COUNT}) / ua.c / ub.c * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM pc)) AS score
+    FROM pc JOIN uni ua ON ua.w = pc.a JOIN uni ub ON ub.w = pc.b
+),
+phr AS (SELECT * FROM ph WHERE score > {phrases.BIGRAM_THRESHOLD})"""
+
+
+@register(
+    "bigram_phrases",
+    f"""WITH {TOKEN_LISTS_SQL}
+SELECT a, b, n, round(score, 5) AS score FROM phr""",
+)
+def q_bigram_phrases(spark, sf_dir):
+    ph = phrases.bigram_phrases(document_tokens(spark, sf_dir, reuse=True))
+    return ph.select("a", "b", "n", F.round("score", 5).alias("score"))
+
+
+@register(
+    "bigram_tokens",
+    f"""WITH {TOKEN_LISTS_SQL},
+hits AS (SELECT p.id, p.pos, p.a, p.b FROM pairs p SEMI JOIN phr USING (a, b)),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM hits),
+offs AS (SELECT *, pos - min(pos) OVER (PARTITION BY id, run) AS off FROM runs)
+SELECT id, pos, a || '_' || b AS token FROM offs WHERE off % 2 = 0""",
+)
+def q_bigram_tokens(spark, sf_dir):
+    docs = document_tokens(spark, sf_dir, reuse=True)
+    return phrases.bigram_positions(docs, phrases.bigram_phrases(docs))
+
+
+@register(
+    "ngram_vocabulary",
+    f"""WITH {CLEAN_DOCS_SQL},
+tl AS (SELECT id, string_split(text, ' ') AS t FROM cleaned),
+g AS (SELECT array_to_string(t[i:i + 4], ' ') AS ngram FROM (SELECT t, unnest(range(1, len(t) - 3)) AS i FROM tl))
+SELECT ngram, count(*) AS count FROM g GROUP BY ngram""",
+)
+def q_ngram_vocabulary(spark, sf_dir):
+    return phrases.ngram_vocabulary(document_tokens(spark, sf_dir), n=5)
+
+
+@register("prepare_docs")
+def q_prepare_docs(spark, sf_dir):
+    posts = cleaned_documents(spark, sf_dir).withColumn("text_raw", F.col("text"))
+    docs = phrases.prepare_docs(cut_lineage(posts), language="english")
+    return docs.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("doc"))
+
+
+@register("rake")
+def q_rake(spark, sf_dir):
+    return phrases.rake(tables.documents_as_posts(spark, sf_dir), n=10)
