@@ -813,3 +813,78 @@ def q_prepare_docs(spark, sf_dir):
 @register("rake")
 def q_rake(spark, sf_dir):
     return phrases.rake(tables.documents_as_posts(spark, sf_dir), n=10)
+
+
+# ---------------------------------------------------------------------------
+# Step 7: models — classifier, topics, clustering, layout (rows-only checks)
+# ---------------------------------------------------------------------------
+
+from spate.operators import cluster, topics  # noqa: E402
+
+
+@register("dbscan")
+def q_dbscan(spark, sf_dir):
+    docs = cut_lineage(cleaned_documents(spark, sf_dir))
+    w = terms.tfidf_smooth(docs, id="id", text="text")
+    return cluster.dbscan(w, docs.select("id"), eps=1.2, min_samples=2)
+
+
+@register("kmeans")
+def q_kmeans(spark, sf_dir):
+    from pyspark.ml.functions import array_to_vector
+
+    emb = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector("embedding").alias("features"))
+    _, out = cluster.kmeans(emb, k=5, seed=1)
+    return out.select("vec_id", "label", "cluster")
+
+
+@register("project_2d")
+def q_project_2d(spark, sf_dir):
+    docs = document_tokens(spark, sf_dir, reuse=True)
+    _, feats = cluster.tfidf_features(docs)
+    return cluster.project_2d(feats).select("id", "x", "y")
+
+
+LDA_TOPICS = 2
+
+
+@register("topic_terms")
+def q_topic_terms(spark, sf_dir):
+    docs = document_tokens(spark, sf_dir, reuse=True)
+    fitted = topics.lda(docs, k=LDA_TOPICS, seed=1)
+    model, cv, _ = fitted
+    return topics.topic_terms(topics.term_topic_weights(model, cv, docs), LDA_TOPICS)
+
+
+@register("lsi")
+def q_lsi(spark, sf_dir):
+    return topics.lsi(document_tokens(spark, sf_dir, reuse=True), k=2)
+
+
+def _labelled_tokens(spark, sf_dir):
+    lab = labelled_documents(spark, sf_dir)
+    clean_lab = clean.clean_posts(lab, order="id", dedup=False)
+    return clean_lab.select("id", "relevant", "mentions_impact", tx.tokens("text").alias("tokens"))
+
+
+@register("classifier_metrics")
+def q_classifier_metrics(spark, sf_dir):
+    data = cut_lineage(classify.split(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"), seed=SEED))
+    model = classify.train(data.filter(F.col("split") == "train"), label="label")
+    scored = classify.predict(data.filter(F.col("split") != "train"), model)
+    return classify.binary_metrics(scored)
+
+
+@register("predict_relevance")
+def q_predict_relevance(spark, sf_dir):
+    data = cut_lineage(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"))
+    model = classify.train(data, label="label")
+    scored = classify.predict(data, model)
+    return classify.with_loss(scored).select("id", "label", "softmax", "predicted_label", "loss")
+
+
+@register("hardest_positives")
+def q_hardest_positives(spark, sf_dir):
+    data = cut_lineage(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"))
+    scored = classify.with_loss(classify.predict(data, classify.train(data, label="label")))
+    return views.hardest(scored, score="loss", n=100).select("id", "label", "loss")
