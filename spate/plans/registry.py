@@ -888,3 +888,110 @@ def q_hardest_positives(spark, sf_dir):
     data = cut_lineage(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"))
     scored = classify.with_loss(classify.predict(data, classify.train(data, label="label")))
     return views.hardest(scored, score="loss", n=100).select("id", "label", "loss")
+
+
+# ---------------------------------------------------------------------------
+# Step 8-9: sources/joins on driver tables, streaming twins
+# ---------------------------------------------------------------------------
+
+from spate.sources import posts as src  # noqa: E402
+
+# orders as posts, customer as users, nation as places.  The place id of an
+# order is derived from its key: every 7th order has no place (geo kept), and
+# ids 25 and 26 name no nation (such posts are rejected).
+PLACE_ID_SQL = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 27 AS INTEGER) END"
+
+ASSEMBLE_SQL = f"""WITH p AS (
+    SELECT o_orderkey AS id, o_orderpriority AS text, o_custkey AS author_id, {PLACE_ID_SQL} AS place_id FROM orders
+)
+SELECT p.id, p.text, c.c_custkey AS user_id, c.c_name AS user_username, c.c_mktsegment AS user_name,
+       n.n_name AS place_name, CAST(NULL AS INTEGER) AS geo_place_id
+FROM p JOIN customer c ON c.c_custkey = p.author_id
+LEFT JOIN nation n ON n.n_nationkey = p.place_id
+WHERE p.place_id IS NULL OR n.n_nationkey IS NOT NULL"""
+
+
+def _assembled(spark, sf_dir):
+    orders = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_custkey").alias("author_id"),
+        F.struct(
+            F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 27).cast("int")).alias("place_id")
+        ).alias("geo"),
+    )
+    users = tables.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("name")
+    )
+    places = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return src.assemble_posts(orders, users, places)
+
+
+@register("assemble_posts", ASSEMBLE_SQL)
+def q_assemble_posts(spark, sf_dir):
+    out, _ = _assembled(spark, sf_dir)
+    return src.flatten_user(out).select(
+        "id", "text", "user_id", "user_username", "user_name",
+        F.col("place.name").alias("place_name"), F.col("geo.place_id").alias("geo_place_id"),
+    )
+
+
+@register(
+    "assemble_rejects",
+    f"""WITH p AS (SELECT o_orderkey AS id, o_custkey, {PLACE_ID_SQL} AS place_id FROM orders)
+SELECT id, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'missing user' ELSE 'missing place' END AS reason
+FROM p WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+   OR (place_id IS NOT NULL AND place_id NOT IN (SELECT n_nationkey FROM nation))""",
+)
+def q_assemble_rejects(spark, sf_dir):
+    return _assembled(spark, sf_dir)[1]
+
+
+@register(
+    "attach_labels",
+    """SELECT d.doc_id AS id, d.text, d.lang, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)""",
+)
+def q_attach_labels(spark, sf_dir):
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    lab = tables.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    return src.attach_labels(docs, lab)
+
+
+from spate.streaming import posts as stream  # noqa: E402
+
+EVENTS_STREAM_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _event_stream(spark, sf_dir):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return stream.read_stream_table(spark, sf_dir, "events.parquet", _parse_datatype_string(EVENTS_STREAM_SCHEMA))
+
+
+def _stream_name(prefix, sf_dir):
+    import uuid
+
+    return f"{prefix}-{uuid.uuid4().hex}"
+
+
+@register(
+    "stream_daily_counts",
+    """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day_start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY AS day_end,
+       count(*) AS n FROM events GROUP BY 1, 2
+HAVING CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def q_stream_daily_counts(spark, sf_dir):
+    s = stream.daily_counts_stream(_event_stream(spark, sf_dir), ts="ts", delay="1 hour")
+    # Append mode emits a day once the watermark (latest event time − 1 hour)
+    # has passed its end: the still-open last day is not emitted yet.
+    out = stream.run_to_table(spark, s, _stream_name("daily", sf_dir), mode="append")
+    return out.select(
+        F.col("day_start").cast("timestamp_ntz").alias("day_start"), F.col("day_end").cast("timestamp_ntz").alias("day_end"), "n"
+    )
+
+
+@register(
+    "stream_dedup",
+    """SELECT event_id, user_id, event_type FROM events""",
+)
+def q_stream_dedup(spark, sf_dir):
+    s = stream.dedup_stream(_event_stream(spark, sf_dir), id="event_id", ts="ts").select("event_id", "user_id", "event_type")
+    return stream.run_to_table(spark, s, _stream_name("dedup", sf_dir))
