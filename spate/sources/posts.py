@@ -157,15 +157,28 @@ def read_legacy_stage(spark: SparkSession, path: str, nested: dict[str, T.DataTy
     ``None``/``True``/``False`` are rewritten to JSON, then the cell is parsed
     with single quotes allowed.  Cells that still do not parse land in
     ``_unparsed`` (column name → raw text), never silently dropped."""
+    from pyspark.sql.types import _parse_datatype_string
+
     df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     errors = []
     for col, dtype in nested.items():
+        dt = _parse_datatype_string(dtype) if isinstance(dtype, str) else dtype
         fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(col), "\\bNone\\b", "null"), "\\bTrue\\b", "true"), "\\bFalse\\b", "false")
-        parsed = F.from_json(fixed, dtype, {"allowSingleQuotes": "true"})
-        df = df.withColumn(f"__raw_{col}", F.col(col)).withColumn(col, parsed)
-        errors.append(F.when(F.col(col).isNull() & F.col(f"__raw_{col}").isNotNull(), F.struct(F.lit(col).alias("column"), F.col(f"__raw_{col}").alias("text"))))
+        opts = {"allowSingleQuotes": "true"}
+        if isinstance(dt, T.StructType):
+            # A malformed cell fills the corrupt-record field instead of the struct.
+            probe = T.StructType(list(dt.fields) + [T.StructField("_corrupt", S)])
+            opts["columnNameOfCorruptRecord"] = "_corrupt"
+            parsed = F.from_json(fixed, probe, opts)
+            bad = parsed["_corrupt"].isNotNull()
+            value = F.when(~bad, F.struct(*[parsed[f.name].alias(f.name) for f in dt.fields]))
+        else:
+            value = F.from_json(fixed, dt, opts)
+            bad = value.isNull()
+        df = df.withColumn(f"__raw_{col}", F.col(col)).withColumn(f"__bad_{col}", bad & F.col(col).isNotNull()).withColumn(col, value)
+        errors.append(F.when(F.col(f"__bad_{col}"), F.struct(F.lit(col).alias("column"), F.col(f"__raw_{col}").alias("text"))))
     df = df.withColumn("_unparsed", F.filter(F.array(*errors), lambda e: e.isNotNull()))
-    return df.drop(*[f"__raw_{c}" for c in nested])
+    return df.drop(*[f"__raw_{c}" for c in nested], *[f"__bad_{c}" for c in nested])
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
