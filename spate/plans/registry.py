@@ -995,3 +995,51 @@ def q_stream_daily_counts(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     s = stream.dedup_stream(_event_stream(spark, sf_dir), id="event_id", ts="ts").select("event_id", "user_id", "event_type")
     return stream.run_to_table(spark, s, _stream_name("dedup", sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Search, noise, lemmas
+# ---------------------------------------------------------------------------
+
+from spate.operators import search  # noqa: E402
+
+# Extra search terms (the "(extra) OR ..." extension) that occur in the prose.
+SEARCH_EXTRA = ["that the", "eaux"]
+
+
+@register(
+    "keyword_search",
+    f"""SELECT doc_id AS id, lang FROM documents
+WHERE regexp_matches(lower(text), '{search.keyword_pattern(search.FLOOD_TERMS + SEARCH_EXTRA)}')""",
+)
+def q_keyword_search(spark, sf_dir):
+    docs = tables.documents_as_posts(spark, sf_dir)
+    return search.keyword_search(docs, extra=SEARCH_EXTRA).select("id", "lang")
+
+
+@register(
+    "strip_noise",
+    f"""SELECT doc_id AS id, regexp_replace(text, '{tx.noise_pattern().replace("'", "''")}', ' ', 'g') AS text FROM documents""",
+)
+def q_strip_noise(spark, sf_dir):
+    docs = tables.documents_as_posts(spark, sf_dir)
+    return docs.select("id", tx.strip_noise("text").alias("text"))
+
+
+def _lemma_map_sql() -> str:
+    table = dict(phrases.SAMPLE_LEMMAS)
+    table.update(phrases.FORCED_LEMMAS)
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(table.items())) + "}"
+
+
+@register(
+    "lemmatise",
+    f"""WITH {CLEAN_DOCS_SQL}
+SELECT id, array_to_string(list_transform(string_split(text, ' '), lambda w: coalesce({_lemma_map_sql()}[w], w)), ' ') AS doc
+FROM cleaned""",
+)
+def q_lemmatise(spark, sf_dir):
+    table = dict(phrases.SAMPLE_LEMMAS)
+    lem = spark.createDataFrame(sorted(table.items()), "token string, lemma string")
+    docs = phrases.lemmatise(document_tokens(spark, sf_dir), lem)
+    return docs.select("id", F.array_join("tokens", " ").alias("doc"))
