@@ -40,7 +40,7 @@ def undersample(df: DataFrame, label: str = "label", seed: int = 0, id: str = "i
     starts = ranked.groupBy(label).agg(F.min("__g").alias("__start"), F.count(F.lit(1)).alias("__n"))
     smallest = starts.select(F.min("__n")).scalar()
     return (
-        ranked.join(F.broadcast(starts.select(label, "__start")), label)
+        ranked.join(starts.select(label, "__start"), label)
         .filter(F.col("__g") - F.col("__start") < smallest)
         .drop("__g", "__start", "__key")
     )
