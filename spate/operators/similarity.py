@@ -13,9 +13,12 @@ has cosine similarity above the threshold.  Exact, in three distributed steps:
    increases a distance, so a similar pair always sits in the same or an
    adjacent cell: the blocking loses no pair.
 3. *Exact test.*  Each leader (replicated to its 9 neighbour cells) is
-   semi-joined with every earlier row of those cells on the exact cosine; the
-   join streams matches, no pair table is materialised.  Rows with a zero or
-   NULL vector have no defined cosine and are always kept.
+   compared with every earlier row of those cells on the exact cosine.  The
+   comparisons run in bounded tiles — rows of a cell are hashed into tiles of
+   about ``TILE`` rows and each (probe tile, earlier tile) pair is one
+   cogrouped pandas call doing a numpy matrix product — so a crowded cell is
+   spread over many tasks and no pair table is materialised.  Rows with a zero
+   or NULL vector have no defined cosine and are always kept.
 
 K5 ``top_similar``: per document the ``n`` candidate phrases closest to the
 document vector (candidates belong to their document, as keyword extraction
@@ -87,23 +90,68 @@ def drop_near_duplicates(
         )
 
     earlier = keyed(nz).select(
-        F.col("__bx"), F.col("__by"), F.col(order).alias("__oi"), F.col("__v").alias("__vi"), F.col("__n").alias("__ni")
+        "__bx", "__by", F.col(order).alias("__o"), F.col("__v").alias("__vec"), F.col("__n").alias("__nrm")
     )
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     probes = (
         keyed(leaders)
-        .select(F.col(id), F.col(order).alias("__oj"), F.col("__v").alias("__vj"), F.col("__n").alias("__nj"), "__bx", "__by", F.explode(offsets).alias("__d"))
-        .select(id, "__oj", "__vj", "__nj", (F.col("__bx") + F.col("__d.dx")).alias("__bx"), (F.col("__by") + F.col("__d.dy")).alias("__by"))
+        .select(F.col(id).alias("__id"), F.col(order).alias("__o"), F.col("__v").alias("__vec"), F.col("__n").alias("__nrm"), "__bx", "__by", F.explode(offsets).alias("__d"))
+        .select("__id", "__o", "__vec", "__nrm", (F.col("__bx") + F.col("__d.dx")).alias("__bx"), (F.col("__by") + F.col("__d.dy")).alias("__by"))
     )
 
-    # 3. exact cosine test, streamed by a semi join.
-    similar = F.try_divide(dot(F.col("__vi"), F.col("__vj")), F.col("__ni") * F.col("__nj")) > F.lit(thr)
-    cond = [probes["__bx"] == earlier["__bx"], probes["__by"] == earlier["__by"], earlier["__oi"] < probes["__oj"], similar]
-    dropped = probes.join(earlier, cond, "left_semi").select(id).distinct()
+    # 3. exact cosine test in bounded tiles: each cell's probes and earlier rows
+    # are hashed into tiles of about TILE rows; every (probe tile, earlier tile)
+    # pair of a cell is one cogroup evaluated as a numpy matrix product.
+    dropped = _tiled_semi_join(probes, earlier, thr).select(F.col("__id").alias(id)).distinct()
     kept = leaders.join(dropped, id, "left_anti").drop("__v", "__n", "__u", "__cell")
     return kept.unionByName(undefined)
 
 
+# Rows per side of one exact-test tile.
+TILE = 1024
+
+
+def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataFrame:
+    """Probe ids having an earlier row (smaller order) in the same cell with
+    cosine > ``thr``.  Work per cogroup is bounded by TILE × TILE."""
+    import numpy as np
+    import pandas as pd
+
+    def tiles(frame, name):
+        return frame.groupBy("__bx", "__by").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias(name))
+
+    tp, te = tiles(probes, "__np"), tiles(earlier, "__ne")
+    counts = tp.join(te, ["__bx", "__by"])  # cells with both sides only
+    p = probes.join(counts, ["__bx", "__by"]).select(
+        "*",
+        F.pmod(F.xxhash64("__id"), F.col("__np")).cast("int").alias("__tp"),
+        F.explode(F.sequence(F.lit(0), F.col("__ne") - 1)).alias("__te"),
+    )
+    e = earlier.join(counts, ["__bx", "__by"]).select(
+        "*",
+        F.pmod(F.xxhash64("__o"), F.col("__ne")).cast("int").alias("__te"),
+        F.explode(F.sequence(F.lit(0), F.col("__np") - 1)).alias("__tp"),
+    )
+    keys = ["__bx", "__by", "__tp", "__te"]
+
+    def kernel(pdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or edf.empty:
+            return pd.DataFrame({"__id": pd.Series([], dtype="int64")})
+        vp = np.stack(pdf["__vec"].to_numpy())
+        ve = np.stack(edf["__vec"].to_numpy())
+        cos = (vp @ ve.T) / np.outer(pdf["__nrm"].to_numpy(), edf["__nrm"].to_numpy())
+        earlier_mask = edf["__o"].to_numpy()[None, :] < pdf["__o"].to_numpy()[:, None]
+        hit = ((cos > thr) & earlier_mask).any(axis=1)
+        return pd.DataFrame({"__id": pdf["__id"].to_numpy()[hit].astype("int64")})
+
+    return (
+        p.select(*keys, "__id", "__o", "__vec", "__nrm")
+        .groupBy(*keys)
+        .cogroup(e.select(*keys, "__o", "__vec", "__nrm").groupBy(*keys))
+        .applyInPandas(kernel, schema="__id long")
+    )
+
+
 def top_similar(docs: DataFrame, candidates: DataFrame, n: int = 5, id: str = "id", vec: str = "embedding", phrase: str = "phrase") -> DataFrame:
     """K5: per document the ``n`` candidates (``(id, phrase, embedding)``, the
     document's own phrases) most similar to the document vector."""
