@@ -810,7 +810,33 @@ def q_prepare_docs(spark, sf_dir):
     return docs.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("doc"))
 
 
-@register("rake")
+def _rake_sql() -> str:
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(tx.default_stop_words("english")))) + "]"
+    ws = tx.WHITESPACE_CLASS + "+"
+    breaks = phrases.RAKE_BREAKS.replace("'", "''")
+    return f"""WITH src AS (
+    SELECT doc_id AS id, regexp_replace(translate(lower(text), '{breaks}', '{"|" * len(phrases.RAKE_BREAKS)}'), '\\|', ' | ', 'g') AS m FROM documents
+),
+w AS (
+    SELECT id, list_transform(
+        list_filter(regexp_split_to_array(regexp_replace(m, '[^\\p{{L}}\\p{{N}}|'' ]', ' ', 'g'), '{ws}'), lambda x: x <> ''),
+        lambda x: CASE WHEN list_contains({stop}, x) THEN '|' ELSE x END) AS ws
+    FROM src
+),
+chunks AS (SELECT id, unnest(string_split(array_to_string(ws, ' '), '|')) AS chunk FROM w),
+ph AS (
+    SELECT row_number() OVER () AS pid, p AS phrase FROM (
+        SELECT list_filter(regexp_split_to_array(chunk, '{ws}'), lambda x: x <> '') AS p FROM chunks
+    ) WHERE len(p) > 0
+),
+words AS (SELECT pid, len(phrase) AS l, unnest(phrase) AS w FROM ph),
+ws AS (SELECT w, sum(l) / count(*) AS s FROM words GROUP BY w),
+scored AS (SELECT pid, sum(s) AS score FROM words JOIN ws USING (w) GROUP BY pid),
+d AS (SELECT DISTINCT array_to_string(phrase, ' ') AS phrase, score FROM ph JOIN scored USING (pid))
+SELECT phrase, score FROM d ORDER BY score DESC, phrase LIMIT 10"""
+
+
+@register("rake", _rake_sql())
 def q_rake(spark, sf_dir):
     return phrases.rake(tables.documents_as_posts(spark, sf_dir), n=10)
 
