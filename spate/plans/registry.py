@@ -803,7 +803,42 @@ def q_ngram_vocabulary(spark, sf_dir):
     return phrases.ngram_vocabulary(document_tokens(spark, sf_dir), n=5)
 
 
-@register("prepare_docs")
+def _lemma_map_sql() -> str:
+    table = dict(phrases.SAMPLE_LEMMAS)
+    table.update(phrases.FORCED_LEMMAS)
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(table.items())) + "}"
+
+
+def _prepare_docs_sql() -> str:
+    stop = tx.default_stop_words("english")
+    first = tx.sql_clean_text("text", stop_words=stop)
+    second = tx.sql_clean_text("j", stop_words=stop, extra_words=tx.TOPIC_EXTRA_WORDS)
+    lem = _lemma_map_sql()
+    return f"""WITH {CLEAN_DOCS_SQL},
+p1 AS (SELECT id, {first} AS t1 FROM cleaned),
+p2 AS (
+    SELECT id, array_to_string(list_filter(list_transform(list_filter(string_split(t1, ' '), lambda w: w <> ''),
+                                                          lambda w: coalesce({lem}[w], w)),
+                                           lambda w: length(w) > 1), ' ') AS j
+    FROM p1
+),
+p3 AS (SELECT id, list_filter(string_split({second}, ' '), lambda w: w <> '') AS t FROM p2),
+uni AS (SELECT w, count(*) AS c FROM (SELECT unnest(t) AS w FROM p3) GROUP BY w),
+pairs AS (SELECT id, pos, t[pos + 1] AS a, t[pos + 2] AS b FROM (SELECT id, t, unnest(range(0, len(t) - 1)) AS pos FROM p3)),
+pc AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b),
+phr AS (
+    SELECT a, b FROM pc JOIN uni ua ON ua.w = pc.a JOIN uni ub ON ub.w = pc.b
+    WHERE (pc.n - {phrases.BIGRAM_MIN_COUNT}) / ua.c / ub.c * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM pc)) > {phrases.BIGRAM_THRESHOLD}
+),
+hits AS (SELECT p.id, p.pos, p.a, p.b FROM pairs p SEMI JOIN phr USING (a, b)),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM hits),
+offs AS (SELECT *, pos - min(pos) OVER (PARTITION BY id, run) AS off FROM runs),
+bg AS (SELECT id, list(a || '_' || b ORDER BY pos) AS bt FROM offs WHERE off % 2 = 0 GROUP BY id)
+SELECT id, len(t) + coalesce(len(bt), 0) AS n_tokens, array_to_string(list_concat(t, coalesce(bt, [])), ' ') AS doc
+FROM p3 LEFT JOIN bg USING (id)"""
+
+
+@register("prepare_docs", _prepare_docs_sql())
 def q_prepare_docs(spark, sf_dir):
     posts = cleaned_documents(spark, sf_dir).withColumn("text_raw", F.col("text"))
     docs = phrases.prepare_docs(cut_lineage(posts), language="english")
@@ -1052,12 +1087,6 @@ def q_strip_noise(spark, sf_dir):
     return docs.select("id", tx.strip_noise("text").alias("text"))
 
 
-def _lemma_map_sql() -> str:
-    table = dict(phrases.SAMPLE_LEMMAS)
-    table.update(phrases.FORCED_LEMMAS)
-    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(table.items())) + "}"
-
-
 @register(
     "lemmatise",
     f"""WITH {CLEAN_DOCS_SQL}
