@@ -55,6 +55,27 @@ def test_dbscan_matches_brute_force(spark):
     assert got == _brute_dbscan(vecs, 0.9, 3)
 
 
+def test_neighbour_pairs_hot_and_rare_paths(spark):
+    rng = random.Random(11)
+    vocab = [f"t{k}" for k in range(15)]
+    rows, vecs = [], {}
+    for i in range(60):
+        # a few very common terms (hot) plus rarer ones
+        terms = sorted(set(rng.sample(vocab[:4], 2) + rng.sample(vocab, rng.randint(1, 3))))
+        w = np.array([rng.random() + 0.1 for _ in terms])
+        w = w / np.linalg.norm(w)
+        v = np.zeros(len(vocab))
+        for t, x in zip(terms, w):
+            rows.append((i, t, float(x)))
+            v[vocab.index(t)] = x
+        vecs[i] = v
+    weights = spark.createDataFrame(rows, "id long, term string, weight double")
+    want = {(i, j) for i in vecs for j in vecs if i != j and vecs[i] @ vecs[j] >= 0.6}
+    for hot_df, tile in ((3, 8), (1000, 2048), (3, 2048)):
+        got = {(r["a"], r["b"]) for r in cluster.neighbour_pairs(weights, 0.6, hot_df=hot_df, tile_size=tile).collect()}
+        assert got == want, (hot_df, tile)
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 8))
