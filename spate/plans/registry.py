@@ -249,7 +249,8 @@ s AS (
     FROM posts WHERE created_at IS NOT NULL GROUP BY 1
 ),
 spine AS (SELECT CAST(unnest(generate_series(CAST(min(bin) AS TIMESTAMP), CAST(max(bin) AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS bin FROM s)
-SELECT spine.bin, coalesce(purchase, 0) AS purchase, coalesce(error, 0) AS error FROM spine LEFT JOIN s USING (bin)""",
+SELECT spine.bin, CAST(coalesce(purchase, 0) AS BIGINT) AS purchase, CAST(coalesce(error, 0) AS BIGINT) AS error
+FROM spine LEFT JOIN s USING (bin)""",
 )
 def q_label_series(spark, sf_dir):
     posts = _events(spark, sf_dir).select(
@@ -391,7 +392,7 @@ RULE_MIN_CHARS = 2000
     SELECT count_if(label = 1 AND predicted_label = 1) AS tp, count_if(label = 0 AND predicted_label = 0) AS tn,
            count_if(label = 0 AND predicted_label = 1) AS fp, count_if(label = 1 AND predicted_label = 0) AS fn FROM p
 )
-SELECT tp, tn, fp, fn,
+SELECT CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
        (tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0) AS accuracy,
        tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS precision,
        tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS recall,
@@ -619,10 +620,12 @@ px AS (
            floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS cy
     FROM points
 )
-SELECT cx, cy, count(*) AS n, avg(lon) AS lon, avg(lat) AS lat, min(id) AS first_id FROM px GROUP BY cx, cy""",
+SELECT cx, cy, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, min(id) AS first_id FROM px GROUP BY cx, cy""",
 )
 def q_grid_clusters(spark, sf_dir):
-    return geo.grid_clusters(event_points(spark, sf_dir), zoom=CLUSTER_ZOOM)
+    # Means are rounded: summation order differs between engines.
+    c = geo.grid_clusters(event_points(spark, sf_dir), zoom=CLUSTER_ZOOM)
+    return c.withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6))
 
 
 @register(
@@ -868,12 +871,13 @@ words AS (SELECT pid, len(phrase) AS l, unnest(phrase) AS w FROM ph),
 ws AS (SELECT w, sum(l) / count(*) AS s FROM words GROUP BY w),
 scored AS (SELECT pid, sum(s) AS score FROM words JOIN ws USING (w) GROUP BY pid),
 d AS (SELECT DISTINCT array_to_string(phrase, ' ') AS phrase, score FROM ph JOIN scored USING (pid))
-SELECT phrase, score FROM d ORDER BY score DESC, phrase LIMIT 10"""
+SELECT phrase, round(score, 6) AS score FROM d ORDER BY score DESC, phrase LIMIT 10"""
 
 
 @register("rake", _rake_sql())
 def q_rake(spark, sf_dir):
-    return phrases.rake(tables.documents_as_posts(spark, sf_dir), n=10)
+    top = phrases.rake(tables.documents_as_posts(spark, sf_dir), n=10)
+    return top.select("phrase", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------------------
