@@ -224,8 +224,10 @@ def grid_clusters(df: DataFrame, zoom: int, px: int = 50, id: str = "id", lon: s
         .groupBy("cx", "cy")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(lon).alias("lon"),
-            F.avg(lat).alias("lat"),
+            # means from integer micro-degrees: exact sums, independent of the
+            # order partial aggregates are merged in
+            (F.sum(F.round(F.col(lon) * F.lit(1e6)).cast("long")) / F.count(F.lit(1)) / F.lit(1e6)).alias("lon"),
+            (F.sum(F.round(F.col(lat) * F.lit(1e6)).cast("long")) / F.count(F.lit(1)) / F.lit(1e6)).alias("lat"),
             F.min(id).alias("first_id"),
         )
     )

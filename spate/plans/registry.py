@@ -620,7 +620,11 @@ px AS (
            floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS cy
     FROM points
 )
-SELECT cx, cy, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, min(id) AS first_id FROM px GROUP BY cx, cy""",
+SELECT CAST(cx AS BIGINT) AS cx, CAST(cy AS BIGINT) AS cy, count(*) AS n,
+       round(sum(CAST(round(lon * 1e6) AS BIGINT)) / count(*) / 1e6, 6) AS lon,
+       round(sum(CAST(round(lat * 1e6) AS BIGINT)) / count(*) / 1e6, 6) AS lat,
+       min(id) AS first_id
+FROM px GROUP BY cx, cy""",
 )
 def q_grid_clusters(spark, sf_dir):
     # Means are rounded: summation order differs between engines.
@@ -868,8 +872,8 @@ ph AS (
     ) WHERE len(p) > 0
 ),
 words AS (SELECT pid, len(phrase) AS l, unnest(phrase) AS w FROM ph),
-ws AS (SELECT w, sum(l) / count(*) AS s FROM words GROUP BY w),
-scored AS (SELECT pid, sum(s) AS score FROM words JOIN ws USING (w) GROUP BY pid),
+ws AS (SELECT w, CAST(round(sum(l) * 1e6 / count(*)) AS BIGINT) AS s FROM words GROUP BY w),
+scored AS (SELECT pid, sum(s) / 1e6 AS score FROM words JOIN ws USING (w) GROUP BY pid),
 d AS (SELECT DISTINCT array_to_string(phrase, ' ') AS phrase, score FROM ph JOIN scored USING (pid))
 SELECT phrase, round(score, 6) AS score FROM d ORDER BY score DESC, phrase LIMIT 10"""
 
