@@ -38,8 +38,9 @@ MAX_COMPONENT_ROUNDS = 200
 # terms are hot (the most frequent ones), which bounds the dense width.
 HOT_DF = 200
 MAX_HOT = 4096
-# Documents per side of one pair tile.
+# Documents per side of one pair tile, and the smallest tile worth splitting to.
 PAIR_TILE = 2048
+MIN_TILE = 256
 
 
 def neighbour_pairs(
@@ -99,7 +100,9 @@ def neighbour_pairs(
     # core busy (n_tiles·(n_tiles+1)/2 ≥ 2·parallelism).
     par = weights.sparkSession.sparkContext.defaultParallelism
     n_tiles = max(1, -(-n_docs // tile_size))
-    while n_tiles * (n_tiles + 1) // 2 < 2 * par and n_tiles < n_docs:
+    # ... but never tiles smaller than MIN_TILE documents (replication cost).
+    max_tiles = max(1, -(-n_docs // MIN_TILE))
+    while n_tiles * (n_tiles + 1) // 2 < 2 * par and n_tiles < max_tiles:
         n_tiles += 1
     tile = lambda c: F.pmod(F.xxhash64(c), F.lit(n_tiles)).cast("int")
     packed = w.filter(F.col("__h").isNotNull()).groupBy("id").agg(

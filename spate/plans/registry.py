@@ -1106,3 +1106,34 @@ def q_lemmatise(spark, sf_dir):
     lem = spark.createDataFrame(sorted(table.items()), "token string, lemma string")
     docs = phrases.lemmatise(document_tokens(spark, sf_dir), lem)
     return docs.select("id", F.array_join("tokens", " ").alias("doc"))
+
+
+@register("topic_coherence")
+def q_topic_coherence(spark, sf_dir):
+    docs = document_tokens(spark, sf_dir, reuse=True)
+    model, cv, _ = topics.lda(docs, k=LDA_TOPICS, seed=1)
+    vocab = cv.vocabulary
+    names = spark.createDataFrame(list(enumerate(vocab)), "idx int, term string")
+    top = model.describeTopics(maxTermsPerTopic=10).select(
+        "topic", F.posexplode("termIndices").alias("pos", "idx")
+    ).join(names, "idx").select("topic", (F.col("pos") + 1).alias("rank"), "term")
+    return phrases.umass_coherence(docs, top)
+
+
+@register("top_similar_turns")
+def q_top_similar_turns(spark, sf_dir):
+    """K5 on conversations: the two turns closest to their whole conversation,
+    with hashed term-count vectors as the embeddings."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    conv = tables.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("id"), F.concat_ws(":", "turn", "role").alias("phrase"),
+        tx.tokens(tx.clean_text("text")).alias("tokens"),
+    )
+    htf = HashingTF(inputCol="tokens", outputCol="__v", numFeatures=256)
+    turns = htf.transform(conv).select("id", "phrase", vector_to_array("__v").alias("embedding"))
+    whole = htf.transform(
+        conv.groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    ).select("id", vector_to_array("__v").alias("embedding"))
+    return similarity.top_similar(whole, turns, n=2)
