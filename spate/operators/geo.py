@@ -332,29 +332,41 @@ def filter_region(points: DataFrame, regions: DataFrame, name: str | None, cell:
 
 def merge_subwords(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Glue word pieces (``##…``) to the previous token, which keeps its
-    entity and score; then drop tokens labelled ``O``.  Runs inside each row
-    (an ``aggregate`` over the token array): no shuffle.  A leading piece
-    starts its own token."""
-    t = F.col(tokens)
+    entity, score, start and index (its end becomes the last piece's end);
+    then drop tokens labelled ``O``.  A leading piece starts its own token.
 
-    def step(acc, tok):
-        is_piece = tok["word"].startswith("##") & (F.size(acc) > 0)
-        last = F.element_at(acc, -1)
-        glued = F.struct(
-            last["entity"].alias("entity"),
-            F.concat(last["word"], F.substring(tok["word"], 3, 1 << 20)).alias("word"),
-            last["score"].alias("score"),
-            last["start"].alias("start"),
-            tok["end"].alias("end"),
-            last["index"].alias("index"),
+    Linear and inside each row (no shuffle): the positions where a new token
+    starts are found first, and every merged token is built from the slice of
+    pieces up to the next start — each piece is read once.
+    """
+    t = F.col(tokens)
+    n = F.size(t)
+    starts = F.filter(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: (i == 1) | ~F.element_at(t, i)["word"].startswith("##"),
+    )
+    starts = F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
+
+    def merged(s, k):
+        nxt = F.coalesce(F.try_element_at(starts, k + 2), n + 1)
+        group = F.slice(t, s, nxt - s)
+        head = F.element_at(t, s)
+        rest = F.slice(group, 2, F.greatest(nxt - s - 1, F.lit(0)))
+        word = F.concat(
+            head["word"],
+            F.array_join(F.transform(rest, lambda p: F.substring(p["word"], 3, 1 << 20)), ""),
         )
-        return F.when(is_piece, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(glued))).otherwise(
-            F.concat(acc, F.array(tok))
+        return F.struct(
+            head["entity"].alias("entity"),
+            word.alias("word"),
+            head["score"].alias("score"),
+            head["start"].alias("start"),
+            F.element_at(group, -1)["end"].alias("end"),
+            head["index"].alias("index"),
         )
 
-    empty = F.filter(t, lambda x: F.lit(False))
-    merged = F.aggregate(t, empty, step)
-    return df.withColumn(tokens, F.filter(merged, lambda x: x["entity"] != "O"))
+    out = F.transform(starts, merged)
+    return df.withColumn(tokens, F.filter(out, lambda x: x["entity"] != "O"))
 
 
 def entity_label(entity) -> Column:
