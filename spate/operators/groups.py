@@ -65,7 +65,9 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank", partitions: int |
     row with ``monotonically_increasing_id`` (partition id in the high bits,
     position in the low bits), count rows per partition (a table with one row
     per partition — its size is bounded by the partition count), turn the
-    counts into offsets and add them back with a broadcast join.
+    counts into offsets and add them back with a broadcast join.  The tagged
+    rows are written once to the checkpoint folder so that the counts and the
+    positions come from the same partitioning.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     spark = df.sparkSession
@@ -76,6 +78,12 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank", partitions: int |
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumn("__pid", F.shiftright(F.col("__mid"), _PARTITION_SHIFT))
     )
+    # The tagged rows feed both the per-partition counts and the final join.
+    # Range bounds come from a sample, so two recomputations could partition
+    # differently; materialising once keeps positions and offsets consistent.
+    from spate.session import cut_lineage
+
+    tagged = cut_lineage(tagged)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     # One row per partition: bounded by n, safe to broadcast.
     from pyspark.sql import Window
