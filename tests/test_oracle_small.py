@@ -15,7 +15,7 @@ TABLES = "documents events labels conversations embeddings orders customer natio
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.6g}")
+        return "nan" if math.isnan(v) else repr(v)  # bit for bit
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, datetime.datetime):
