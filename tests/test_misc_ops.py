@@ -58,3 +58,13 @@ def test_min_tokens_and_sort_table(spark):
     assert got == {1: ["bb", "ccc"]}
     s = views.sort_table(spark.createDataFrame([(1, 3.0), (2, 1.0)], "id long, v double"), "v", desc=True)
     assert [r["id"] for r in s.collect()] == [1, 2]
+
+
+def test_spread_only_when_scan_is_narrow(spark):
+    from spate.plans import tables
+
+    narrow = spark.range(0, 100, numPartitions=1)
+    wide = spark.range(0, 100, numPartitions=64)
+    target = spark.sparkContext.defaultParallelism * 2
+    assert tables.spread(narrow).rdd.getNumPartitions() == target
+    assert tables.spread(wide).rdd.getNumPartitions() == 64
