@@ -11,9 +11,7 @@ and RE2 (the DuckDB oracle), so the same pattern text serves both engines.
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+import pkgutil
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,17 +79,12 @@ def noise_pattern(numbers: bool = True, legacy: bool = False) -> str:
 def default_stop_words(language: str = "english") -> tuple[str, ...]:
     """Spark MLlib's default stop-word list for ``language``.
 
-    Read straight from the resource inside the Spark ML jar so that no JVM is
-    needed (the same list ``StopWordsRemover.loadDefaultStopWords`` returns).
+    The lists are plain files of this package (``stopwords/*.txt``), read with
+    ``pkgutil`` so that they also load from a zip given to ``--py-files``; no JVM
+    and no Spark jar is needed.  A test holds them against
+    ``StopWordsRemover.loadDefaultStopWords``.
     """
-    import pyspark
-
-    jar_dir = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jars = sorted(glob.glob(os.path.join(jar_dir, "spark-mllib_*.jar")))
-    if not jars:
-        raise FileNotFoundError("Spark ML jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
+    raw = pkgutil.get_data(__package__, f"stopwords/{language}.txt")
     return tuple(w for w in raw.decode("utf-8").split() if w)
 
 

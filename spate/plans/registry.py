@@ -509,7 +509,7 @@ def resolved_event_toponyms(spark, sf_dir):
 @register(
     "resolve_toponyms",
     f"""WITH {EVENT_TOPONYMS_SQL}
-SELECT id, pos, word, place_id, display_name FROM resolved""",
+SELECT id, pos, word, CAST(place_id AS BIGINT) AS place_id, display_name FROM resolved""",
 )
 def q_resolve_toponyms(spark, sf_dir):
     r = resolved_event_toponyms(spark, sf_dir)
@@ -534,7 +534,7 @@ pick AS (
 @register(
     "smallest_location",
     f"""{SMALLEST_SQL}
-SELECT id, place_id, class, importance, type, display_name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon,
+SELECT id, CAST(place_id AS BIGINT) AS place_id, class, importance, type, display_name, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon,
        string_split(display_name, ',')[1] AS loc_name
 FROM pick""",
 )
