@@ -192,7 +192,7 @@ class Words:
         acc = np.zeros(m, dtype=np.uint64)
         for j in range(k):
             acc = acc * _STEP + self.hash[j : j + m]
-        return mix64(acc[at] + np.uint64(k) * _LEN), at
+        return mix64(acc[at] + np.uint64(k * int(_LEN) % (1 << 64))), at
 
 
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spate.llm import decontaminate as dc
+from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
-from spate.llm.common import table
+from spate.llm import warc
+from spate.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +35,15 @@ def op1(spark, sf_dir):
 @register("op6_token_counts")
 def op6(spark, sf_dir):
     return tc.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op7_quality_rules")
+def op7(spark, sf_dir):
+    return qr.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@register("op10_warc_revisits", warc.ORACLE_SQL)
+def op10(spark, sf_dir):
+    path = stage_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_archives(spark, path, with_block=False))
