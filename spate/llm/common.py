@@ -132,6 +132,11 @@ WORD_BYTES = np.ones(256, dtype=bool)
 WORD_BYTES[[32, 9, 10, 11, 12, 13]] = False
 
 
+#: Bytes of words of letters and digits: 0-9 A-Z a-z and everything beyond ASCII.
+ALNUM_BYTES = np.zeros(256, dtype=bool)
+ALNUM_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 class TextBatch:
     """The texts of one Arrow column slice as one byte buffer with offsets (null = empty)."""
 
@@ -151,17 +156,21 @@ class TextBatch:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, fold: bool) -> "Words":
-        return Words(self, fold)
+    def words(self, fold: bool, word_bytes: np.ndarray = WORD_BYTES, prefixes: tuple[int, ...] = ()) -> "Words":
+        return Words(self, fold, word_bytes, prefixes)
 
 
 class Words:
-    """All words of a batch: start byte, byte length, document index and 64-bit hash."""
+    """All words of a batch: start byte, byte length, document index and 64-bit hash.
+
+    ``prefix[k]`` is the hash of the first k bytes of each word (0 where the
+    word is not longer than that).
+    """
 
-    def __init__(self, batch: TextBatch, fold: bool):
+    def __init__(self, batch: TextBatch, fold: bool, word_bytes: np.ndarray, prefixes: tuple[int, ...]):
         data, off, n = batch.data, batch.offsets, len(batch.data)
         self.n_docs = batch.n
-        inside = WORD_BYTES[data]
+        inside = word_bytes[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         cuts = off[1:-1][off[1:-1] < n]
@@ -173,6 +182,7 @@ class Words:
         if not len(self.start):
             self.length = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
+            self.prefix = {k: self.hash for k in prefixes}
             return
         self.length = np.add.reduceat(inside, self.start, dtype=np.int64)
         s0 = self.start[0]
@@ -182,6 +192,10 @@ class Words:
         value = np.where(inside, _BYTE[(FOLD if fold else _KEEP)[data]], np.uint64(0))[s0:]
         value *= weight[np.minimum(pos, len(weight) - 1)]
         self.hash = mix64(np.add.reduceat(value, self.start - s0) + self.length.astype(np.uint64) * _LEN)
+        self.prefix = {}
+        for k in prefixes:
+            part = np.add.reduceat(np.where(pos < k, value, np.uint64(0)), self.start - s0)
+            self.prefix[k] = np.where(self.length > k, mix64(part + np.uint64(~k % (1 << 64))), np.uint64(0))
 
     def ngrams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows that lie in one document, and the index of their first word."""

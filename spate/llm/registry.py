@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from spate.llm import decontaminate as dc
 from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
+from spate.llm import toxicity as tx
 from spate.llm import warc
-from spate.llm.common import stage_path, table
+from spate.llm.common import crc_mod, stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,13 @@ def op1(spark, sf_dir):
     return out.drop("hit_spans")
 
 
+@register("op2_toxicity")
+def op2(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = tx.fit(docs, labels.filter(crc_mod("doc_id", 4) != 2))
+    return tx.score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_toxic", "spans")
+
+
 @register("op6_token_counts")
 def op6(spark, sf_dir):
     return tc.token_counts(table(spark, sf_dir, "documents"))
