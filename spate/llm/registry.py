@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spate.llm import decontaminate as dc
+from spate.llm import quality_gam as gam
 from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
 from spate.llm import toxicity as tx
@@ -50,6 +51,13 @@ def op7(spark, sf_dir):
     return qr.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op9_quality_gam")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = gam.classify(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @register("op10_warc_revisits", warc.ORACLE_SQL)
 def op10(spark, sf_dir):
     path = stage_path(spark, "warc")
