@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spate.llm import decontaminate as dc
+from spate.llm import lm_score as lm
 from spate.llm import quality_gam as gam
 from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
@@ -41,6 +42,12 @@ def op2(spark, sf_dir):
     return tx.score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_toxic", "spans")
 
 
+@register("op5_lm_score")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm.lm_scores(docs.withColumn("held_out", crc_mod("doc_id", 10) == 0))
+
+
 @register("op6_token_counts")
 def op6(spark, sf_dir):
     return tc.token_counts(table(spark, sf_dir, "documents"))
