@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spate.session import ensure_checkpoint_dir
 
@@ -83,7 +84,7 @@ def maybe_in(df: DataFrame, col: str, packed: np.ndarray) -> DataFrame:
     names = [c for c in df.columns]
     bits = df.sparkSession.sparkContext.broadcast(packed)
     src = df.withColumn("__p", F.array(*_filter_positions(col)))
-    schema = df.schema.add("__maybe", "boolean", True)
+    schema = T.StructType([*df.schema.fields, T.StructField("__maybe", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = bits.value
