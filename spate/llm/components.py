@@ -34,15 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     cur = stage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "components"
     )
-    mark = None
     while True:
         cur = stage(_star(_star(cur, True), False), "components")
-        now = cur.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30))).alias("s")
-        ).first()
-        if now == mark:
+        # Done when every edge leads straight to a root: no target is a source, no source has two targets.
+        ends = cur.select("a", F.lit(1).alias("out")).unionByName(cur.select(F.col("b").alias("a"), F.lit(0).alias("out")).distinct())
+        node = ends.groupBy("a").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("k"))
+        if not node.filter("out > 1 or (out = 1 and k > 1)").limit(1).count():
             break
-        mark = now
     return cur.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -11,7 +11,8 @@ A document is the set of its five-word shingles, as 64-bit hashes.
    n - ceil(t n) + 1 of each.  Prefix shingles are shuffled once; those of
    frequent buckets are salted.  A shingle without a second document is dropped.
 4. Star phase: in each shingle's group every document is paired with the
-   group's first and last document: linear in the prefixes, whatever the group.
+   group's first and last document and the next six after itself: linear in the
+   prefixes, whatever the group, and every pair of a group of up to three.
    Length and positional filters act on the pairs before they leave the group,
    a suffix filter on partition counts before any set is fetched, and each
    remaining pair is verified once.
@@ -47,6 +48,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 BUCKETS = 1 << 20
 #: Documents a salted group of a frequent shingle holds, about.
 GROUP_DOCS = 2_000
+#: Documents of its group that each document is paired with in the star phase.
+HUBS = ("first", "last", "next1", "next2", "next3", "next4", "next5", "next6")
 #: Parts of a set that the suffix filter compares.
 PARTS = 16
 
@@ -171,7 +174,7 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) whose sets reach the threshold."""
         pairs = stage(self._suffix(pairs), "join-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = stage(self._sets(ids), "join-sets")
         both = (
             pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a")
@@ -212,19 +215,20 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(grouped: DataFrame) -> DataFrame:
-    """Every document with the first and the last document of its shingle groups."""
+    """Every document with the hubs of its shingle groups: the first, the last, and the next ones."""
     out = None
-    for end in ("first", "last"):
-        hub = F.col(end)
-        fit = _fits(F.col("size"), F.col("pos"), hub["size"], hub["pos"])
-        part = grouped.filter(fit).select(F.col("id").alias("a"), hub["id"].alias("b"))
+    for k, name in enumerate(HUBS):
+        hub = F.col(name)
+        fit = _fits(F.col("size"), F.col("pos"), hub["size"], hub["pos"]) & (F.col("id") != hub["id"])
+        part = grouped.filter(fit if k < 2 else fit & (F.col("k") > 3)).select(F.col("id").alias("a"), hub["id"].alias("b"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def rest_pairs(grouped: DataFrame, label: DataFrame) -> DataFrame:
     """Candidate pairs of different components, by way of (size, position, component) classes."""
-    x = grouped.select("token", "id", "size", "pos").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    big = grouped.filter("k > 3 or salt > 0")  # all pairs of smaller groups are star pairs
+    x = big.select("token", "id", "size", "pos").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
     x = stage(x.join(mixed, "token"), "join-mixed")
     cls = x.select("token", "size", "pos", "c").distinct()
@@ -256,25 +260,26 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     by = Window.partitionBy("token", "salt")
     order = by.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("id", "size", "pos")
+    step = by.orderBy("id")
     grouped = (
         prefix.withColumn("k", F.count(F.lit(1)).over(order))
         .withColumn("first", F.first(me).over(order))
         .withColumn("last", F.last(me).over(order))
+        .withColumns({name: F.lead(me, k).over(step) for k, name in enumerate(HUBS[2:], start=1)})
         .filter("k > 1 or salt > 0")
-        .drop("k")
     )
     grouped = stage(grouped, "join-groups")
     # Salted groups of one shingle meet through their first documents.
-    hubs = grouped.filter("salt > 0").select("token", "first").distinct()
-    lead = hubs.groupBy("token").agg(F.min("first").alias("lead"))
-    bridge = hubs.join(lead, "token").select(F.col("first.id").alias("a"), F.col("lead.id").alias("b"))
+    hubs = grouped.filter("salt > 0").select("token", F.col("first.id").alias("lead")).distinct()
+    least = hubs.groupBy("token").agg(F.min("lead").alias("least"))
+    bridge = hubs.join(least, "token").select(F.col("lead").alias("a"), F.col("least").alias("b"))
     check = Verifier(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, rows.filter("id is not null").dropDuplicates(["id"]))
     links = stage(check.links(_pairs(star_pairs(grouped).unionByName(bridge))), "join-links")
     label = stage(components(links), "join-labels")
     more = stage(check.links(_pairs(rest_pairs(grouped, label))), "join-links")
     links = links.unionByName(more)
     label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = cls.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = rows.join(known, ["sig1", "sig2", "n"], "left")
