@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spate.llm import decontaminate as dc
 from spate.llm import lm_score as lm
 from spate.llm import ngram_join as nj
+from spate.llm import pii
 from spate.llm import quality_gam as gam
 from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
@@ -48,6 +49,11 @@ def op3(spark, sf_dir):
     return nj.ngram_join(table(spark, sf_dir, "documents"))
 
 
+@register("op4_pii")
+def op4(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 @register("op5_lm_score")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
