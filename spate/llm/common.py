@@ -53,6 +53,21 @@ def crc_mod(col: str, m: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(m)).cast("int")
 
 
+def keep_rows(docs: DataFrame, text: str, rejects) -> DataFrame:
+    """Rows of ``docs`` that ``rejects(text column)`` (one boolean per row) does not name; all columns stay.
+
+    Map-only: a decision needs its own row only, so nothing is joined back.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(~np.asarray(rejects(part.column(at)), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Bits of an id filter: 1 MB, whatever the number of ids.
 FILTER_BITS = 1 << 23
 _FILTER_HASHES = 3

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spate.llm.common import keep_rows
+
 WINDOW = 10
 
 #: Pattern text held by one automaton.  A larger benchmark is split by window
@@ -214,6 +216,29 @@ def decontaminate(
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """``docs`` without the documents that hold a window of any item."""
+    chunks = pattern_chunks(item_windows(benchmark), max_bytes)
+    kept: list = []
+
+    def automata():
+        if len(chunks) > 1:
+            return (build_automaton(c.value) for c in chunks)
+        if not kept:
+            kept.append(build_automaton(chunks[0].value))
+        return kept
+
+    def rejects(column: pa.Array) -> np.ndarray:
+        words = [normal_words(t) for t in column.to_pylist()]
+        hit = np.zeros(len(words), dtype=bool)
+        for a in automata():
+            for i in np.flatnonzero(~hit):
+                hit[i] = bool(scan(a, words[i])[1])
+        return hit
+
+    return keep_rows(docs, text, rejects)
+
+
 def _sql_words(column: str) -> str:
     return rf"list_filter(string_split_regex(regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')"
 

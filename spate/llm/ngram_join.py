@@ -288,3 +288,21 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the group's least id.
+
+    Rows with a null id are no group's member and stay.  Texts do not move for
+    rows that the fixed-size filter of dropped ids lets pass; the rest take an
+    exact join.
+    """
+    got = stage(ngram_join(docs, doc_id, text), "join-result").filter(F.col(doc_id).isNotNull()).withColumnRenamed(doc_id, "__id")
+    per = stage(
+        got.groupBy("__id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") == F.col("__id")).alias("stays")), "join-decisions"
+    )
+    odd = per.filter("rows > 1 or not stays").select("__id")
+    marked = maybe_in(docs.withColumn("__id", F.col(doc_id).cast("long")), "__id", id_filter(odd, "__id"))
+    clear = marked.filter("__id is null or not __maybe")
+    unsure = marked.filter("__id is not null and __maybe").join(per.filter("stays").select("__id"), "__id", "left_semi").dropDuplicates(["__id"])
+    return clear.select(*docs.columns).unionByName(unsure.select(*docs.columns))

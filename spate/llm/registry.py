@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spate.llm import decontaminate as dc
 from spate.llm import lm_score as lm
+from spate.llm import mixing
 from spate.llm import ngram_join as nj
 from spate.llm import pii
 from spate.llm import quality_gam as gam
@@ -70,6 +71,11 @@ def op7(spark, sf_dir):
     return qr.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op8_mixing", mixing.oracle_sql())
+def op8(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @register("op9_quality_gam")
 def op9(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -82,3 +88,10 @@ def op10(spark, sf_dir):
     path = stage_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.page_digests(warc.read_archives(spark, path, with_block=False))
+
+
+@register("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

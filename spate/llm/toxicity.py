@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spate.llm.common import ALNUM_BYTES, TextBatch, Words, mix64, slices, stage
+from spate.llm.common import ALNUM_BYTES, TextBatch, Words, keep_rows, mix64, slices, stage
 
 #: Labelled documents used for fitting (a documented bound; taken by hash order).
 MAX_LABELLED = 20_000
@@ -428,3 +428,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 )
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
+
+
+def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rejects(column: pa.Array) -> np.ndarray:
+        return shared.value.score(shared.value.summary(TextBatch(column))[2]) >= threshold
+
+    return keep_rows(docs, text, rejects)
