@@ -40,7 +40,7 @@ CONCENTRATION = 50.0
 ADD = 0.1
 #: Text bytes of a block, and of the corpus for each hash slice.
 BLOCK_BYTES = 12 << 20
-SLICE_TEXT = 16 << 20
+SLICE_TEXT = 8 << 20
 
 _START, _END = np.uint64(0x5A17C0DE00000001), np.uint64(0x5A17C0DE00000002)
 
@@ -48,15 +48,22 @@ _START, _END = np.uint64(0x5A17C0DE00000001), np.uint64(0x5A17C0DE00000002)
 class Tokens:
     """A block's token sequences, start, words, end, one document after the other."""
 
-    def __init__(self, batch: pa.Array):
-        w = TextBatch(batch).words(fold=True)
-        size = w.per_doc + 2
+    def __init__(self, column: pa.Array):
+        per_doc, words = [], []
+        for part in slices(pa.RecordBatch.from_arrays([column], ["t"]), 0):  # bounds the memory of hashing
+            w = TextBatch(part.column(0)).words(fold=True)
+            per_doc.append(w.per_doc)
+            words.append(w.hash)
+        per_doc = np.concatenate(per_doc)
+        size = per_doc + 2
         off = np.concatenate(([0], np.cumsum(size)))
         self.hash = np.empty(off[-1], dtype=np.uint64)
-        self.doc = np.repeat(np.arange(len(size)), size)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        inner = np.ones(off[-1], dtype=bool)
+        inner[off[:-1]] = inner[off[1:] - 1] = False
+        self.hash[inner] = np.concatenate(words)
         self.hash[off[:-1]] = _START
         self.hash[off[1:] - 1] = _END
-        self.hash[np.arange(len(w.hash)) + 2 * w.doc + 1] = w.hash
         self.is_start = np.zeros(off[-1], dtype=bool)
         self.is_start[off[:-1]] = True
         self.n_docs = len(size)
@@ -89,6 +96,29 @@ def local_counts(tokens: Tokens, train: np.ndarray, order: int) -> list[tuple[np
     return [*out, (key[sort], np.concatenate([c for _, c in rest])[sort])]
 
 
+def slice_edges(key: np.ndarray, n_slices: int) -> np.ndarray:
+    """Where each hash range begins in sorted keys (n_slices + 1 positions)."""
+    which = ((key >> np.uint64(32)) * np.uint64(n_slices)) >> np.uint64(32)
+    return np.searchsorted(which, np.arange(n_slices + 1, dtype=np.uint64))
+
+
+def pack(key: np.ndarray) -> bytes:
+    """Sorted hashes as the first one and six-byte differences (eight bytes where one of them is larger)."""
+    step = np.diff(key)
+    width = 6 if not len(step) or int(step.max()) < 1 << 48 else 8
+    return bytes([width]) + key[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
+    out[1:, :width] = rest
+    out = out.reshape(-1).view(np.uint64)
+    out[0] = np.frombuffer(data[1:9], np.uint64)[0]
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def _checksum(tokens: Tokens) -> int:
     return int(np.bitwise_xor.reduce(tokens.hash) >> np.uint64(1)) if len(tokens.hash) else 0
 
@@ -110,27 +140,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iter
 
 
 _REQUEST = "slice int, block long, kind int, keys binary, counts binary"
-_ANSWER = "block long, keys binary, counts binary, vocabulary long, tokens long, checksum long"
+_ANSWER = "block long, kind int, slice int, more binary, vocabulary long, tokens long, checksum long"
 
 
 def requests(docs: DataFrame, order: int, n_slices: int) -> DataFrame:
-    """Per block and slice the packed n-grams with training counts (sorted by hash)."""
+    """Per block and hash slice the packed n-grams with training counts (sorted by hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b in _blocks(batches, 2, BLOCK_BYTES):
             tokens = Tokens(b.column(2))
             train = ~np.asarray(b.column(1).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-            rows = [(block % n_slices, block, 0, b"", _checksum(tokens).to_bytes(8, "little"))]
-            for kind, (key, count) in enumerate(local_counts(tokens, train, order), start=1):
-                part = (key % np.uint64(n_slices)).astype(np.int64)
-                sort = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[sort], np.arange(n_slices + 1)) if n_slices <= len(key) else None
-                for s in range(n_slices) if edge is not None else np.unique(part):
-                    at = sort[edge[s] : edge[s + 1]] if edge is not None else np.flatnonzero(part == s)
-                    if len(at):
-                        rows.append((int(s), block, kind, key[at].tobytes(), count[at].tobytes()))
-            for k in range(0, len(rows), 256):
-                cols = list(zip(*rows[k : k + 256]))
+            check = _checksum(tokens)
+            counted = local_counts(tokens, train, order)
+            del tokens
+            rows = [(block % n_slices, block, 0, b"", check.to_bytes(8, "little"))]
+            for kind, (key, count) in enumerate(counted, start=1):
+                edge = slice_edges(key, n_slices)
+                for s in np.flatnonzero(np.diff(edge)):
+                    at = slice(edge[s], edge[s + 1])
+                    rows.append((int(s), block, kind, pack(key[at]), count[at].tobytes()))
+            for k in range(0, len(rows), 64):
+                cols = list(zip(*rows[k : k + 64]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                     ["slice", "block", "kind", "keys", "counts"],
@@ -140,35 +170,37 @@ def requests(docs: DataFrame, order: int, n_slices: int) -> DataFrame:
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """Per slice: total counts for the blocks whose own counts are not the whole, and the slice's totals."""
+    """Per slice: what the other blocks add to each block's counts, in the order it asked; and the slice's totals."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        at_slice = key[0].as_py()
         kind = t.column("kind").to_numpy()
         block = t.column("block").to_numpy()
-        keys, counts = t.column("keys").to_pylist(), t.column("counts").to_pylist()
+        keys, counts = t.column("keys"), t.column("counts")
         rows = []
         for i in np.flatnonzero(kind == 0):
-            rows.append((int(block[i]), b"", b"", 0, 0, int.from_bytes(counts[i], "little")))
+            rows.append((int(block[i]), 0, at_slice, b"", 0, 0, int.from_bytes(counts[i].as_py(), "little")))
         for k in (1, 2):
             mine = np.flatnonzero(kind == k)
             if not len(mine):
                 continue
-            key = [np.frombuffer(keys[i], np.uint64) for i in mine]
-            count = [np.frombuffer(counts[i], np.uint32) for i in mine]
-            every, inv = np.unique(np.concatenate(key), return_inverse=True)
-            total = np.bincount(inv, weights=np.concatenate(count), minlength=len(every)).astype(np.int64)
+            asked_keys = [unpack(keys[i].as_py()) for i in mine]
+            own = [np.frombuffer(counts[i].as_py(), np.uint32) for i in mine]
+            every, inv = np.unique(np.concatenate(asked_keys), return_inverse=True)
+            sizes = [len(x) for x in asked_keys]
+            del asked_keys
+            total = np.bincount(inv, weights=np.concatenate(own), minlength=len(every)).astype(np.int64)
             if k == 1:
-                rows.append((-1, b"", b"", int((total > 0).sum()), int(total.sum()), 0))
-            at = 0
-            for i, x, c in zip(mine, key, count):
-                now = total[inv[at : at + len(x)]]
-                at += len(x)
-                new = now != c
-                if new.any():
-                    rows.append((int(block[i]), x[new].tobytes(), now[new].astype(np.uint32).tobytes(), 0, 0, 0))
-        names = ["block", "keys", "counts", "vocabulary", "tokens", "checksum"]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        cols = list(zip(*rows)) if rows else [[]] * 6
+                rows.append((-1, 0, at_slice, b"", int((total > 0).sum()), int(total.sum()), 0))
+            end = 0
+            for i, n, c in zip(mine, sizes, own):
+                more = (total[inv[end : end + n]] - c).astype(np.uint32)
+                end += n
+                if more.any():
+                    rows.append((int(block[i]), k, at_slice, more.tobytes(), 0, 0, 0))
+        names = ["block", "kind", "slice", "more", "vocabulary", "tokens", "checksum"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        cols = list(zip(*rows)) if rows else [[]] * len(names)
         return pa.table([pa.array(c, ty) for c, ty in zip(cols, types)], names)
 
     return asked.groupBy("slice").applyInArrow(run, _ANSWER)
@@ -230,7 +262,8 @@ def lm_scores(
     """
     src = docs.select(doc_id, F.col(held_out).cast("boolean").alias(held_out), text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    got = stage(answers(requests(src, order, int(size // SLICE_TEXT) + 1)), "lm-answers")
+    n_slices = int(size // SLICE_TEXT) + 1
+    got = stage(answers(requests(src, order, n_slices)), "lm-answers")
     totals = got.filter("block = -1").agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n")).first()
     vocabulary, n_tokens = int(totals["v"] or 0), int(totals["n"] or 0)
 
@@ -259,11 +292,12 @@ def lm_scores(
         if check != _checksum(tokens):
             raise RuntimeError("the two scans of the documents did not form the same blocks")
         train = ~np.asarray(left.column(held_out).chunk(0).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-        key, count = (np.concatenate(x) for x in zip(*local_counts(tokens, train, order)))
-        sort = np.argsort(key)
-        key, count = key[sort], count[sort].astype(np.int64)
-        for k, c in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist()):
-            count[np.searchsorted(key, np.frombuffer(k, np.uint64))] = np.frombuffer(c, np.uint32)
+        counted = [(k, c.astype(np.int64), slice_edges(k, n_slices)) for k, c in local_counts(tokens, train, order)]
+        for kind, s, more in zip(*(right.column(c).to_pylist() for c in ("kind", "slice", "more"))):
+            if kind:
+                _, c, edge = counted[kind - 1]
+                c[edge[s] : edge[s + 1]] += np.frombuffer(more, np.uint32)
+        key, count = (np.concatenate([x[j] for x in counted]) for j in (0, 1))
         log_p, base, known = BackoffAutomaton(key, count, n_tokens, vocabulary, order, concentration).traverse(tokens)
         real = ~tokens.is_start
         total = lambda v: np.bincount(tokens.doc[real], weights=v[real], minlength=tokens.n_docs)
@@ -281,5 +315,5 @@ def lm_scores(
         )
 
     blocked = src.mapInArrow(number, blocked_schema)
-    back = got.filter("block >= 0").select("block", "keys", "counts", "checksum")
+    back = got.filter("block >= 0").select("block", "kind", "slice", "more", "checksum")
     return blocked.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
