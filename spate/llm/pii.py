@@ -168,12 +168,15 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALP
 def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
     """(h, terms): spans of the disclosing terms of each text; positions are running sums over its words."""
     some = found.filter("words is not null").join(revealed.select("h").distinct(), "h", "left_semi")
-    some = some.select("h", "gaps", "words").dropDuplicates(["h"])
-    rows = some.select("h", F.posexplode(F.arrays_zip("gaps", "words")).alias("i", "w")).select(
-        "h", "i", F.lower("w.words").alias("term"), F.length("w.words").alias("size"), (F.col("w.gaps") + F.length("w.words")).alias("step")
+    some = some.select("h", "spans", "gaps", "words").dropDuplicates(["h"])
+    rows = some.select("h", "spans", F.posexplode(F.arrays_zip("gaps", "words")).alias("i", "w")).select(
+        "h", "spans", "i", F.lower("w.words").alias("term"), F.length("w.words").alias("size"), (F.col("w.gaps") + F.length("w.words")).alias("step")
     )
     end = F.sum("step").over(Window.partitionBy("h").orderBy("i")).cast("int")
-    at = rows.withColumn("end", end).join(revealed, ["h", "term"])
+    at = rows.withColumn("end", end)
+    # Words of the entity itself belong to its base span.
+    at = at.filter(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("end") - F.col("size"))))
+    at = at.drop("spans").join(revealed, ["h", "term"])
     span = F.struct(
         F.when(F.col("removed"), "removed").otherwise("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), F.col("end"), F.col("term").alias("value")
     )

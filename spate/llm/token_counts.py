@@ -173,20 +173,28 @@ class PrefixCounter:
     def unit_prefixes(self, unit: str) -> list[int]:
         """Token count of every code point prefix of a unit.
 
-        Cutting a unit can change how its end is split into pieces (a lone
-        blank, ``'r`` of ``'re``), so each prefix takes its own pieces; the
-        pieces before the last come from the same table.
+        A prefix that ends inside a piece takes the count at that place of the
+        piece's table.  Only two kinds of cut change the pieces: inside the
+        white space at the start (one run then) and inside a contraction; these
+        short prefixes are encoded as they are.
         """
-        pieces: dict[bytes, list[int]] = {}
-        out = [0]
-        for i in range(1, len(unit) + 1):
-            n = 0
-            for p in _pieces().findall(unit[:i]):
-                b = p.encode("utf-8", "surrogatepass")
-                if b not in pieces:
-                    pieces[b] = self.piece_prefixes(b)
-                n += pieces[b][-1]
-            out.append(n)
+        out, base, at = [0], 0, 0
+        size = lambda t: len(self.lib.encode(t, add_special_tokens=False).ids)
+        for p in _pieces().findall(unit):
+            table = self.piece_prefixes(p.encode("utf-8", "surrogatepass"))
+            place = 0
+            for k, ch in enumerate(p, start=1):
+                place += len(ch.encode("utf-8", "surrogatepass"))
+                if k == len(p):
+                    out.append(base + table[-1])
+                elif p.isspace() or (k == 1 and ch == " "):
+                    out.append(size(unit[: at + k]))
+                elif p[0] == "'" and p[1].isalpha():
+                    out.append(base + size(p[:k]))
+                else:
+                    out.append(base + table[place])
+            base += table[-1]
+            at += len(p)
         return out
 
     # -- questions ------------------------------------------------------------
