@@ -38,6 +38,8 @@ LIMIT = 512
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
+_LEADING = re.compile(f"[{_SPACE}]*")
+
 #: Units remembered per Python worker, in two generations: when the younger is
 #: full it becomes the older, and the older goes.
 CACHE_UNITS = 400_000
@@ -174,21 +176,26 @@ class PrefixCounter:
         """Token count of every code point prefix of a unit.
 
         A prefix that ends inside a piece takes the count at that place of the
-        piece's table.  Only two kinds of cut change the pieces: inside the
-        white space at the start (one run then) and inside a contraction; these
-        short prefixes are encoded as they are.
+        piece's table.  Only two kinds of cut change the pieces: in the white
+        space at the start, which is one run then and has a table of its own,
+        and inside a contraction, which is encoded as it is.
         """
         out, base, at = [0], 0, 0
         size = lambda t: len(self.lib.encode(t, add_special_tokens=False).ids)
+        space = _LEADING.match(unit).group()
+        run = self.piece_prefixes(space.encode())
+        ends = [0]
+        for ch in space:
+            ends.append(ends[-1] + len(ch.encode()))
         for p in _pieces().findall(unit):
             table = self.piece_prefixes(p.encode("utf-8", "surrogatepass"))
             place = 0
             for k, ch in enumerate(p, start=1):
                 place += len(ch.encode("utf-8", "surrogatepass"))
-                if k == len(p):
+                if at + k <= len(space):
+                    out.append(run[ends[at + k]])
+                elif k == len(p):
                     out.append(base + table[-1])
-                elif p.isspace() or (k == 1 and ch == " "):
-                    out.append(size(unit[: at + k]))
                 elif p[0] == "'" and p[1].isalpha():
                     out.append(base + size(p[:k]))
                 else:
