@@ -16,19 +16,17 @@ from pyspark.sql import functions as F
 
 from spate.operators.groups import global_rank
 
-# Modulus and multiplier of the seeded row order (a Lehmer permutation of the
-# id residues); plain bigint arithmetic, so SQL engines can reproduce it.
-ORDER_MODULUS = 2147483647
-ORDER_MULTIPLIER = 48271
-
 LABELS = ("relevant", "mentions_impact")
 
 
 def seeded_key(id_col, seed: int = 0) -> Column:
-    """A seeded pseudo-random order key for integer ids."""
+    """A seeded pseudo-random order key: MD5 of ``seed:id`` in hexadecimal.
+
+    Works for ids of any type, and every seed gives an order of its own; SQL
+    engines produce the same text.
+    """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    m = F.lit(ORDER_MODULUS)
-    return F.pmod(F.pmod(c, m) * F.lit(ORDER_MULTIPLIER) + F.lit(seed), m)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")).cast("binary"))
 
 
 def undersample(df: DataFrame, label: str = "label", seed: int = 0, id: str = "id") -> DataFrame:

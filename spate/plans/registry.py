@@ -424,7 +424,7 @@ def q_confusion(spark, sf_dir):
 
 
 SEED = 7
-KEY_SQL = f"((id % {classify.ORDER_MODULUS}) * {classify.ORDER_MULTIPLIER} + {SEED}) % {classify.ORDER_MODULUS}"
+KEY_SQL = f"md5('{SEED}:' || CAST(id AS VARCHAR))"
 
 
 @register(
