@@ -164,8 +164,32 @@ def _fits(sa, pa_, sb, pb):
     return length & (reach >= least_overlap(sa, sb))
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, ta, tb) -> the pairs whose sets reach the threshold; a text that repeats in a slice is cut once."""
+
+    def sets_of(ids, texts):
+        _, first, place = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        sets, _ = shingle_sets(TextBatch(texts.take(pa.array(first))))
+        return sets, place
+
+    for batch in batches:
+        for half in slices(batch, 2):
+            for part in slices(half, 3):
+                (sa, ia), (sb, ib) = sets_of(part.column(0), part.column(2)), sets_of(part.column(1), part.column(3))
+                linked = []
+                for i, j in zip(ia, ib):
+                    common = len(np.intersect1d(sa[i], sb[j], assume_unique=True))
+                    linked.append(common > 0 and common * DENOMINATOR >= (len(sa[i]) + len(sb[j]) - common) * NUMERATOR)
+                keep = pa.array(linked, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+
+
 class Verifier:
-    """Fetches sets of candidate documents and checks each pair once."""
+    """Fetches texts of candidate documents and checks each pair once.
+
+    Texts travel, not sets: they take about half the room, and a pair's two
+    sets are built where it is checked.
+    """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, parts: DataFrame):
         self.docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -175,14 +199,12 @@ class Verifier:
         """The pairs (a < b) whose sets reach the threshold."""
         pairs = stage(self._suffix(pairs), "join-pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stage(self._sets(ids), "join-sets")
+        texts = self._texts(ids)
         both = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("sb")), "b")
+            pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         )
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        return both.filter(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
     def _suffix(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter: sets cut at fixed hash values can share at most the smaller part of each pair of parts."""
@@ -193,20 +215,10 @@ class Verifier:
         most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         return rows.filter(most >= least_overlap(F.col("na"), F.col("nb"))).select("a", "b")
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        """(id, hashes) of the wanted documents: a fixed-size filter thins the scan, an exact join follows."""
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the wanted documents: a fixed-size filter thins the scan, an exact join follows."""
         near = maybe_in(self.docs, "id", id_filter(ids, "id")).filter("__maybe").drop("__maybe")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, 1):
-                    sets, _ = shingle_sets(TextBatch(part.column(1)))
-                    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                    off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(off, flat)], ["id", "hashes"])
-
-        wanted = near.join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return wanted.mapInArrow(run, "id long, hashes array<bigint>")
+        return near.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
