@@ -286,7 +286,7 @@ def nearest(df: DataFrame, lon: float, lat: float, k: int, id: str = "id", lon_c
     if k <= TOPK_PAGE_LIMIT:
         return d.orderBy(F.col("distance"), F.col(id)).limit(k)
     ranked = global_rank(d, [F.col("distance"), F.col(id)], rank_col="__rank")
-    return ranked.filter(F.col("__rank") <= k).drop("__rank")
+    return ranked.filter(F.col("__rank") <= k).orderBy("__rank").drop("__rank")
 
 
 def at_point(df: DataFrame, lon: float, lat: float, lon_col: str = "lon", lat_col: str = "lat") -> DataFrame:
@@ -294,10 +294,10 @@ def at_point(df: DataFrame, lon: float, lat: float, lon_col: str = "lon", lat_co
     return df.filter((F.col(lon_col) == F.lit(lon)) & (F.col(lat_col) == F.lit(lat)))
 
 
-def hardest(df: DataFrame, score: str = "loss", n: int = 100, label: str | None = "label", positive=1) -> DataFrame:
-    """K4: the ``n`` rows with the highest ``score`` (optionally positives only)."""
+def hardest(df: DataFrame, score: str = "loss", n: int = 100, label: str | None = "label", positive=1, id: str = "id") -> DataFrame:
+    """K4: the ``n`` rows with the highest ``score`` (optionally positives only); ties by id."""
     out = df.filter(F.col(label) == F.lit(positive)) if label else df
-    return out.orderBy(F.col(score).desc()).limit(n)
+    return out.orderBy(F.col(score).desc(), F.col(id)).limit(n)
 
 
 def select_posts(df: DataFrame, spec: dict | None, id: str = "id", ts: str = "created_at") -> DataFrame:

@@ -68,3 +68,8 @@ def test_spread_only_when_scan_is_narrow(spark):
     target = spark.sparkContext.defaultParallelism * 2
     assert tables.spread(narrow).rdd.getNumPartitions() == target
     assert tables.spread(wide).rdd.getNumPartitions() == 64
+
+
+def test_hardest_breaks_ties_by_id(spark):
+    df = spark.createDataFrame([(3, 1, 0.5), (1, 1, 0.5), (2, 1, 0.9), (4, 0, 2.0)], "id long, label int, loss double")
+    assert [r["id"] for r in views.hardest(df, n=2).collect()] == [2, 1]
