@@ -65,14 +65,13 @@ def normalise_name(c) -> Column:
 # ---------------------------------------------------------------------------
 
 
-def gazetteer_names(gazetteer: DataFrame, country: str | None = None, max_words: int = 3) -> DataFrame:
+def gazetteer_names(gazetteer: DataFrame, country: str | None = None) -> DataFrame:
     """Best record per normalised name (highest importance, then smallest
     place_id), optionally limited to one country code."""
     g = gazetteer
     if country is not None:
         g = g.filter(F.upper(F.col("country_code")) == country.upper())
-    g = g.withColumn("key", normalise_name("name"))
-    g = g.filter((F.col("key") != "") & (F.size(F.split("key", " ")) <= max_words))
+    g = g.withColumn("key", normalise_name("name")).filter(F.col("key") != "")
     loc_fields = [c for c in g.columns if c not in ("name", "key", "country_code")]
     best = g.groupBy("key").agg(
         F.max_by(F.struct(*loc_fields), F.struct(F.col("importance"), -F.col("place_id"))).alias("loc")
@@ -80,12 +79,18 @@ def gazetteer_names(gazetteer: DataFrame, country: str | None = None, max_words:
     return best
 
 
-def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", text: str = "text", max_words: int = 3, country: str | None = None) -> DataFrame:
-    """Place names in the text, found as 1–``max_words``-word phrases equal
-    (case/punctuation-insensitive) to a gazetteer name.  Noise is removed with
-    numbers kept.  Overlaps resolve to the longest phrase, then the earliest.
-    Output ``(id, pos, word)``: one row per post × distinct word."""
+def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", text: str = "text", country: str | None = None) -> DataFrame:
+    """Place names in the text, found as phrases equal (case/punctuation-insensitive)
+    to a gazetteer name of any number of words.  Noise is removed with numbers kept.
+    Overlaps resolve from left to right: at each start the longest phrase counts, and
+    it is taken unless it overlaps the phrase taken before it.
+    Output ``(id, pos, word)``: one row per post × distinct word, at its first place."""
     ws = tx.split_words(tx.strip_noise(F.col(text), numbers=False))
+    names = gazetteer_names(gazetteer, country).select("key")
+    # The word counts that occur among the names: at most as many as the longest name has words.
+    lengths = sorted(r[0] for r in names.select(F.size(F.split("key", " "))).distinct().collect())
+    if not lengths:
+        lengths = [1]
 
     def starts(n):
         # All n-word phrases of the text, built inside the row (no self-join).
@@ -99,30 +104,32 @@ def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", tex
             ),
         ).otherwise(F.array())
 
-    phrases = F.flatten(F.array(*[starts(n) for n in range(1, max_words + 1)]))
+    phrases = F.flatten(F.array(*[starts(n) for n in lengths]))
     phrase = posts.select(F.col(id).alias("id"), F.explode(phrases).alias("p")).select(
         "id", "p.pos", "p.n", "p.phrase"
     )
     phrase = phrase.withColumn("key", normalise_name("phrase"))
-    names = gazetteer_names(gazetteer, country, max_words).select("key")
     hits = phrase.join(names, "key", "left_semi").select("id", "pos", "n", "phrase")
-    # Longest phrase per start, then drop phrases covered by an earlier one.
-    best = hits.groupBy("id", "pos").agg(F.max_by(F.struct("n", "phrase"), "n").alias("b")).select(
-        "id", "pos", "b.n", "b.phrase"
+    # Longest phrase per start, then one greedy pass over the starts of a post.
+    best = hits.groupBy("id", "pos").agg(F.max_by(F.struct("pos", "n", "phrase"), "n").alias("b"))
+    per_post = best.groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("hits"))
+    kept = F.aggregate(
+        "hits",
+        F.struct(F.lit(0).alias("reach"), F.slice("hits", 1, 0).alias("taken")),
+        lambda acc, h: F.when(
+            h["pos"] >= acc["reach"],
+            F.struct((h["pos"] + h["n"]).alias("reach"), F.concat(acc["taken"], F.array(h)).alias("taken")),
+        ).otherwise(acc),
+        lambda acc: acc["taken"],
     )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    covered = best.withColumn("__reach", F.max(F.col("pos") + F.col("n")).over(w))
-    kept = covered.filter(F.col("__reach").isNull() | (F.col("__reach") <= F.col("pos")))
-    # One row per post × word: the last occurrence wins.
-    return kept.groupBy("id", F.col("phrase").alias("word")).agg(F.max("pos").alias("pos")).select("id", "pos", "word")
+    taken = per_post.select("id", F.explode(kept).alias("h"))
+    return taken.groupBy("id", F.col("h.phrase").alias("word")).agg(F.min("h.pos").alias("pos")).select("id", "pos", "word")
 
 
 def resolve_toponyms(toponyms: DataFrame, gazetteer: DataFrame, country: str | None = "SE", word: str = "word") -> DataFrame:
     """Attach the best gazetteer record (``loc`` struct) to every toponym;
     unresolved names are kept with ``loc`` NULL."""
-    best = gazetteer_names(gazetteer, country, max_words=1_000)
+    best = gazetteer_names(gazetteer, country)
     return toponyms.withColumn("key", normalise_name(word)).join(best, "key", "left").drop("key")
 
 
@@ -354,7 +361,7 @@ def merge_subwords(df: DataFrame, tokens: str = "tokens") -> DataFrame:
         rest = F.slice(group, 2, F.greatest(nxt - s - 1, F.lit(0)))
         word = F.concat(
             head["word"],
-            F.array_join(F.transform(rest, lambda p: F.substring(p["word"], 3, 1 << 20)), ""),
+            F.array_join(F.transform(rest, lambda p: F.substr(p["word"], F.lit(3))), ""),
         )
         return F.struct(
             head["entity"].alias("entity"),
@@ -377,11 +384,12 @@ def entity_label(entity) -> Column:
 
 def location_tokens(df: DataFrame, tokens: str = "tokens", id: str = "id") -> DataFrame:
     """Location tokens of merged classifier output as long-form toponyms
-    ``(id, pos, word, ner_score)``; the last occurrence of a word wins."""
+    ``(id, pos, word, ner_score)``; a repeated word keeps its first place and
+    the score of its last."""
     e = df.select(F.col(id), F.posexplode(F.col(tokens)).alias("pos", "t")).filter(entity_label(F.col("t.entity")) == "LOC")
     return e.groupBy(id, F.col("t.word").alias("word")).agg(
-        F.max_by(F.struct("pos", F.col("t.score").alias("ner_score")), "pos").alias("b")
-    ).select(id, "b.pos", "word", "b.ner_score")
+        F.min("pos").alias("pos"), F.max_by(F.col("t.score"), "pos").alias("ner_score")
+    ).select(id, "pos", "word", "ner_score")
 
 
 def entity_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -42,8 +42,33 @@ def test_extract_toponyms_phrase_join(spark):
     more = "Flooding in Västra Götalands Lan near Uddevalla and again Uddevalla"
     posts = spark.createDataFrame([(1, text), (2, more)], "id long, text string")
     got = {(r["id"], r["word"], r["pos"]) for r in geo.extract_toponyms(posts, gz.sample_gazetteer(spark), country="SE").collect()}
-    # hashtags are noise; the three-word county wins over its parts; last occurrence wins
-    assert got == {(2, "Västra Götalands Lan", 2), (2, "Uddevalla", 9)}
+    # hashtags are noise; the three-word county wins over its parts; a repeated word keeps its first place
+    assert got == {(2, "Västra Götalands Lan", 2), (2, "Uddevalla", 6)}
+
+
+def _names(spark, *names):
+    rows = [(n, "SE", i, n, ["55", "55.1", "10", "10.1"], "0", "0", "place", "town", 0.5) for i, n in enumerate(names)]
+    cols = "name string, country_code string, place_id long, display_name string, boundingbox array<string>, lat string, lon string, class string, type string, importance double"
+    return spark.createDataFrame(rows, cols)
+
+
+def test_extract_toponyms_overlaps_and_long_names(spark):
+    posts = spark.createDataFrame([(1, "Alfa Beta Gamma Delta"), (2, "near Upper Alfa by the Sea today"), (3, None), (4, "")], "id long, text string")
+    g = _names(spark, "Alfa Beta", "Beta Gamma Delta", "Gamma", "Upper Alfa by the Sea")
+    got = {(r["id"], r["word"], r["pos"]) for r in geo.extract_toponyms(posts, g).collect()}
+    # "Beta Gamma Delta" overlaps the phrase taken before it; "Gamma" does not
+    assert got == {(1, "Alfa Beta", 0), (1, "Gamma", 2), (2, "Upper Alfa by the Sea", 1)}
+    assert geo.extract_toponyms(posts, g.limit(0)).collect() == []
+
+
+def test_repeated_place_keeps_its_order_in_ties(spark):
+    g = _names(spark, "Orust", "Tjorn")
+    posts = spark.createDataFrame([(1, "Orust och Tjorn och Orust")], "id long, text string")
+    tops = geo.resolve_toponyms(geo.extract_toponyms(posts, g), g)
+    assert geo.smallest_location(tops).first()["loc"]["display_name"] == "Orust"
+    tok = "array<struct<entity:string,word:string,score:double>>"
+    df = spark.createDataFrame([(1, [("LOC", "Orust", 0.5), ("B-LOC", "Tjorn", 0.6), ("LOC", "Orust", 0.9)])], f"id long, tokens {tok}")
+    assert {tuple(r) for r in geo.location_tokens(df).collect()} == {(1, 0, "Orust", 0.9), (1, 1, "Tjorn", 0.6)}
 
 
 def test_points_in_regions_edges_holes_multipolygon(spark):
