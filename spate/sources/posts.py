@@ -5,7 +5,7 @@ Schemas are explicit ``StructType``s — nothing is inferred on read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,11 +151,28 @@ def load(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return LOADERS[kind](spark, path)
 
 
+# A quoted string with escapes, a bare word, what lies between, or an unmatched quote.
+_REPR_PIECE = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\w++|[^'"\w]++|['"]"""
+
+
+def _json_words(cell: Column) -> Column:
+    """A Python ``repr`` with its constants as JSON writes them; quoted strings stay as they are."""
+    words = {"None": "null", "True": "true", "False": "false"}
+
+    def piece(p):
+        out = p
+        for python, json in words.items():
+            out = F.when(p == python, json).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.regexp_extract_all(cell, F.lit(_REPR_PIECE), F.lit(0)), piece), "")
+
+
 def read_legacy_stage(spark: SparkSession, path: str, nested: dict[str, T.DataType]) -> DataFrame:
     """A CSV stage table whose nested cells are Python ``repr`` strings.
 
-    ``None``/``True``/``False`` are rewritten to JSON, then the cell is parsed
-    with single quotes allowed.  Cells that still do not parse land in
+    ``None``/``True``/``False`` outside quotes are rewritten to JSON, then the
+    cell is parsed with single quotes allowed.  Cells that still do not parse land in
     ``_unparsed`` (column name → raw text), never silently dropped."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -163,7 +180,7 @@ def read_legacy_stage(spark: SparkSession, path: str, nested: dict[str, T.DataTy
     errors = []
     for col, dtype in nested.items():
         dt = _parse_datatype_string(dtype) if isinstance(dtype, str) else dtype
-        fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(col), "\\bNone\\b", "null"), "\\bTrue\\b", "true"), "\\bFalse\\b", "false")
+        fixed = _json_words(F.col(col))
         opts = {"allowSingleQuotes": "true"}
         if isinstance(dt, T.StructType):
             # A malformed cell fills the corrupt-record field instead of the struct.
@@ -194,6 +211,14 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None,
 # ---------------------------------------------------------------------------
 
 
+def _last_rows(df: DataFrame, key: str, key_as: str, row_as: str) -> DataFrame:
+    """One struct per key: the last row of the table (partial ``max_by``; a hot key is combined map-side)."""
+    return (
+        df.select(F.col(key).alias(key_as), F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.monotonically_increasing_id().alias("__at"))
+        .groupBy(key_as).agg(F.max_by("__row", "__at").alias(row_as))
+    )
+
+
 def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Denormalise a search page.
 
@@ -202,20 +227,21 @@ def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media:
     (must exist; ``author_id`` dropped) ⟕ ``places(id, ...)`` on
     ``geo.place_id`` (``geo`` dropped when matched, kept otherwise) ⟕ ``media``
     by each media key (a ``media`` map; ``attachments`` dropped only when it
-    has media keys, so polls stay).  Returns ``(posts, rejects)``: posts whose
+    has media keys, so polls stay).  Of users, places or media with the same
+    id the last row of the table counts.  Returns ``(posts, rejects)``: posts whose
     author, place or media is missing go to ``rejects`` with a reason."""
-    u = users.select(F.col("id").alias("author_id"), F.struct(*[F.col(c) for c in users.columns]).alias("user"))
-    p = places.select(F.col("id").alias("__pid"), F.struct(*[F.col(c) for c in places.columns]).alias("place"))
+    u = _last_rows(users, "id", "author_id", "user")
+    p = _last_rows(places, "id", "__pid", "place")
     with_user = posts.join(u, "author_id", "left")
     base = with_user.withColumn("__pkey", F.col("geo.place_id")).join(p, F.col("__pkey") == F.col("__pid"), "left")
     has_keys = F.coalesce(F.size("attachments.media_keys") > 0, F.lit(False)) if "attachments" in posts.columns else F.lit(False)
     base = base.withColumn("__has_media", has_keys)
     if media is not None and "attachments" in posts.columns:
-        m = media.select(F.col("media_key"), F.struct(*[F.col(c) for c in media.columns]).alias("__m"))
-        keys = base.filter("__has_media").select(F.col("id").alias("__id"), F.explode("attachments.media_keys").alias("media_key"))
+        m = _last_rows(media, "media_key", "media_key", "__m")
+        keys = base.filter("__has_media").select(F.col("id").alias("__id"), F.explode("attachments.media_keys").alias("media_key")).distinct()
         joined = keys.join(m, "media_key", "left")
         per_post = joined.groupBy("__id").agg(
-            F.map_from_entries(F.collect_list(F.struct("media_key", "__m"))).alias("media"),
+            F.map_from_entries(F.collect_list(F.when(F.col("__m").isNotNull(), F.struct("media_key", "__m")))).alias("media"),
             F.count_if(F.col("__m").isNull()).alias("__missing_media"),
         )
         base = base.join(per_post, F.col("id") == F.col("__id"), "left").drop("__id")

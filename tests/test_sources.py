@@ -79,6 +79,27 @@ def test_legacy_stage_reader(spark):
     assert rows["2"]["user"] is None and rows["2"]["_unparsed"][0]["column"] == "user"
 
 
+def test_legacy_stage_reader_keeps_quoted_constants(spark):
+    p = _tmp("stage.csv", 'id,user\n1,"{\'id\': 5, \'name\': \'None the Wiser True\', \'ok\': False}"\n2,"{\'id\': None, \'name\': ""it\'s None"", \'ok\': None}"\n')
+    rows = {r["id"]: r["user"] for r in src.read_legacy_stage(spark, p, {"user": "struct<id:int,name:string,ok:boolean>"}).collect()}
+    assert rows["1"]["name"] == "None the Wiser True" and rows["1"]["ok"] is False
+    assert rows["2"]["id"] is None and rows["2"]["name"] == "it's None" and rows["2"]["ok"] is None
+
+
+def test_assemble_posts_repeated_dimension_rows_and_keys(spark):
+    posts = spark.createDataFrame(
+        [("1", "a", "1", {"place_id": "1"}, {"media_keys": ["m1", "m1"]}), ("2", "b", "1", None, {"media_keys": ["m1", None]})],
+        "id string, text string, author_id string, geo struct<place_id:string>, attachments struct<media_keys:array<string>>",
+    )
+    users = spark.createDataFrame([("1", "old", "n"), ("1", "new", "n")], "id string, username string, name string").coalesce(1)
+    places = spark.createDataFrame([("1", "p", "f"), ("1", "p2", "f")], "id string, name string, full_name string").coalesce(1)
+    media = spark.createDataFrame([("m1", "photo", "u1"), ("m1", "photo", "u2")], "media_key string, type string, url string").coalesce(1)
+    out, rejects = src.assemble_posts(posts, users, places, media)
+    rows = out.collect()
+    assert [(r["id"], r["user"]["username"], r["place"]["name"], r["media"]["m1"]["url"]) for r in rows] == [("1", "new", "p2", "u2")]
+    assert [tuple(r) for r in rejects.collect()] == [("2", "missing media")]
+
+
 def test_assemble_posts(spark):
     posts = spark.createDataFrame(
         [
