@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spate.functions.times import utc_instant
 from spate.operators.groups import global_rank
 
 # Pages up to this depth are served by a top-k (TakeOrderedAndProject); deeper
@@ -151,8 +152,9 @@ def _day(ts) -> Column:
 
 def span_days(df: DataFrame, ts: str = "created_at") -> Column:
     """Whole days between the first and last time of ``df`` (a scalar Column)."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.select(F.floor((F.max(micros) - F.min(micros)) / F.lit(86_400_000_000)).cast("long")).scalar()
+    ends = df.agg(F.max(ts).alias("hi"), F.min(ts).alias("lo"))
+    micros = F.unix_micros(utc_instant(ends, "hi")) - F.unix_micros(utc_instant(ends, "lo"))
+    return ends.select(F.floor(micros / F.lit(86_400_000_000)).cast("long")).scalar()
 
 
 def time_histogram(

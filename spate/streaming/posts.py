@@ -5,7 +5,7 @@ X2 ``daily_counts_stream``: tumbling per-day post counts, emitted in append
 mode once the watermark passes the end of the day.
 
 Event time must be ``timestamp`` (``withWatermark`` rejects
-``timestamp_ntz``), so it is cast first.
+``timestamp_ntz``), so zone-less times are first read as UTC.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spate.functions.times import utc_instant
 from spate.session import ensure_checkpoint_dir
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    return df.withColumn(ts, utc_instant(df, ts))
 
 
 def dedup_stream(df: DataFrame, id: str = "id", ts: str = "created_at", delay: str = "1 hour") -> DataFrame:
@@ -39,8 +40,8 @@ def daily_counts_stream(df: DataFrame, ts: str = "created_at", delay: str = "1 h
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available (``availableNow``) into
     a Parquet table under the checkpoint folder, then read it back as a batch
-    DataFrame.  State and progress are checkpointed, so a restarted job resumes
-    instead of recomputing."""
+    DataFrame.  State and progress are checkpointed under ``name``: a job started
+    again with the same name resumes instead of recomputing."""
     base = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
     out, ckpt = os.path.join(base, "data"), os.path.join(base, "checkpoint")
     q = (

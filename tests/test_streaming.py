@@ -28,3 +28,17 @@ def test_stream_dedup_and_daily_counts(spark):
     got = {str(r["day_start"])[:10]: r["n"] for r in counts.collect()}
     # days whose end the watermark (latest time − 1 hour) has passed are emitted
     assert got == {"2024-01-01": 3, "2024-01-02": 1}
+
+
+def test_zone_less_times_are_utc_in_any_session(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="spate-stream-"), "p")
+    rows = [(1, datetime.datetime(2024, 1, 1, 1), "a"), (2, datetime.datetime(2024, 1, 3, 1), "b")]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(d)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        src = spark.readStream.schema(SCHEMA).parquet(d)
+        out = stream.run_to_table(spark, stream.daily_counts_stream(src), "t-zone-" + os.path.basename(os.path.dirname(d)))
+        assert [tuple(r) for r in out.selectExpr("unix_seconds(day_start)", "n").collect()] == [(1704067200, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
