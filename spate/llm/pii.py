@@ -8,11 +8,13 @@ positions are sums of lengths (code points).  The found values are the
 protected entities.  Information-theoretic sanitisation then asks how much a
 word of the text reveals an entity: with counts over the whole corpus,
 
-    PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))     IC(e) = -log2(n(e) / N)
+    PMI(t; e) = log2(N * n(t, e) / ((n(t) + PRIOR) * n(e)))     IC(e) = -log2(n(e) / N)
 
-a term discloses e in a text that holds both when PMI >= ALPHA * IC(e) and the
-pair is seen in at least ``MIN_TEXTS`` different texts.  A term that occurs with
-the entity only (PMI = IC) is removed, any other disclosing term is generalised.
+a term discloses e in a text that holds both when PMI >= ALPHA * IC(e).  Every
+entity is judged, also one that is in a single text; the added text of n(t)
+keeps a few texts from being evidence (an entity and a term of one text need a
+corpus of 32).  A term that occurs with the entity only is removed, any other
+disclosing term is generalised.
 
 n(t, e) and n(e) count different texts, so copies of one text count once; n(t)
 counts documents, so copies can only make a term look less revealing.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from spate.llm.common import stage
 
 ALPHA = 0.8
-MIN_TEXTS = 3
+#: Texts added to n(t): a term seen once is not taken to be certain to occur nowhere else.
+PRIOR = 1
 KINDS = ("email", "ip", "card", "phone")
 
 #: The contract's patterns, started only where a leftmost match can start and
@@ -138,31 +141,28 @@ def survey(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA) -> DataFrame:
     """(h, term, removed): the terms that disclose an entity, for each text that holds both."""
-    texts = found.filter("entities is not null").select("h", "entities")
-    ent = texts.select("h", F.explode("entities").alias("e")).distinct()
-    n_e = ent.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= min_texts)
-    frequent = stage(ent.join(n_e, "e"), "pii-entities")
-    words = found.filter("words is not null").select("h", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("t"))
-    words = words.join(frequent.select("h").distinct(), "h", "left_semi").distinct()
-    pairs = words.join(frequent, "h")
-    n_te = stage(
-        pairs.groupBy("t", "e").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= min_texts), "pii-pairs"
-    )
-    cand = stage(n_te.select("t").distinct(), "pii-terms")
-    # The count of every candidate term over all documents; without a candidate there is nothing to count.
-    if cand.limit(1).count():
-        every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TERM), F.lit(0)))).alias("t"))
-        n_t = every.join(cand, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    else:
-        n_t = cand.withColumn("n_t", F.lit(0).cast("long"))
+    ent = found.filter("entities is not null").select("h", F.explode("entities").alias("e")).distinct()
+    # Entities of the same texts have the same counts with every term: they are judged as one.
+    key = [F.bit_xor(F.xxhash64(F.lit(k), "h")).alias(f"e{k}") for k in (1, 2)]
+    n_e = ent.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), *key)
+    entities = stage(ent.join(n_e, "e").select("h", "n_e", "e1", "e2").distinct(), "pii-entities")
+    words = found.filter("words is not null").dropDuplicates(["h"])
+    words = words.select("h", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("t"))
     n = float(found.count())
-    pmi = F.log2(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    # A pair can disclose only if n(t) + PRIOR <= n(e)^alpha * N^(1 - alpha), because n(t, e) <= n(e).
+    within = lambda most: F.col("n_t") + PRIOR <= F.pow(most, F.lit(alpha)) * (n ** (1 - alpha) * (1 + 1e-9))
+    term = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))
+    n_t = docs.select(F.explode(term).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    most = F.lit(entities.agg(F.max("n_e")).first()[0] or 0).cast("double")
+    n_t = stage(n_t.filter(within(most)).join(words.select("t").distinct(), "t", "left_semi"), "pii-terms")
+    pairs = stage(words.join(n_t, "t").join(entities, "h").filter(within(F.col("n_e"))), "pii-pairs")
+    pmi = F.log2(F.lit(n) * F.col("n_te") / ((F.col("n_t") + PRIOR) * F.col("n_e")))
     ic = F.log2(F.lit(n) / F.col("n_e"))
-    judged = n_te.join(n_t, "t").filter((ic > 0) & (pmi >= F.lit(alpha) * ic))
-    judged = judged.select("t", "e", (F.col("n_t") <= F.col("n_te")).alias("removed"))
-    return pairs.join(judged, ["t", "e"]).groupBy("h", F.col("t").alias("term")).agg(F.max("removed").alias("removed"))
+    judged = pairs.groupBy("t", "e1", "e2", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter((ic > 0) & (pmi >= F.lit(alpha) * ic))
+    judged = judged.select("t", "e1", "e2", (F.col("n_t") <= F.col("n_te")).alias("removed"))
+    return pairs.join(judged, ["t", "e1", "e2"]).groupBy("h", F.col("t").alias("term")).agg(F.max("removed").alias("removed"))
 
 
 def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:

@@ -207,6 +207,15 @@ def test_pii_disclosing_terms(spark):
     assert "zanzibar" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[100]["text"] == docs[6][1]
 
 
+def test_pii_judges_entities_of_one_text(spark):
+    docs = [(0, "said qwertal mail to eve@example.org or adam@example.org today"), (1, "said other mail to bob@example.org today")]
+    docs += [(100 + k, f"said other plain mail to all today number{k}") for k in range(60)]
+    got = rows(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
+    at = docs[0][1].index("qwertal")
+    assert got[0]["spans"].split(",")[2:] == [f"removed:{at}:{at + 7}"]
+    assert got[1]["spans"].count(":") == 2 and got[100]["spans"] == ""
+
+
 def test_sanitise_leaves_no_base_span(spark, odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns
