@@ -16,8 +16,7 @@ keeps a few texts from being evidence (an entity and a term of one text need a
 corpus of 32).  A term that occurs with the entity only is removed, any other
 disclosing term is generalised.
 
-n(t, e) and n(e) count different texts, so copies of one text count once; n(t)
-counts documents, so copies can only make a term look less revealing.
+All counts and N are numbers of different texts: copies of one text count once.
 
 Null texts are empty: no spans.  Null ids and repeated rows are kept row by row.
 """
@@ -150,11 +149,12 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALP
     entities = stage(ent.join(n_e, "e").select("h", "n_e", "e1", "e2").distinct(), "pii-entities")
     words = found.filter("words is not null").dropDuplicates(["h"])
     words = words.select("h", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("t"))
-    n = float(found.count())
+    n = float(found.select("h").distinct().count())
     # A pair can disclose only if n(t) + PRIOR <= n(e)^alpha * N^(1 - alpha), because n(t, e) <= n(e).
     within = lambda most: F.col("n_t") + PRIOR <= F.pow(most, F.lit(alpha)) * (n ** (1 - alpha) * (1 + 1e-9))
-    term = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TERM), F.lit(0)), F.lower))
-    n_t = docs.select(F.explode(term).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.sha1(F.col("text").cast("binary"))).dropDuplicates(["h"])
+    term = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    n_t = texts.select(F.explode(term).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     most = F.lit(entities.agg(F.max("n_e")).first()[0] or 0).cast("double")
     n_t = stage(n_t.filter(within(most)).join(words.select("t").distinct(), "t", "left_semi"), "pii-terms")
     pairs = stage(words.join(n_t, "t").join(entities, "h").filter(within(F.col("n_e"))), "pii-pairs")

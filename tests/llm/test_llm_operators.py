@@ -216,6 +216,15 @@ def test_pii_judges_entities_of_one_text(spark):
     assert got[1]["spans"].count(":") == 2 and got[100]["spans"] == ""
 
 
+def test_pii_copies_change_no_disclosure(spark):
+    once = [f"said zanzibar mail to eve@example.org number{k}" for k in range(3)] + [f"said plain mail to all today number{k}" for k in range(60)]
+    docs = [(k, t) for k, t in enumerate(once)] + [(1000 + 100 * c + k, once[k]) for c in range(20) for k in range(3)]
+    got = rows(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
+    at = once[0].index("zanzibar")
+    for i in (0, 1, 2, 1000, 2902):
+        assert f"removed:{at}:{at + 8}" in got[i]["spans"].split(",")
+
+
 def test_sanitise_leaves_no_base_span(spark, odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns
