@@ -22,6 +22,10 @@ A document is the set of its five-word shingles, as 64-bit hashes.
    filters first and only then are their documents paired, filtered and
    verified once.
 6. Connected components of the links; every document gets its class's component.
+7. Link counts: phases 4 and 5 verify a connecting subset of the links.  A
+   component whose members are all linked by it is counted from it; the members
+   of any other one are compared all with all, in pairs of blocks of about
+   ``BLOCK_DOCS``, each one matrix product; counts leave a block, not pairs.
 
 Null ids take part as copies or not at all: their rows are returned with their
 size and, when an equal text has an id, its component, else null.  Documents
@@ -50,6 +54,10 @@ BUCKETS = 1 << 20
 GROUP_DOCS = 2_000
 #: Documents of its group that each document is paired with in the star phase.
 HUBS = ("first", "last", "next1", "next2", "next3", "next4", "next5", "next6")
+#: Documents of a component in a block of the link counts, about.
+BLOCK_DOCS = 512
+#: Shingles that one matrix product of a pair of blocks takes at a time.
+BLOCK_SHINGLES = 4_096
 #: Parts of a set that the suffix filter compares.
 PARTS = 16
 
@@ -252,8 +260,71 @@ def rest_pairs(grouped: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(left, ["token", "size1", "pos1", "c1"]).join(right, ["token", "size2", "pos2", "c2"]).select("a", "b")
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, n_links (verified links of its class)."""
+def _block_links(block: pa.Table) -> pa.Table:
+    """Rows (side, id, text) of a pair of blocks -> (id, n_links): the links of each document across the pair.
+
+    A block with itself has side 0 only.
+    """
+    sets = []
+    for batch in block.select(["text"]).to_batches():
+        for part in slices(batch, 0):
+            sets += shingle_sets(TextBatch(part.column(0)))[0]
+    ids, side = (block.column(k).to_numpy() for k in ("id", "side"))
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    shingle, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    place = np.zeros(len(sets), dtype=np.int64)
+    place[left] = np.arange(len(left))
+    place[right] = np.arange(len(right))
+    seen = [np.bincount(col[side[row] == k], minlength=len(shingle)) for k in (0, 1)]
+    shared = np.flatnonzero((seen[0] > 0) & (seen[1] > 0) if side.any() else seen[0] > 1)
+    at = np.full(len(shingle), -1, dtype=np.int64)
+    at[shared] = np.arange(len(shared))
+    col = at[col]
+    common = np.zeros((len(left), len(right)), dtype=np.float64)
+    for k in range(0, len(shared), BLOCK_SHINGLES):
+        here = (col >= k) & (col < k + BLOCK_SHINGLES)
+        part = []
+        for who in (0, 1) if side.any() else (0,):
+            mine = here & (side[row] == who)
+            m = np.zeros((len(right) if who else len(left), BLOCK_SHINGLES), dtype=np.float32)
+            m[place[row[mine]], col[mine] - k] = 1
+            part.append(m)
+        common += part[0] @ part[-1].T
+    either = n[left][:, None] + n[right][None, :] - common
+    linked = (common > 0) & (common * DENOMINATOR >= either * NUMERATOR)
+    count = np.zeros(len(sets), dtype=np.int64)
+    if side.any():
+        count[right] = linked.sum(axis=0)
+    else:
+        np.fill_diagonal(linked, False)
+    count[left] = linked.sum(axis=1)
+    return pa.table({"id": pa.array(ids, pa.int64()), "n_links": pa.array(count)})
+
+
+def link_counts(links: DataFrame, label: DataFrame, check: Verifier) -> DataFrame:
+    """(id, n_links) over all pairs that reach the threshold; linked documents share a component."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = stage(label.join(degree, "id"), "join-degrees")
+    size = degree.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_links").alias("ends"))
+    partial = stage(size.filter(F.col("ends") < F.col("m") * (F.col("m") - 1)).select("component", "m"), "join-partial")
+    whole = degree.join(partial, "component", "left_anti").select("id", "n_links")
+    blocks = F.ceil(F.col("m") / BLOCK_DOCS)
+    rows = degree.join(partial, "component").select("component", "id", blocks.alias("blocks"))
+    texts = check._texts(rows.select("id"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(
+        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id"
+    )
+    counted = rows.join(texts, "id").groupBy("component", "i", "j").applyInArrow(_block_links, "id long, n_links long")
+    return whole.unionByName(counted.groupBy("id").agg(F.sum("n_links").alias("n_links")))
+
+
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id and, unless not asked for, n_links (all links of its class)."""
     spark = docs.sparkSession
     summary = stage(summaries(docs, doc_id, text), "join-summary")
     freq = spark.sparkContext.broadcast(bucket_frequencies(summary))
@@ -290,16 +361,21 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     label = stage(components(links), "join-labels")
     more = stage(check.links(_pairs(rest_pairs(grouped, label))), "join-links")
     links = links.unionByName(more)
-    label = components(links)
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = cls.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("id", "rep"), "rep", "left")
+    label = stage(components(links), "join-labels")
+    known = cls.join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    if count_links:
+        degree = stage(link_counts(links, label, check), "join-counts")
+        known = known.join(degree.withColumnRenamed("id", "rep"), "rep", "left")
+    else:
+        known = known.withColumn("n_links", F.lit(None).cast("long"))
     known = known.select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = rows.join(known, ["sig1", "sig2", "n"], "left")
-    return out.select(
+    out = out.select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+    return out if count_links else out.drop("n_links")
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,7 +385,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows that the fixed-size filter of dropped ids lets pass; the rest take an
     exact join.
     """
-    got = stage(ngram_join(docs, doc_id, text), "join-result").filter(F.col(doc_id).isNotNull()).withColumnRenamed(doc_id, "__id")
+    got = stage(ngram_join(docs, doc_id, text, count_links=False), "join-result").filter(F.col(doc_id).isNotNull()).withColumnRenamed(doc_id, "__id")
     per = stage(
         got.groupBy("__id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") == F.col("__id")).alias("stays")), "join-decisions"
     )

@@ -151,6 +151,20 @@ def test_ngram_join_equals_all_pairs(spark, texts):
     assert got == jaccard_components(more)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    words = [f"t{k}" for k in range(100)]
+    docs = {k: " ".join([*words[:k], f"u{k}", *words[k + 1 :]]) for k in range(60)}
+    docs |= {100 + k: docs[k] for k in range(5)} | {200: "a b c d e f", 201: "a b c d e f g", 300: "x y z"}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(len(t.split()) - 4, 1))} for i, t in docs.items()}
+    each = {frozenset(s) for s in sets.values()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(df).collect()}
+    assert got == {i: sum(4 * len(s & o) >= 3 * len(s | o) for o in each if o != s) for i, s in sets.items()}
+    assert got[0] == got[100] >= 50
+
+
 def test_ngram_join_odd_rows(spark, odd, none):
     got = ngram_join.ngram_join(odd).collect()
     by = collections.defaultdict(list)
