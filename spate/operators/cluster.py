@@ -27,11 +27,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spate.operators.components import components
 from spate.operators.groups import global_rank
 from spate.session import cut_lineage
 
-MAX_COMPONENT_ROUNDS = 200
-
 
 # Terms in more than HOT_DF documents are "hot": their products are computed
 # as dense tile matrix products instead of a term-keyed join.  At most MAX_HOT
@@ -186,20 +185,11 @@ def neighbour_pairs(
     )
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = MAX_COMPONENT_ROUNDS) -> DataFrame:
-    """``(id, comp)`` with ``comp`` = smallest id of the component, by min-label
-    propagation over undirected ``edges(a, b)``.  Each round is a join and a
-    partial min-aggregate; lineage is cut through the checkpoint folder."""
-    labels = vertices.select("id", F.col("id").alias("comp"))
-    for i in range(max_rounds):
-        incoming = edges.join(labels.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "comp")
-        new = labels.unionByName(incoming).groupBy("id").agg(F.min("comp").alias("comp"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "id").filter(F.col("comp") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            return labels
-    raise RuntimeError("connected components did not converge")
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, comp)`` with ``comp`` = smallest id of the component over undirected
+    ``edges(a, b)``, whatever the length of its paths."""
+    found = components(edges).withColumnRenamed("component", "comp")
+    return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def dbscan(weights: DataFrame, ids: DataFrame, eps: float = 1.2, min_samples: int = 2, **pair_options) -> DataFrame:

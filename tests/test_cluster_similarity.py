@@ -105,3 +105,10 @@ def test_near_duplicates_match_brute_force(spark):
                 want.add(j)
         assert got == want
         assert math.isfinite(thr)
+
+
+def test_components_of_a_long_chain(spark):
+    ids = spark.range(1000, 1500).select("id")
+    edges = spark.range(1000, 1450).selectExpr("id AS a", "id + 1 AS b")
+    got = {r["id"]: r["comp"] for r in cluster.connected_components(ids, edges).collect()}
+    assert got == {i: 1000 if i <= 1450 else i for i in range(1000, 1500)}
