@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spate.llm import collocations as co
 from spate.llm import decontaminate as dc
+from spate.llm import guess_cost as gc
 from spate.llm import lm_score as lm
 from spate.llm import mixing
 from spate.llm import ngram_join as nj
@@ -16,6 +18,7 @@ from spate.llm import quality_rules as qr
 from spate.llm import token_counts as tc
 from spate.llm import toxicity as tx
 from spate.llm import warc
+from spate.llm import whitening as wh
 from spate.llm.common import crc_mod, stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +93,21 @@ def op10(spark, sf_dir):
     return warc.page_digests(warc.read_archives(spark, path, with_block=False))
 
 
+@register("op11_whitening")
+def op11(spark, sf_dir):
+    return wh.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_guess_cost")
+def op12(spark, sf_dir):
+    return gc.digest(gc.guess_costs(table(spark, sf_dir, "documents")))
+
+
+@register("op13_collocations", co.ORACLE_SQL)
+def op13(spark, sf_dir):
+    return co.collocations(table(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
