@@ -52,7 +52,7 @@ SCALE = 2_000_000
 MAP_BITS = 1 << 25
 MAP_HASHES = 2
 #: Text bytes of one numpy pass.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Rows that one group of the ranking holds, about.
 RANK_ROWS = 20_000
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 from spate.session import ensure_checkpoint_dir
 
 #: Text bytes handled by one numpy pass; bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch while a stage table is written: workers and executors hold whole batches.
+ARROW_ROWS = 1_000
 
 
 # ---------------------------------------------------------------------------
@@ -44,10 +47,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``ARROW_ROWS`` rows for the job that runs inside; the session's setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo ``m`` (the contracts' fold rule)."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(m)).cast("int")

@@ -57,7 +57,7 @@ WORD_SHORT, WORD_LONG = 3, 24
 UNIT_LONG = 24
 #: Dates are guessed from this year on, in both directions.
 YEAR, YEARS_LEAST = 2020, 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 # The base patterns.
 _KEYWORD = re.compile(rb"password|passwd|secret|token|api_?key")

@@ -106,9 +106,12 @@ def summaries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     freq += np.bincount((every & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         if freq.any():
-            rows = [(None, -1, None, None, None, k, b.tolist()) for k, b in enumerate(freq.reshape(-1, 1 << 12))]
-            for k in range(0, len(rows), 32):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 32]), types)], names)
+            for first in range(0, BUCKETS, 1 << 17):
+                blocks = np.arange(first >> 12, (first + (1 << 17)) >> 12, dtype=np.int32)
+                counts = pa.ListArray.from_arrays(np.arange(0, (1 << 17) + 1, 1 << 12, dtype=np.int32), freq[first : first + (1 << 17)])
+                none = [pa.nulls(len(blocks), t) for t in types[:5]]
+                none[1] = pa.array(np.full(len(blocks), -1))
+                yield pa.RecordBatch.from_arrays([*none, pa.array(blocks), counts], names)
 
     schema = "id long, n long, sig1 long, sig2 long, parts array<int>, block int, counts array<bigint>"
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)

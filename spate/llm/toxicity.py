@@ -81,8 +81,10 @@ def toxic_contexts(sample: DataFrame) -> DataFrame:
                 w = _words(TextBatch(part.column(0)))
                 if not len(w.hash):
                     continue
-                left = np.concatenate(([np.uint64(0)], w.hash[:-1]))
-                right = np.concatenate((w.hash[1:], [np.uint64(0)]))
+                # Contexts end with their document: the counts do not depend on how rows are batched.
+                near = w.doc[1:] == w.doc[:-1]
+                left = np.concatenate(([np.uint64(0)], np.where(near, w.hash[:-1], np.uint64(0))))
+                right = np.concatenate((np.where(near, w.hash[1:], np.uint64(0)), [np.uint64(0)]))
                 ctx = mix64(left * np.uint64(3) + right)
                 for f in _features(w):
                     at = np.flatnonzero(f)
