@@ -37,8 +37,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The selected documents, one row per epoch they are taken in: doc_id, epoch, domain, lang, source, n_tokens."""
-    return mixing.mix(docs)
+    """The selected documents with all their columns, one row per epoch they are taken in, plus epoch, domain and n_tokens.
+
+    Rows that share an id are taken together; columns that ``docs`` has already keep their values.
+    """
+    more = [c for c in ("epoch", "domain", "n_tokens") if c not in docs.columns]
+    picked = mixing.mix(docs).dropDuplicates(["doc_id", "epoch"]).select(F.col("doc_id").alias("picked_id"), *more)
+    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["picked_id"])).drop("picked_id")
 
 
 STAGES = [
