@@ -7,14 +7,13 @@ DBSCAN plan (exact):
 
 * Euclidean ``eps`` on unit rows ⇔ cosine ≥ ``1 − eps²/2``.  With ``eps < √2``
   the threshold is positive, so neighbours share a term.
-* Exact cosines split by term frequency (see ``neighbour_pairs``): rare terms
-  through a term-keyed join with bounded keys, frequent terms as dense tile
-  matrix products, combined per tile pair.  (Prefix filtering, Bayardo et al.
-  2007, was tried: at cosine 0.28 it kept 92 % of the entries and cost more.)
-* Core points by degree; connected
-  components of core–core edges by iterative min-label propagation, cutting
-  lineage through the reliable checkpoint folder; border points join the
-  lowest-numbered neighbouring cluster; the rest is noise (−1).
+* Exact cosines of tiles of documents (see ``neighbour_pairs``): per pair of
+  tiles all shared terms, frequent ones as dense blocks, the others product by
+  product.  (Prefix filtering, Bayardo et al. 2007, was tried: at cosine 0.28
+  it kept 92 % of the entries and cost more.)
+* Core points by degree; connected components of core–core edges by
+  alternating star steps; border points join the lowest-numbered neighbouring
+  cluster; the rest is noise (−1).
 * Rows with no weight (all terms vanished) are at distance 1 from every unit
   row: with ``eps ≥ 1`` they neighbour everything; this case is handled
   explicitly.
@@ -24,6 +23,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,60 @@ from spate.operators.groups import global_rank
 from spate.session import cut_lineage
 
 
-# Terms in more than HOT_DF documents are "hot": their products are computed
-# as dense tile matrix products instead of a term-keyed join.  At most MAX_HOT
-# terms are hot (the most frequent ones), which bounds the dense width.
-HOT_DF = 200
-MAX_HOT = 4096
-# Documents per side of one pair tile, and the smallest tile worth splitting to.
+# Entries (document, term) and documents per side of one tile, at most about.
+TILE_ENTRIES = 1 << 20
 PAIR_TILE = 2048
+# The smallest tile of documents worth splitting to (each document travels once per tile).
 MIN_TILE = 256
+# A term in a and b documents of a tile pair is multiplied densely when a * b exceeds HOT_DF squared;
+# dense terms are taken MAX_HOT at a time.
+HOT_DF = 100
+MAX_HOT = 1024
+# Products of the other terms that are expanded at a time.
+EXPANDED = 1 << 21
+
+
+def tile_dots(
+    lrow: np.ndarray, lterm: np.ndarray, lw: np.ndarray, rrow: np.ndarray, rterm: np.ndarray, rw: np.ndarray,
+    shape: tuple[int, int], hot_df: int = HOT_DF, max_hot: int = MAX_HOT,
+) -> np.ndarray:
+    """All dot products of two tiles of sparse rows, (row, term number, weight) each.
+
+    Terms that fill much of the tile pair are blocks of dense columns, ``max_hot``
+    at a time; the products of all others are added one by one, in blocks.
+    """
+    n_terms = int(max(lterm.max(initial=-1), rterm.max(initial=-1))) + 1
+    dots = np.zeros(shape)
+    in_left, in_right = np.bincount(lterm, minlength=n_terms), np.bincount(rterm, minlength=n_terms)
+    work = in_left.astype(np.int64) * in_right
+    column = np.full(n_terms, -1, dtype=np.int64)
+    dense = np.flatnonzero(work > hot_df * hot_df)
+    column[dense] = np.arange(len(dense))
+    lcol, rcol = column[lterm], column[rterm]
+    for k in range(0, len(dense), max_hot):
+        part = []
+        for rows, row, col, w in ((shape[0], lrow, lcol, lw), (shape[1], rrow, rcol, rw)):
+            here = (col >= k) & (col < k + max_hot)
+            block = np.zeros((rows, min(max_hot, len(dense) - k)))
+            block[row[here], col[here] - k] = w[here]
+            part.append(block)
+        dots += part[0] @ part[1].T
+    # The other shared terms: entries of the left tile with the run of the right tile's entries of their term.
+    pick = (lcol < 0) & (in_right[lterm] > 0)
+    lrow, lterm, lw = lrow[pick], lterm[pick], lw[pick]
+    by_term = np.argsort(rterm, kind="stable")
+    begin = np.concatenate(([0], np.cumsum(in_right)))
+    many = in_right[lterm]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    flat = dots.reshape(-1)
+    at = 0
+    while at < len(lrow):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + EXPANDED, side="right")) - 1)
+        left = np.repeat(np.arange(at, end), many[at:end])
+        right = by_term[begin[lterm[left]] + np.arange(len(left)) - (upto[left] - upto[at])]
+        np.add.at(flat, lrow[left] * shape[1] + rrow[right], lw[left] * rw[right])
+        at = end
+    return dots
 
 
 def neighbour_pairs(
@@ -48,141 +96,49 @@ def neighbour_pairs(
     """All ordered pairs ``(a, b)``, a ≠ b, of unit rows with cosine ≥
     ``min_cosine`` (> 0), exactly.
 
-    The vocabulary is split.  *Rare* terms (df ≤ ``hot_df``) go through a
-    term-keyed self-join whose products are summed per pair — every join key
-    has at most ``hot_df`` rows, so no frequent term explodes into all pairs
-    of its documents.  *Hot* terms (the ≤ ``max_hot`` most frequent terms with
-    df > ``hot_df``, a bounded table) are packed per document and multiplied
-    as dense matrices in tiles of ``PAIR_TILE`` documents per side, one
-    cogrouped pandas call per tile pair; the rare partial sums of the pairs of
-    that tile pair are routed into the same call, so the kernel adds both
-    parts and emits only true neighbours.
+    Documents are packed with all their terms and hashed into tiles of at most
+    about ``tile_size`` documents and ``TILE_ENTRIES`` entries.  One cogrouped
+    call per pair of tiles numbers the terms that the two tiles hold, sums the
+    products of all of them (``tile_dots``) and emits only true neighbours.
+    Nothing is joined or grouped by a term, so no term is a hot key, none is
+    left out, and no partial sum travels.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import Window
-
     if min_cosine <= 0:
         raise ValueError("a positive cosine threshold is needed (neighbours must share a term)")
-    dfreq = weights.groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
-    hot = dfreq.filter(F.col("__df") > hot_df).orderBy(F.col("__df").desc(), F.col("term")).limit(max_hot)
-    # ≤ max_hot rows: a proven bound, so indexing it in one window and
-    # broadcasting it are safe.
-    hot = hot.select("term", (F.row_number().over(Window.orderBy(F.col("__df").desc(), F.col("term"))) - 1).cast("int").alias("__h"))
-    w = weights.join(F.broadcast(hot), "term", "left")
-    rare = w.filter(F.col("__h").isNull())
-
-    wa = rare.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
-    wb = rare.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    rare_dots = (
-        wa.join(wb, "term").filter(F.col("a") < F.col("b"))
-        .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("rd"))
-    )
-
-    # A rare partial sum can only matter when, with the largest possible hot
-    # part (Cauchy–Schwarz: ‖a_hot‖·‖b_hot‖), the pair can still reach the
-    # threshold; other pairs are dropped before they travel to the tiles.
-    hot_norm = w.filter(F.col("__h").isNotNull()).groupBy("id").agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__hn")
-    )
-    na = hot_norm.select(F.col("id").alias("a"), F.col("__hn").alias("__ha"))
-    nb = hot_norm.select(F.col("id").alias("b"), F.col("__hn").alias("__hb"))
-    rare_dots = (
-        rare_dots.join(na, "a", "left").join(nb, "b", "left")
-        .filter(F.col("rd") + F.coalesce(F.col("__ha"), F.lit(0.0)) * F.coalesce(F.col("__hb"), F.lit(0.0)) >= F.lit(float(min_cosine) - 1e-12))
-        .select("a", "b", "rd")
-    )
-    ids = weights.select("id").distinct()
-    n_hot = hot.count()
-    n_docs = ids.count()
-    # Enough tiles for the document count, and enough tile pairs to keep every
-    # core busy (n_tiles·(n_tiles+1)/2 ≥ 2·parallelism).
+    packed = weights.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("__tw"))
+    docs = cut_lineage(packed.select("id", F.col("__tw.term").alias("terms"), F.col("__tw.weight").alias("ws")))
+    n_docs, n_entries = docs.select(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    # Enough tiles for the documents and their entries, and enough tile pairs to keep every
+    # core busy (n_tiles·(n_tiles+1)/2 ≥ 2·parallelism), but none below MIN_TILE documents.
     par = weights.sparkSession.sparkContext.defaultParallelism
-    n_tiles = max(1, -(-n_docs // tile_size))
-    # ... but never tiles smaller than MIN_TILE documents (replication cost).
-    max_tiles = max(1, -(-n_docs // MIN_TILE))
-    while n_tiles * (n_tiles + 1) // 2 < 2 * par and n_tiles < max_tiles:
+    n_tiles = max(1, -(-n_docs // tile_size), -(-n_entries // TILE_ENTRIES))
+    while n_tiles * (n_tiles + 1) // 2 < 2 * par and n_tiles < -(-n_docs // MIN_TILE):
         n_tiles += 1
-    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(n_tiles)).cast("int")
-    packed = w.filter(F.col("__h").isNotNull()).groupBy("id").agg(
-        F.collect_list(F.struct("__h", "weight")).alias("__hv")
-    )
-    docs = ids.join(packed, "id", "left").select(
-        "id",
-        tile("id").alias("__t"),
-        F.coalesce(F.transform("__hv", lambda x: x["__h"]), F.array().cast("array<int>")).alias("hi"),
-        F.coalesce(F.transform("__hv", lambda x: x["weight"]), F.array().cast("array<double>")).alias("hw"),
-    )
-    # Left side: documents of tile ti for every tj ≥ ti, plus the rare partial
-    # sums of pairs falling in tile pair (ti, tj).  Right side: documents of tile
-    # tj for every ti ≤ tj.
-    left_docs = docs.select(
-        F.col("__t").alias("ti"), F.explode(F.sequence(F.col("__t"), F.lit(n_tiles - 1))).alias("tj"),
-        F.lit("d").alias("kind"), "id", "hi", "hw",
-        F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("rd"),
-    )
-    ta, tb = tile("a"), tile("b")
-    left_rare = rare_dots.select(
-        F.least(ta, tb).alias("ti"), F.greatest(ta, tb).alias("tj"), F.lit("r").alias("kind"),
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<int>").alias("hi"), F.lit(None).cast("array<double>").alias("hw"),
-        "a", "b", "rd",
-    )
-    right = docs.select(
-        F.explode(F.sequence(F.lit(0), F.col("__t"))).alias("ti"), F.col("__t").alias("tj"),
-        F.col("id").alias("rid"), F.col("hi").alias("rhi"), F.col("hw").alias("rhw"),
-    )
+    docs = docs.withColumn("__t", F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int"))
+    left = docs.select(F.col("__t").alias("ti"), F.explode(F.sequence(F.col("__t"), F.lit(n_tiles - 1))).alias("tj"), "id", "terms", "ws")
+    right = docs.select(F.explode(F.sequence(F.lit(0), F.col("__t"))).alias("ti"), F.col("__t").alias("tj"), "id", "terms", "ws")
     threshold = float(min_cosine) - 1e-12
-    width = max(n_hot, 1)
-
-    def dense(his, hws):
-        m = np.zeros((len(his), width))
-        for r, (hi, hw) in enumerate(zip(his, hws)):
-            if hi is not None and len(hi):
-                m[r, np.asarray(hi, dtype=np.int64)] = np.asarray(hw, dtype=np.float64)
-        return m
-
-    def kernel(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        ld = lpdf[lpdf["kind"] == "d"]
-        lr = lpdf[lpdf["kind"] == "r"]
-        if ld.empty or rpdf.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        lid = ld["id"].to_numpy(dtype=np.int64)
-        rid = rpdf["rid"].to_numpy(dtype=np.int64)
-        g = dense(ld["hi"], ld["hw"]) @ dense(rpdf["rhi"], rpdf["rhw"]).T
-        if not lr.empty:
-            # Vectorised placement of the rare partial sums into the tile.
-            lo, ro = np.argsort(lid), np.argsort(rid)
-            ls, rs = lid[lo], rid[ro]
-
-            def locate(sorted_ids, order, v):
-                i = np.searchsorted(sorted_ids, v)
-                i = np.minimum(i, len(sorted_ids) - 1)
-                return order[i], sorted_ids[i] == v
-
-            ra_ = lr["a"].to_numpy(dtype=np.int64)
-            rb_ = lr["b"].to_numpy(dtype=np.int64)
-            rd_ = lr["rd"].to_numpy(dtype=np.float64)
-            la, la_ok = locate(ls, lo, ra_)
-            rb, rb_ok = locate(rs, ro, rb_)
-            fwd = la_ok & rb_ok
-            np.add.at(g, (la[fwd], rb[fwd]), rd_[fwd])
-            lb, lb_ok = locate(ls, lo, rb_)
-            rA, rA_ok = locate(rs, ro, ra_)
-            rev = ~fwd & lb_ok & rA_ok
-            np.add.at(g, (lb[rev], rA[rev]), rd_[rev])
-        x, y = np.nonzero(g >= threshold)
+
+    def kernel(key, ltab: pa.Table, rtab: pa.Table) -> pa.Table:
+        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if not ltab.num_rows or not rtab.num_rows:
+            return out.empty_table()
+        sides = []
+        for tab in (ltab, rtab):
+            terms = tab.column("terms").combine_chunks()
+            row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())
+            sides.append((tab.column("id").to_numpy(), row, terms.flatten(), tab.column("ws").combine_chunks().flatten().to_numpy()))
+        (lid, lrow, lt, lw), (rid, rrow, rt, rw) = sides
+        codes = pa.chunked_array([lt, rt]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        dots = tile_dots(lrow, codes[: len(lt)], lw, rrow, codes[len(lt) :], rw, (len(lid), len(rid)), hot_df, max_hot)
+        x, y = np.nonzero(dots >= threshold)
         ia, ib = lid[x], rid[y]
-        same_tile = int(key[0]) == int(key[1])
-        keep = ia < ib if same_tile else ia != ib
-        lo_, hi_ = np.minimum(ia, ib)[keep], np.maximum(ia, ib)[keep]
+        keep = ia < ib if key[0].as_py() == key[1].as_py() else ia != ib
+        ia, ib = ia[keep], ib[keep]
         # both directions, so the caller needs no second pass over the tiles
-        return pd.DataFrame({"a": np.concatenate([lo_, hi_]), "b": np.concatenate([hi_, lo_])})
+        return pa.table([pa.array(np.concatenate([ia, ib])), pa.array(np.concatenate([ib, ia]))], schema=out)
 
-    return (
-        left_docs.unionByName(left_rare).groupBy("ti", "tj")
-        .cogroup(right.groupBy("ti", "tj"))
-        .applyInPandas(kernel, schema="a long, b long")
-    )
+    return left.groupBy("ti", "tj").cogroup(right.groupBy("ti", "tj")).applyInArrow(kernel, schema="a long, b long")
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -199,8 +155,7 @@ def dbscan(weights: DataFrame, ids: DataFrame, eps: float = 1.2, min_samples: in
     if eps >= math.sqrt(2):
         raise ValueError("eps must be below sqrt(2) on unit rows")
     min_cos = 1.0 - eps * eps / 2.0
-    # The weights feed counts, the hot-term table, the rare join and the tile
-    # packing: write them once instead of recomputing them per branch.
+    # The weights feed the tiles and the list of rows that have any: written once.
     weights = cut_lineage(weights.select("id", "term", "weight"))
     all_ids = ids.select("id").distinct()
     weighted = weights.select("id").distinct()

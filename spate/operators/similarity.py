@@ -111,11 +111,9 @@ def drop_near_duplicates(
 TILE = 1024
 
 
-def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataFrame:
-    """Probe ids having an earlier row (smaller order) in the same cell with
-    cosine > ``thr``.  Work per cogroup is bounded by TILE × TILE."""
-    import numpy as np
-    import pandas as pd
+def tile_cogroups(probes: DataFrame, earlier: DataFrame):
+    """Cogroups of the rows of each cell (``__bx``, ``__by``): every tile of about TILE
+    probe rows with every tile of rows to compare them with."""
 
     def tiles(frame, name):
         return frame.groupBy("__bx", "__by").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias(name))
@@ -133,6 +131,19 @@ def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataF
         F.explode(F.sequence(F.lit(0), F.col("__np") - 1)).alias("__tp"),
     )
     keys = ["__bx", "__by", "__tp", "__te"]
+    fields = ["__o", "__vec", "__nrm"]
+    return (
+        p.select(*keys, "__id", *fields)
+        .groupBy(*keys)
+        .cogroup(e.select(*keys, *(["__id"] if "__id" in e.columns else []), *fields).groupBy(*keys))
+    )
+
+
+def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataFrame:
+    """Probe ids having an earlier row (smaller order) in the same cell with
+    cosine > ``thr``.  Work per cogroup is bounded by TILE × TILE."""
+    import numpy as np
+    import pandas as pd
 
     def kernel(pdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or edf.empty:
@@ -144,12 +155,27 @@ def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataF
         hit = ((cos > thr) & earlier_mask).any(axis=1)
         return pd.DataFrame({"__id": pdf["__id"].to_numpy()[hit].astype("int64")})
 
-    return (
-        p.select(*keys, "__id", "__o", "__vec", "__nrm")
-        .groupBy(*keys)
-        .cogroup(e.select(*keys, "__o", "__vec", "__nrm").groupBy(*keys))
-        .applyInPandas(kernel, schema="__id long")
-    )
+    return tile_cogroups(probes, earlier).applyInPandas(kernel, schema="__id long")
+
+
+def similar_rows(queries: DataFrame, df: DataFrame, vec: str = "embedding", id: str = "id", thr: float = 0.8) -> DataFrame:
+    """(query, id, cosine): per query row all other rows of cosine > ``thr``, by brute force in tiles."""
+    import numpy as np
+    import pandas as pd
+
+    def side(frame):
+        rows = frame.select(F.col(id).alias("__id"), F.col(id).alias("__o"), as_double_array(vec).alias("__vec"))
+        return rows.withColumn("__nrm", norm(F.col("__vec"))).filter("__nrm > 0").withColumns({"__bx": F.lit(0), "__by": F.lit(0)})
+
+    def kernel(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or e.empty:
+            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})
+        cos = (np.stack(p["__vec"].to_numpy()) @ np.stack(e["__vec"].to_numpy()).T) / np.outer(p["__nrm"], e["__nrm"])
+        i, j = np.nonzero(cos > thr)
+        out = pd.DataFrame({"query": p["__id"].to_numpy()[i], "id": e["__id"].to_numpy()[j], "cosine": cos[i, j]})
+        return out[out["query"] != out["id"]]
+
+    return tile_cogroups(side(queries), side(df)).applyInPandas(kernel, schema="query long, id long, cosine double")
 
 
 def top_similar(docs: DataFrame, candidates: DataFrame, n: int = 5, id: str = "id", vec: str = "embedding", phrase: str = "phrase") -> DataFrame:

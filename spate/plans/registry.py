@@ -688,7 +688,7 @@ def q_filter_region(spark, sf_dir):
 # Step 6: near duplicates, vocabulary, phrases
 # ---------------------------------------------------------------------------
 
-from spate.operators import similarity  # noqa: E402
+from spate.operators import lsh, similarity  # noqa: E402
 
 
 def _near_dup_sql(thr: float) -> str:
@@ -717,6 +717,28 @@ def q_drop_near_duplicates_04(spark, sf_dir):
     return _near_dup(spark, sf_dir, 0.4)
 
 
+@register("drop_near_duplicates_lsh")
+def q_drop_near_duplicates_lsh(spark, sf_dir):
+    """J8, candidate mode: every row kept has no similar earlier row among its candidates."""
+    emb = tables.table(spark, sf_dir, "embeddings")
+    kept = lsh.drop_near_duplicates_lsh(emb, vec="embedding", order="vec_id", id="vec_id", thr=0.8)
+    return kept.select("vec_id", "label")
+
+
+@register("similar_rows_recall")
+def q_similar_rows_recall(spark, sf_dir):
+    """Recall of the candidate mode: every hundredth id against all rows, found and by brute force, per threshold."""
+    emb = tables.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = emb.filter("id % 100 = 0")
+    out = None
+    for thr in (0.4, 0.8):
+        found = lsh.similar_rows_lsh(asked, emb, thr=thr).groupBy().agg(F.count(F.lit(1)).alias("n_found"))
+        true = similarity.similar_rows(asked, emb, thr=thr).groupBy().agg(F.count(F.lit(1)).alias("n_true"))
+        row = true.withColumn("n_found", found.scalar()).withColumn("threshold", F.lit(thr))
+        out = row if out is None else out.unionByName(row)
+    return out.select("threshold", "n_true", "n_found", F.try_divide("n_found", "n_true").alias("recall"))
+
+
 @register(
     "vocabulary",
     f"""WITH {TOKENS_SQL}

@@ -112,3 +112,93 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1000, 1450).selectExpr("id AS a", "id + 1 AS b")
     got = {r["id"]: r["comp"] for r in cluster.connected_components(ids, edges).collect()}
     assert got == {i: 1000 if i <= 1450 else i for i in range(1000, 1500)}
+
+
+def test_tile_dots_in_dense_and_sparse_blocks():
+    from spate.operators.cluster import tile_dots
+
+    rng = np.random.default_rng(2)
+    a = rng.random((30, 50)) * (rng.random((30, 50)) < np.linspace(0.02, 0.9, 50))
+    b = rng.random((20, 50)) * (rng.random((20, 50)) < np.linspace(0.02, 0.9, 50))
+    (lr, lt), (rr, rt) = a.nonzero(), b.nonzero()
+    for hot_df, max_hot in ((3, 8), (0, 1), (10**6, 8), (10, 1024)):
+        got = tile_dots(lr, lt, a[lr, lt], rr, rt, b[rr, rt], (30, 20), hot_df, max_hot)
+        assert np.allclose(got, a @ b.T, atol=1e-12)
+    none = np.zeros(0, dtype=np.int64)
+    assert not tile_dots(none, none, none * 1.0, rr, rt, b[rr, rt], (30, 20)).any()
+
+
+def test_neighbour_pairs_small_dense_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE_ENTRIES", 60)  # many tiles by entries alone
+    rng = random.Random(7)
+    vecs = {}
+    for i in range(70):
+        terms = sorted(set(rng.sample(range(4), 2) + rng.sample(range(40), 3)))
+        v = np.zeros(40)
+        v[terms] = [rng.random() + 0.1 for _ in terms]
+        vecs[i] = v / np.linalg.norm(v)
+    rows = [(i, f"t{k}", float(x)) for i, v in vecs.items() for k, x in enumerate(v) if x]
+    weights = spark.createDataFrame(rows, "id long, term string, weight double")
+    want = {(i, j) for i in vecs for j in vecs if i != j and vecs[i] @ vecs[j] >= 0.5}
+    for hot_df, max_hot in ((1, 8), (10**6, 8)):
+        pairs = cluster.neighbour_pairs(weights, 0.5, hot_df=hot_df, max_hot=max_hot)
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # no join on a term
+
+
+def _planted(rng, n, d, groups):
+    """Random rows, then groups of near copies, then an exact-copy group; a null and a zero vector."""
+    rows = [rng.normal(size=d) for _ in range(n)]
+    for g in range(groups):
+        base = rng.normal(size=d)
+        rows += [base + rng.normal(scale=0.15, size=d) for _ in range(8)]
+    rows += [rows[0]] * 300
+    out = [(i, [float(x) for x in v], i) for i, v in enumerate(rows)]
+    return out + [(len(out), None, len(out)), (len(out) + 1, [0.0] * d, len(out) + 1), (len(out) + 2, [1.0] * d, None)]
+
+
+def test_lsh_drops_what_the_exact_mode_drops(spark, monkeypatch):
+    from spate.operators import lsh
+
+    rows = _planted(np.random.default_rng(4), 500, 16, 30)
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, ord long")
+    v = np.array([r[1] for r in rows[:-3]])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    similar = np.tril(u @ u.T > 0.8, -1)
+    for plan in (None, lsh.LshPlan(8, 5, 3)):
+        if plan:
+            monkeypatch.setattr(lsh, "lsh_plan", lambda *a, p=plan: p)
+        kept = {r["id"] for r in lsh.drop_near_duplicates_lsh(df).collect()}
+        exact = {i for i in range(len(v)) if not similar[i].any()}
+        assert {r[0] for r in rows[-3:]} <= kept
+        assert exact <= kept  # nothing is dropped without a similar earlier row
+        lost = kept - exact - {r[0] for r in rows[-3:]}
+        assert len(lost) <= 0.1 * (len(v) - len(exact))
+
+
+def test_lsh_recall_against_brute_force(spark, monkeypatch):
+    from spate.operators import lsh
+
+    rows = _planted(np.random.default_rng(9), 400, 16, 40)[:-1]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, ord long")
+    asked = df.filter("id % 10 = 0")
+    true = {(r["query"], r["id"]): r["cosine"] for r in similarity.similar_rows(asked, df, thr=0.8).collect()}
+    v = {i: np.array(e) for i, e, _ in rows if e and any(e)}
+    want = {(i, j) for i in v if i % 10 == 0 for j in v if i != j and v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) > 0.8}
+    assert set(true) == want
+    monkeypatch.setattr(lsh, "lsh_plan", lambda *a: lsh.LshPlan(9, 6, 1))
+    got = {(r["query"], r["id"]): r["cosine"] for r in lsh.similar_rows_lsh(asked, df, thr=0.8).collect()}
+    assert set(got) <= want and len(got) >= 0.9 * len(want)
+    assert all(math.isclose(got[k], true[k], abs_tol=1e-12) for k in got)
+
+
+def test_lsh_plan_keeps_its_recall():
+    from spate.operators.lsh import lsh_plan
+
+    for n in (100, 10**5, 10**9):
+        plan = lsh_plan(n, 0.8, 0.95)
+        p, b = 1 - math.acos(0.8) / math.pi, plan.bits
+        found = p**b + b * p ** (b - 1) * (1 - p)
+        assert 1 - (1 - found) ** plan.tables >= 0.95
+    assert lsh_plan(10**9, 0.8).bits > lsh_plan(10**5, 0.8).bits
