@@ -200,24 +200,6 @@ def dbscan(weights: DataFrame, ids: DataFrame, eps: float = 1.2, min_samples: in
     )
 
 
-def tfidf_features(docs: DataFrame, tokens: str = "tokens", vocab_size: int = 1000, min_df: float = 1.0):
-    """Rows → L2-normalised TF-IDF vectors over the ``vocab_size`` most frequent
-    terms (a bounded feature space, so dense-matrix steps such as PCA stay
-    small).  Returns ``(pipeline_model, frame with features)``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-
-    pipe = Pipeline(
-        stages=[
-            CountVectorizer(inputCol=tokens, outputCol="__tf", vocabSize=vocab_size, minDF=min_df),
-            IDF(inputCol="__tf", outputCol="__idf"),
-            Normalizer(inputCol="__idf", outputCol="features", p=2.0),
-        ]
-    )
-    model = pipe.fit(docs)
-    return model, model.transform(docs).drop("__tf", "__idf")
-
-
 def kmeans(vectors: DataFrame, k: int = 5, seed: int = 1, features: str = "features", max_iter: int = 20):
     """MLlib k-means; returns (model, assignments with ``cluster``)."""
     from pyspark.ml.clustering import KMeans
@@ -226,12 +208,13 @@ def kmeans(vectors: DataFrame, k: int = 5, seed: int = 1, features: str = "featu
     return model, model.transform(vectors)
 
 
-def project_2d(vectors: DataFrame, features: str = "features", seed: int = 1) -> DataFrame:
-    """A 2-D layout of the rows by a linear projection (PCA, k = 2)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
+def project_2d(weights: DataFrame, ids: DataFrame, seed: int = 1) -> DataFrame:
+    """``(id, x, y)``, a 2-D layout of TF-IDF rows ``(id, term, weight)`` over all their terms: the two leading
+    principal components.  ``ids`` lists every row; rows without weights lie where an empty row does."""
+    from spate.operators.spectral import coordinates, leading_vectors
 
-    model = PCA(k=2, inputCol=features, outputCol="__xy").fit(vectors)
-    out = model.transform(vectors)
-    xy = vector_to_array(F.col("__xy"))
-    return out.withColumn("x", xy[0]).withColumn("y", xy[1]).drop("__xy")
+    ids = ids.select("id").distinct()
+    _, vectors, means = leading_vectors(weights, 2, n_docs=ids.count(), centre=True, seed=seed)
+    xy = coordinates(weights, ids, vectors, means)
+    at = lambda j: F.coalesce(F.try_element_at("xs", F.lit(j)), F.lit(0.0))
+    return xy.select("id", at(1).alias("x"), at(2).alias("y"))

@@ -932,9 +932,9 @@ def q_kmeans(spark, sf_dir):
 
 @register("project_2d")
 def q_project_2d(spark, sf_dir):
-    docs = document_tokens(spark, sf_dir, reuse=True)
-    _, feats = cluster.tfidf_features(docs)
-    return cluster.project_2d(feats).select("id", "x", "y")
+    docs = cut_lineage(cleaned_documents(spark, sf_dir))
+    w = cut_lineage(terms.tfidf_smooth(docs, id="id", text="text"))
+    return cluster.project_2d(w, docs.select("id"))
 
 
 LDA_TOPICS = 2
@@ -950,7 +950,7 @@ def q_topic_terms(spark, sf_dir):
 
 @register("lsi")
 def q_lsi(spark, sf_dir):
-    return topics.lsi(document_tokens(spark, sf_dir, reuse=True), k=2)
+    return topics.lsi(terms.tfidf(document_tokens(spark, sf_dir, reuse=True)), k=2)
 
 
 def _labelled_tokens(spark, sf_dir):
