@@ -108,6 +108,21 @@ def error_slices(df: DataFrame, actual: str = "mentions_location", predicted: st
     )
 
 
+def error_details(sliced: DataFrame, toponyms: DataFrame, id: str = "id") -> DataFrame:
+    """F16: ``detail`` cuts the FN slice by whether the post has any toponym (resolved or not), and ``names`` holds
+    the resolved names of each FP post in order (empty elsewhere).  ``toponyms(id, word, loc)`` is the long form;
+    a post's names are bounded by its text."""
+    per = toponyms.groupBy(F.col(id).alias("__tid")).agg(
+        F.count("word").alias("n_toponyms"),
+        F.array_sort(F.collect_set(F.when(F.col("loc.place_id").isNotNull(), F.col("word")))).alias("__names"),
+    )
+    out = sliced.join(per, sliced[id] == per["__tid"], "left")
+    n = F.coalesce("n_toponyms", F.lit(0))
+    detail = F.when(F.col("slice") != "FN", F.col("slice")).when(n > 0, "FN with toponyms").otherwise("FN without toponyms")
+    names = F.when(F.col("slice") == "FP", F.coalesce("__names", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return out.select(*[sliced[c] for c in sliced.columns], n.cast("long").alias("n_toponyms"), detail.alias("detail"), names.alias("names"))
+
+
 # ---------------------------------------------------------------------------
 # MLlib pipeline (re-aims the transformer classifier)
 # ---------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Place names and coordinates.
 
-J3 ``extract_toponyms`` (gazetteer phrase join), J4 ``resolve_toponyms``
+J3 ``extract_toponyms`` (gazetteer trie join), J4 ``resolve_toponyms``
 (gazetteer lookup), A11 ``smallest_location``, A12 ``country_mentions``,
 F13 ``flatten_location``, F7 ``mentions_any``, F9 ``has_location``,
 ``explode_locations``, A13 ``coordinate_rollup``, A14 ``grid_clusters``,
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spate.functions import text as tx
+from spate.operators.groups import with_computed
 
 # ---------------------------------------------------------------------------
 # Fixed values of the location choice.
@@ -79,40 +80,57 @@ def gazetteer_names(gazetteer: DataFrame, country: str | None = None) -> DataFra
     return best
 
 
+# Bits of the map of first words (1,024 numbers in the plan, whatever the gazetteer).
+_FIRST_BITS = 1 << 16
+
+
+def _word_key(w: Column) -> Column:
+    return F.lower(F.translate(w, tx.PUNCTUATION, ""))
+
+
+def name_trie(gazetteer: DataFrame, country: str | None = None) -> DataFrame:
+    """``(first, names)``: the gazetteer's names by their first word, each as its list of words, longest first."""
+    words = gazetteer_names(gazetteer, country).select(tx.split_words("key").alias("w")).filter(F.size("w") > 0)
+    by_length = F.array_sort(F.collect_set(F.struct((-F.size("w")).alias("n"), "w")))
+    return words.groupBy(F.col("w")[0].alias("first")).agg(F.transform(by_length, lambda x: x["w"]).alias("names"))
+
+
 def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", text: str = "text", country: str | None = None) -> DataFrame:
-    """Place names in the text, found as phrases equal (case/punctuation-insensitive)
+    """Place names in the text, found as phrases equal word by word (case/punctuation-insensitive)
     to a gazetteer name of any number of words.  Noise is removed with numbers kept.
-    Overlaps resolve from left to right: at each start the longest phrase counts, and
-    it is taken unless it overlaps the phrase taken before it.
+    A post sends only the places where a name can begin: a map of fixed size over the first words of
+    all names thins them inside the scan, and the trie's row of the first word tells the longest name
+    that goes on there.  Overlaps resolve from left to right: a name is taken unless it overlaps the
+    one taken before it.
     Output ``(id, pos, word)``: one row per post × distinct word, at its first place."""
-    ws = tx.split_words(tx.strip_noise(F.col(text), numbers=False))
-    names = gazetteer_names(gazetteer, country).select("key")
-    # The word counts that occur among the names: at most as many as the longest name has words.
-    lengths = sorted(r[0] for r in names.select(F.size(F.split("key", " "))).distinct().collect())
-    if not lengths:
-        lengths = [1]
-
-    def starts(n):
-        # All n-word phrases of the text, built inside the row (no self-join).
-        return F.when(
-            F.size(ws) >= n,
-            F.transform(
-                F.sequence(F.lit(0), F.size(ws) - n),
-                lambda i: F.struct(
-                    i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(ws, i + 1, n), " ").alias("phrase")
-                ),
-            ),
-        ).otherwise(F.array())
-
-    phrases = F.flatten(F.array(*[starts(n) for n in lengths]))
-    phrase = posts.select(F.col(id).alias("id"), F.explode(phrases).alias("p")).select(
-        "id", "p.pos", "p.n", "p.phrase"
+    trie = name_trie(gazetteer, country)
+    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(_FIRST_BITS))
+    cell = F.shiftright(bit(F.col("first")), 6).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("first")).bitwiseAND(F.lit(63)).cast("int"))
+    cells = trie.withColumn("one", one).groupBy(cell.alias("cell")).agg(F.bit_or("one").alias("bits")).collect()
+    longest = trie.select(F.max(F.size(F.col("names")[0]))).first()[0] or 1
+    table = [0] * (_FIRST_BITS >> 6)
+    for r in cells:
+        table[r["cell"]] = r["bits"]
+    bits = F.array(*[F.lit(x).cast("long") for x in table])
+
+    ws = tx.split_words(tx.strip_noise(F.col("text"), numbers=False))
+
+    def may(k):
+        cell = F.element_at(bits, (F.shiftright(bit(k), 6) + 1).cast("int"))
+        return F.call_function("shiftright", cell, bit(k).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    starts = F.filter(
+        F.transform("ws", lambda w, i: F.struct(i.alias("pos"), _word_key(w).alias("first"))), lambda x: (x["first"] != "") & may(x["first"])
     )
-    phrase = phrase.withColumn("key", normalise_name("phrase"))
-    hits = phrase.join(names, "key", "left_semi").select("id", "pos", "n", "phrase")
-    # Longest phrase per start, then one greedy pass over the starts of a post.
-    best = hits.groupBy("id", "pos").agg(F.max_by(F.struct("pos", "n", "phrase"), "n").alias("b"))
-    per_post = best.groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("hits"))
+    split = with_computed(posts.select(F.col(id).alias("id"), F.col(text).alias("text")), "ws", ws).select("id", "ws", F.explode(starts).alias("s"))
+    split = split.select("id", "s.pos", "s.first", F.slice("ws", F.col("s.pos") + 1, longest).alias("ahead"))
+    keys = F.transform("ahead", _word_key)
+    # The names of a first word are tried from the longest on.
+    fitting = F.filter("names", lambda name: F.slice(F.col("keys"), 1, F.size(name)) == name)
+    hits = split.join(trie, "first").withColumn("keys", keys).withColumn("n", F.size(F.try_element_at(fitting, F.lit(1))))
+    hits = hits.filter("n > 0").select("id", F.struct("pos", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase")).alias("b"))
+    per_post = hits.groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("hits"))
     kept = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("reach"), F.slice("hits", 1, 0).alias("taken")),

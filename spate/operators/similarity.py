@@ -22,7 +22,8 @@ has cosine similarity above the threshold.  Exact, in three distributed steps:
 
 K5 ``top_similar``: per document the ``n`` candidate phrases closest to the
 document vector (candidates belong to their document, as keyword extraction
-does), ranked inside each document.
+does), ranked inside each document; ``top_similar_texts`` does the same on
+exact sparse term counts.
 """
 
 from __future__ import annotations
@@ -186,3 +187,27 @@ def top_similar(docs: DataFrame, candidates: DataFrame, n: int = 5, id: str = "i
     scored = c.join(d, id).select(id, phrase, cosine(F.col("__c"), F.col("__d")).alias("similarity"))
     w = Window.partitionBy(id).orderBy(F.col("similarity").desc(), F.col(phrase))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def top_similar_texts(parts: DataFrame, n: int = 5, id: str = "id", phrase: str = "phrase", tokens: str = "tokens") -> DataFrame:
+    """K5 on texts, exact: per document (``id``) the ``n`` parts closest to the whole by the cosine of their term counts.
+
+    ``parts(id, phrase, tokens)``; parts of one id and phrase count as one, the whole is the sum of its parts, and
+    parts without tokens have no direction and are left out.  Counts are joined per (id, term), so no vector is
+    built and no two terms share a slot; the sums are integers.  The rank limit acts in every task before the
+    rows of a document meet (Spark's window group limit).
+    """
+    counts = (
+        parts.select(F.col(id).alias("id"), F.col(phrase).alias("phrase"), F.explode(tokens).alias("term"))
+        .groupBy("id", "phrase", "term").agg(F.count(F.lit(1)).alias("n"))
+    )
+    whole = counts.groupBy("id", "term").agg(F.sum("n").alias("m"))
+    size = whole.groupBy("id").agg(F.sum(F.col("m") * F.col("m")).alias("mm"))
+    dots = counts.join(whole, ["id", "term"]).groupBy("id", "phrase").agg(
+        F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("n")).alias("nn")
+    )
+    scored = dots.join(size, "id").select(
+        F.col("id").alias(id), F.col("phrase").alias(phrase), (F.col("nm") / (F.sqrt("nn") * F.sqrt("mm"))).alias("similarity")
+    )
+    w = Window.partitionBy(id).orderBy(F.col("similarity").desc(), F.col(phrase))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -3,11 +3,13 @@
 Each entry is ``name -> (spark_fn(spark, sf_dir) -> DataFrame, oracle_sql | None)``.
 The Spark side calls the library operators; the SQL side restates the same
 semantics in DuckDB SQL so that the two can be compared row for row.  Every
-query reads whole tables; none samples, caps or filters rows to be cheap.
+query reads whole tables; none samples or filters rows to be cheap.  The topic
+queries keep the 100,000 most frequent terms (``topics.KEEP_TERMS``).
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from spate.functions import text as tx
 from spate.operators import clean, terms
 from spate.plans import tables
-from spate.session import cut_lineage
+from spate.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -582,6 +584,82 @@ def q_error_slices(spark, sf_dir):
     return classify.error_slices(classify.outcome(h.join(ev, "id")))
 
 
+@register(
+    "error_details",
+    f"""WITH {EVENT_TOPONYMS_SQL},
+h AS (
+    SELECT id, bool_or(place_id IS NOT NULL) AS has_location, count(word) AS n_toponyms,
+           list_sort(list_distinct(coalesce(list(word) FILTER (WHERE place_id IS NOT NULL), []))) AS found
+    FROM resolved GROUP BY id),
+a AS (
+    SELECT e.event_id AS id, CAST(e.value >= 25 AS INTEGER) AS mentions_location, coalesce(h.has_location, false) AS has_location,
+           coalesce(h.n_toponyms, 0) AS n_toponyms, coalesce(h.found, []) AS found
+    FROM events e LEFT JOIN h ON e.event_id = h.id)
+SELECT id, has_location, mentions_location, n_toponyms,
+       CASE WHEN mentions_location = 1 AND has_location THEN 'TP' WHEN mentions_location <> 1 AND NOT has_location THEN 'TN'
+            WHEN mentions_location <> 1 AND has_location THEN 'FP' WHEN n_toponyms > 0 THEN 'FN with toponyms' ELSE 'FN without toponyms' END AS detail,
+       array_to_string(CASE WHEN mentions_location <> 1 AND has_location THEN found ELSE [] END, ',') AS names
+FROM a""",
+)
+def q_error_details(spark, sf_dir):
+    resolved = cut_lineage(resolved_event_toponyms(spark, sf_dir))
+    ev = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("value") >= 25).cast("int").alias("mentions_location"))
+    posts = ev.join(geo.has_location(resolved), "id", "left").withColumn("has_location", F.coalesce("has_location", F.lit(False)))
+    out = classify.error_details(classify.error_slices(posts), resolved)
+    return out.select("id", "has_location", "mentions_location", "n_toponyms", "detail", F.array_join("names", ",").alias("names"))
+
+
+def _key_sql(x: str) -> str:
+    return f"lower(translate({x}, {tx._sql_str(tx.PUNCTUATION)}, ''))"
+
+
+def _split_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {tx._sql_str(tx.WHITESPACE_CLASS + '+')}), lambda w: w <> '')"
+
+
+_NO_NOISE_SQL = f"regexp_replace(text, {tx._sql_str(tx.noise_pattern(numbers=False))}, ' ', 'g')"
+_NAME_SQL = _split_sql(_key_sql(f"array_to_string(list_slice({_split_sql('text')}, 1, 2 + doc_id % 3), ' ')"))
+
+
+@register(
+    "extract_toponyms",
+    f"""WITH RECURSIVE src AS (
+    SELECT doc_id AS id, {_split_sql(_NO_NOISE_SQL)} AS w
+    FROM documents WHERE text IS NOT NULL),
+keyed AS (SELECT id, w, list_transform(w, lambda x: {_key_sql("x")}) AS k FROM src),
+names AS (SELECT DISTINCT {_NAME_SQL} AS name FROM documents WHERE text IS NOT NULL),
+shape AS (SELECT array_to_string(name, ' ') AS name, len(name) AS n FROM names WHERE len(name) > 0),
+word AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS w, unnest(k) AS k FROM keyed),
+ahead AS (
+    SELECT id, pos, w AS w1, k AS k1, lead(w, 1) OVER o AS w2, lead(k, 1) OVER o AS k2, lead(w, 2) OVER o AS w3, lead(k, 2) OVER o AS k3,
+           lead(w, 3) OVER o AS w4, lead(k, 3) OVER o AS k4
+    FROM word WINDOW o AS (PARTITION BY id ORDER BY pos)),
+phrase AS (
+    SELECT id, pos, 1 AS n, k1 AS name, w1 AS word FROM ahead
+    UNION ALL SELECT id, pos, 2, k1 || ' ' || k2, w1 || ' ' || w2 FROM ahead
+    UNION ALL SELECT id, pos, 3, k1 || ' ' || k2 || ' ' || k3, w1 || ' ' || w2 || ' ' || w3 FROM ahead
+    UNION ALL SELECT id, pos, 4, k1 || ' ' || k2 || ' ' || k3 || ' ' || k4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead),
+hit AS (SELECT id, pos, max(n) AS n, arg_max(word, n) AS word FROM phrase JOIN shape USING (n, name) GROUP BY id, pos),
+chain AS (
+    SELECT id, pos, CASE WHEN a >= pos + n THEN a WHEN b >= pos + n THEN b WHEN c >= pos + n THEN c ELSE d END AS next
+    FROM (SELECT id, pos, n, lead(pos, 1) OVER o AS a, lead(pos, 2) OVER o AS b, lead(pos, 3) OVER o AS c, lead(pos, 4) OVER o AS d
+          FROM hit WINDOW o AS (PARTITION BY id ORDER BY pos))),
+taken AS (
+    SELECT id, min(pos) AS pos FROM hit GROUP BY id
+    UNION ALL
+    SELECT c.id, c.next FROM taken t JOIN chain c USING (id, pos) WHERE c.next IS NOT NULL)
+SELECT id, word, min(pos) AS pos FROM taken JOIN hit USING (id, pos) GROUP BY id, word""",
+)
+def q_extract_toponyms(spark, sf_dir):
+    """J3 over whole texts.  The stand-in gazetteer has one name a document: its first two to four words."""
+    docs = tables.documents_as_posts(spark, sf_dir).select("id", "text")
+    name = F.array_join(F.slice(tx.split_words("text"), F.lit(1), (F.col("id") % 3 + 2).cast("int")), " ")
+    places = docs.filter("text is not null").select(
+        name.alias("name"), F.lit("SE").alias("country_code"), F.col("id").alias("place_id"), F.lit(0.5).alias("importance")
+    )
+    return geo.extract_toponyms(docs, places)
+
+
 POINTS_SQL = """points AS (
     SELECT event_id AS id, event_type AS loc_name,
            11 + ((event_id * 7) % 1300) / 100.0 AS lon, 55 + ((event_id * 13) % 1400) / 100.0 AS lat
@@ -1058,6 +1136,9 @@ def _event_stream(spark, sf_dir):
     return stream.read_stream_table(spark, sf_dir, "events.parquet", _parse_datatype_string(EVENTS_STREAM_SCHEMA))
 
 
+STREAM_BATCHES = 5
+
+
 def _stream_name(prefix, sf_dir):
     import uuid
 
@@ -1085,8 +1166,28 @@ def q_stream_daily_counts(spark, sf_dir):
     """SELECT event_id, user_id, event_type FROM events""",
 )
 def q_stream_dedup(spark, sf_dir):
-    s = stream.dedup_stream(_event_stream(spark, sf_dir), id="event_id", ts="ts").select("event_id", "user_id", "event_type")
-    return stream.run_to_table(spark, s, _stream_name("dedup", sf_dir))
+    """The events arrive in five batches, in order of time.  Each batch also repeats the last half hour of the
+    one before (within the delay, so the state knows them) and, from the fourth on, all of the one three before (too
+    late for the watermark).  Every run resumes the state of the last one."""
+    ev = tables.table(spark, sf_dir, "events")
+    lo, hi = ev.select(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return ev.select("event_id", "user_id", "event_type")
+    name = _stream_name("dedup", sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-input"
+    step = (hi - lo) / STREAM_BATCHES
+    edge = [lo + k * step for k in range(STREAM_BATCHES)] + [hi + datetime.timedelta(microseconds=1)]
+    within = lambda a, b: (F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))
+    for k in range(STREAM_BATCHES):
+        batch = ev.filter(within(edge[k], edge[k + 1]))
+        if k:
+            batch = batch.unionByName(ev.filter(within(max(edge[k - 1], edge[k] - datetime.timedelta(minutes=30)), edge[k])))
+        if k >= 3:
+            batch = batch.unionByName(ev.filter(within(edge[k - 3], edge[k - 2])))
+        batch.write.mode("append").parquet(folder)
+        s = stream.dedup_stream(spark.readStream.schema(ev.schema).parquet(folder), id="event_id", ts="ts")
+        out = stream.run_to_table(spark, s.select("event_id", "user_id", "event_type"), name)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -1143,20 +1244,27 @@ def q_topic_coherence(spark, sf_dir):
     return phrases.umass_coherence(docs, top)
 
 
-@register("top_similar_turns")
-def q_top_similar_turns(spark, sf_dir):
-    """K5 on conversations: the two turns closest to their whole conversation,
-    with hashed term-count vectors as the embeddings."""
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
+@register("average_coherence")
+def q_average_coherence(spark, sf_dir):
+    return phrases.average_coherence(q_topic_coherence(spark, sf_dir))
+
 
+@register(
+    "top_similar_turns",
+    f"""WITH part AS (
+    SELECT conv_id AS id, concat_ws(':', turn, role) AS phrase, unnest(string_split({tx.sql_clean_text('text')}, ' ')) AS term FROM conversations),
+counts AS (SELECT id, phrase, term, count(*) AS n FROM part WHERE term <> '' GROUP BY ALL),
+whole AS (SELECT id, term, sum(n)::BIGINT AS m FROM counts GROUP BY ALL),
+size AS (SELECT id, sum(m * m)::BIGINT AS mm FROM whole GROUP BY id),
+dots AS (SELECT id, phrase, sum(n * m)::BIGINT AS nm, sum(n * n)::BIGINT AS nn FROM counts JOIN whole USING (id, term) GROUP BY ALL),
+scored AS (SELECT id, phrase, nm / (sqrt(nn) * sqrt(mm)) AS similarity FROM dots JOIN size USING (id))
+SELECT id, phrase, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, phrase) AS rank
+FROM scored QUALIFY rank <= 2""",
+)
+def q_top_similar_turns(spark, sf_dir):
+    """K5 on conversations: the two turns closest to their whole conversation, by exact term counts."""
     conv = tables.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("id"), F.concat_ws(":", "turn", "role").alias("phrase"),
         tx.tokens(tx.clean_text("text")).alias("tokens"),
     )
-    htf = HashingTF(inputCol="tokens", outputCol="__v", numFeatures=256)
-    turns = htf.transform(conv).select("id", "phrase", vector_to_array("__v").alias("embedding"))
-    whole = htf.transform(
-        conv.groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    ).select("id", vector_to_array("__v").alias("embedding"))
-    return similarity.top_similar(whole, turns, n=2)
+    return similarity.top_similar_texts(conv, n=2)
