@@ -1,6 +1,6 @@
 """Place names and coordinates.
 
-J3 ``extract_toponyms`` (gazetteer trie join), J4 ``resolve_toponyms``
+J3 ``extract_toponyms`` (gazetteer phrase join), J4 ``resolve_toponyms``
 (gazetteer lookup), A11 ``smallest_location``, A12 ``country_mentions``,
 F13 ``flatten_location``, F7 ``mentions_any``, F9 ``has_location``,
 ``explode_locations``, A13 ``coordinate_rollup``, A14 ``grid_clusters``,
@@ -80,57 +80,62 @@ def gazetteer_names(gazetteer: DataFrame, country: str | None = None) -> DataFra
     return best
 
 
-# Bits of the map of first words (1,024 numbers in the plan, whatever the gazetteer).
-_FIRST_BITS = 1 << 16
+# Bits of the maps of first words and of whole names (1,024 numbers each in the plan, whatever the gazetteer).
+_MAP_BITS = 1 << 16
 
 
 def _word_key(w: Column) -> Column:
     return F.lower(F.translate(w, tx.PUNCTUATION, ""))
 
 
-def name_trie(gazetteer: DataFrame, country: str | None = None) -> DataFrame:
-    """``(first, names)``: the gazetteer's names by their first word, each as its list of words, longest first."""
-    words = gazetteer_names(gazetteer, country).select(tx.split_words("key").alias("w")).filter(F.size("w") > 0)
-    by_length = F.array_sort(F.collect_set(F.struct((-F.size("w")).alias("n"), "w")))
-    return words.groupBy(F.col("w")[0].alias("first")).agg(F.transform(by_length, lambda x: x["w"]).alias("names"))
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_MAP_BITS))
 
 
-def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", text: str = "text", country: str | None = None) -> DataFrame:
-    """Place names in the text, found as phrases equal word by word (case/punctuation-insensitive)
-    to a gazetteer name of any number of words.  Noise is removed with numbers kept.
-    A post sends only the places where a name can begin: a map of fixed size over the first words of
-    all names thins them inside the scan, and the trie's row of the first word tells the longest name
-    that goes on there.  Overlaps resolve from left to right: a name is taken unless it overlaps the
-    one taken before it.
-    Output ``(id, pos, word)``: one row per post × distinct word, at its first place."""
-    trie = name_trie(gazetteer, country)
-    bit = lambda w: F.pmod(F.xxhash64(w), F.lit(_FIRST_BITS))
-    cell = F.shiftright(bit(F.col("first")), 6).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("first")).bitwiseAND(F.lit(63)).cast("int"))
-    cells = trie.withColumn("one", one).groupBy(cell.alias("cell")).agg(F.bit_or("one").alias("bits")).collect()
-    longest = trie.select(F.max(F.size(F.col("names")[0]))).first()[0] or 1
-    table = [0] * (_FIRST_BITS >> 6)
+def _bit_map(keys: DataFrame, key: str) -> Column:
+    """The keys as a map of ``_MAP_BITS`` bits, an array literal of fixed size."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    cells = keys.groupBy(F.shiftright(_bit(F.col(key)), 6).cast("int").alias("cell")).agg(F.bit_or(one).alias("bits")).collect()
+    table = [0] * (_MAP_BITS >> 6)
     for r in cells:
         table[r["cell"]] = r["bits"]
-    bits = F.array(*[F.lit(x).cast("long") for x in table])
+    return F.array(*[F.lit(x).cast("long") for x in table])
 
-    ws = tx.split_words(tx.strip_noise(F.col("text"), numbers=False))
 
-    def may(k):
-        cell = F.element_at(bits, (F.shiftright(bit(k), 6) + 1).cast("int"))
-        return F.call_function("shiftright", cell, bit(k).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def _in_map(bits: Column, key: Column) -> Column:
+    cell = F.element_at(bits, (F.shiftright(_bit(key), 6) + 1).cast("int"))
+    return F.call_function("shiftright", cell, _bit(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    starts = F.filter(
-        F.transform("ws", lambda w, i: F.struct(i.alias("pos"), _word_key(w).alias("first"))), lambda x: (x["first"] != "") & may(x["first"])
+
+def name_words(gazetteer: DataFrame, country: str | None = None) -> DataFrame:
+    """``(key, first, n)``: every name as its words joined by one space, its first word, and its number of words."""
+    words = gazetteer_names(gazetteer, country).select(tx.split_words("key").alias("w")).filter(F.size("w") > 0)
+    return words.select(F.array_join("w", " ").alias("key"), F.col("w")[0].alias("first"), F.size("w").alias("n")).distinct()
+
+
+def extract_toponyms(posts: DataFrame, gazetteer: DataFrame, id: str = "id", text: str = "text", country: str | None = None) -> DataFrame:
+    """Place names in the text, found as phrases equal word by word (case/punctuation-insensitive)
+    to a gazetteer name of any number of words.  Noise is removed with numbers kept.
+    A post does not send every phrase: maps of fixed size over the names' first words and over the
+    whole names thin the places where a name can begin, and the phrases that go on there, inside the
+    scan; a join on the whole name decides.  Overlaps resolve from left to right: at each start the
+    longest name counts, and it is taken unless it overlaps the one taken before it.
+    Output ``(id, pos, word)``: one row per post × distinct word, at its first place."""
+    names = name_words(gazetteer, country)
+    first, whole = _bit_map(names, "first"), _bit_map(names, "key")
+    lengths = sorted(r["n"] for r in names.select("n").distinct().collect()) or [1]  # at most the words of the longest name
+
+    src = with_computed(posts.select(F.col(id).alias("id"), F.col(text).alias("text")), "ws", tx.split_words(tx.strip_noise(F.col("text"), numbers=False)))
+    src = with_computed(src.select("id", "ws"), "keys", F.transform("ws", _word_key))
+    starts = F.filter(F.transform("keys", lambda k, i: F.struct(i.alias("pos"), k.alias("first"))), lambda x: (x["first"] != "") & _in_map(first, x["first"]))
+    at = src.select("id", "ws", "keys", F.explode(F.transform(starts, lambda x: x["pos"])).alias("pos"))
+    longer = F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("keys", F.col("pos") + 1, n), " ").alias("key")) for n in lengths])
+    fits = F.filter(longer, lambda x: (F.col("pos") + x["n"] <= F.size("keys")) & _in_map(whole, x["key"]))
+    phrase = at.select("id", "ws", "pos", F.explode(fits).alias("x")).select(
+        "id", "pos", "x.n", "x.key", F.array_join(F.slice("ws", F.col("pos") + 1, F.col("x.n")), " ").alias("phrase")
     )
-    split = with_computed(posts.select(F.col(id).alias("id"), F.col(text).alias("text")), "ws", ws).select("id", "ws", F.explode(starts).alias("s"))
-    split = split.select("id", "s.pos", "s.first", F.slice("ws", F.col("s.pos") + 1, longest).alias("ahead"))
-    keys = F.transform("ahead", _word_key)
-    # The names of a first word are tried from the longest on.
-    fitting = F.filter("names", lambda name: F.slice(F.col("keys"), 1, F.size(name)) == name)
-    hits = split.join(trie, "first").withColumn("keys", keys).withColumn("n", F.size(F.try_element_at(fitting, F.lit(1))))
-    hits = hits.filter("n > 0").select("id", F.struct("pos", "n", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("phrase")).alias("b"))
-    per_post = hits.groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("hits"))
+    best = phrase.join(names.select("key"), "key", "left_semi").groupBy("id", "pos").agg(F.max_by(F.struct("pos", "n", "phrase"), "n").alias("b"))
+    per_post = best.groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("hits"))
     kept = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("reach"), F.slice("hits", 1, 0).alias("taken")),

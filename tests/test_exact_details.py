@@ -53,5 +53,4 @@ def test_toponym_starts_are_thinned_before_the_join(spark):
     names = spark.createDataFrame(rows, "name string, country_code string, place_id long, importance double")
     got = {(r["id"], r["pos"], r["word"]) for r in geo.extract_toponyms(posts, names).collect()}
     assert got == {(1, 2, "york,"), (1, 3, "New York!"), (1, 6, "york")}
-    trie = {r["first"]: r["names"] for r in geo.name_trie(names).collect()}
-    assert trie == {"new": [["new", "york", "city"], ["new", "york"]], "york": [["york"]]}
+    assert {(r["key"], r["first"], r["n"]) for r in geo.name_words(names).collect()} == {("new york", "new", 2), ("york", "york", 1), ("new york city", "new", 3)}
