@@ -166,7 +166,7 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALP
 
 
 def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
-    """(h, terms): spans of the disclosing terms of each text; positions are running sums over its words."""
+    """(h, terms): spans of the disclosing terms of each text, by kind and start; positions are running sums over its words."""
     some = found.filter("words is not null").join(revealed.select("h").distinct(), "h", "left_semi")
     some = some.select("h", "spans", "gaps", "words").dropDuplicates(["h"])
     rows = some.select("h", "spans", F.posexplode(F.arrays_zip("gaps", "words")).alias("i", "w")).select(
@@ -180,9 +180,8 @@ def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
     span = F.struct(
         F.when(F.col("removed"), "removed").otherwise("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), F.col("end"), F.col("term").alias("value")
     )
-    return at.groupBy("h").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("at"), span.alias("s")))).alias("x")).select(
-        "h", F.transform("x", lambda v: v["s"]).alias("terms")
-    )
+    # By kind, then start, like the base spans.
+    return at.groupBy("h").agg(F.sort_array(F.collect_list(span)).alias("terms"))
 
 
 def _spans(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:

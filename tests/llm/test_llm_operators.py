@@ -230,6 +230,17 @@ def test_pii_judges_entities_of_one_text(spark):
     assert got[1]["spans"].count(":") == 2 and got[100]["spans"] == ""
 
 
+def test_pii_spans_by_kind_then_start(spark):
+    docs = [(k, f"topaz near zanzibar mail eve@example.org or 10.0.0.{k} zanzibar topaz") for k in range(6)] + [(50, "topaz alone on this day")]
+    docs += [(100 + k, f"plain things to all today number{k}") for k in range(300)]
+    got = rows(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
+    order = ["email", "ip", "card", "phone", "removed", "term"]
+    for r in got.values():
+        spans = [(order.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
+        assert spans == sorted(spans)
+    assert {s.split(":")[0] for s in got[0]["spans"].split(",")} == {"email", "ip", "removed", "term"}
+
+
 def test_pii_copies_change_no_disclosure(spark):
     once = [f"said zanzibar mail to eve@example.org number{k}" for k in range(3)] + [f"said plain mail to all today number{k}" for k in range(60)]
     docs = [(k, t) for k, t in enumerate(once)] + [(1000 + 100 * c + k, once[k]) for c in range(20) for k in range(3)]
