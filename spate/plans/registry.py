@@ -3,8 +3,7 @@
 Each entry is ``name -> (spark_fn(spark, sf_dir) -> DataFrame, oracle_sql | None)``.
 The Spark side calls the library operators; the SQL side restates the same
 semantics in DuckDB SQL so that the two can be compared row for row.  Every
-query reads whole tables; none samples or filters rows to be cheap.  The topic
-queries keep the 100,000 most frequent terms (``topics.KEEP_TERMS``).
+query reads whole tables; none samples, caps or filters rows to be cheap.
 """
 
 from __future__ import annotations
@@ -989,7 +988,7 @@ def q_rake(spark, sf_dir):
 # Step 7: models — classifier, topics, clustering, layout (rows-only checks)
 # ---------------------------------------------------------------------------
 
-from spate.operators import cluster, topics  # noqa: E402
+from spate.operators import cluster, topic_model, topics  # noqa: E402
 
 
 @register("dbscan")
@@ -1020,10 +1019,8 @@ LDA_TOPICS = 2
 
 @register("topic_terms")
 def q_topic_terms(spark, sf_dir):
-    docs = document_tokens(spark, sf_dir, reuse=True)
-    fitted = topics.lda(docs, k=LDA_TOPICS, seed=1)
-    model, cv, _ = fitted
-    return topics.topic_terms(topics.term_topic_weights(model, cv, docs), LDA_TOPICS)
+    model, entries = topic_model.fit_documents(document_tokens(spark, sf_dir, reuse=True), k=LDA_TOPICS, seed=1)
+    return topic_model.topic_terms(topic_model.term_topic_weights(model, entries), LDA_TOPICS)
 
 
 @register("lsi")
@@ -1235,12 +1232,8 @@ def q_lemmatise(spark, sf_dir):
 @register("topic_coherence")
 def q_topic_coherence(spark, sf_dir):
     docs = document_tokens(spark, sf_dir, reuse=True)
-    model, cv, _ = topics.lda(docs, k=LDA_TOPICS, seed=1)
-    vocab = cv.vocabulary
-    names = spark.createDataFrame(list(enumerate(vocab)), "idx int, term string")
-    top = model.describeTopics(maxTermsPerTopic=10).select(
-        "topic", F.posexplode("termIndices").alias("pos", "idx")
-    ).join(names, "idx").select("topic", (F.col("pos") + 1).alias("rank"), "term")
+    model, _ = topic_model.fit_documents(docs, k=LDA_TOPICS, seed=1)
+    top = topic_model.top_terms(model, 10)
     return phrases.umass_coherence(docs, top)
 
 
