@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spate.operators.groups import first_per_group, last_per_group
+from spate.operators.groups import first_per_group, last_per_group, paged_lists
 
 
 def week_start(ts) -> Column:
@@ -48,9 +48,7 @@ def user_rollup(df: DataFrame, user: str = "user_id", ts: str = "created_at", id
     """A4: per user the first post id (by time, then id), the number of posts,
     first and last time and the number of distinct location names.
 
-    The reference also keeps the full per-user lists of times, names and ids;
-    those are the long-form input itself (one row per post) and are not
-    collected into one row, so a prolific account never becomes one huge row.
+    The lists of a user's times, names and ids are ``user_posts``.
     """
     order = F.struct(F.col(ts), F.col(id))
     return df.filter(F.col(user).isNotNull()).groupBy(user).agg(
@@ -60,3 +58,9 @@ def user_rollup(df: DataFrame, user: str = "user_id", ts: str = "created_at", id
         F.max(ts).alias("last_time"),
         F.count_distinct(F.col(loc)).alias("n_locations"),
     )
+
+
+def user_posts(df: DataFrame, user: str = "user_id", ts: str = "created_at", id: str = "id", loc: str = "loc_name", size: int = 1000) -> DataFrame:
+    """A4: per user the times, location names and ids of the posts (by time, then id) in pages of at most ``size``:
+    ``(user, page, n, posts array<struct<ts, id, loc>>)``, so a prolific account never becomes one huge row."""
+    return paged_lists(df, [user], [ts, id], [ts, id, loc], size)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spate.functions import text as tx
-from spate.operators.groups import with_computed
+from spate.operators.groups import paged_lists, with_computed
 
 # ---------------------------------------------------------------------------
 # Fixed values of the location choice.
@@ -263,6 +263,14 @@ def grid_clusters(df: DataFrame, zoom: int, px: int = 50, id: str = "id", lon: s
     )
 
 
+def cluster_posts(df: DataFrame, zoom: int, px: int = 50, id: str = "id", lon: str = "lon", lat: str = "lat", size: int = 1000) -> DataFrame:
+    """The ids of each cluster of ``grid_clusters``, ascending, in pages of at most ``size``:
+    ``(cx, cy, page, n, posts array<struct<id>>)``."""
+    x, y = mercator_pixels(lon, lat, zoom)
+    cells = df.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(id), F.floor(x / px).alias("cx"), F.floor(y / px).alias("cy"))
+    return paged_lists(cells, ["cx", "cy"], [id], [id], size)
+
+
 # ---------------------------------------------------------------------------
 # Point in region
 # ---------------------------------------------------------------------------

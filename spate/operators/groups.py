@@ -123,6 +123,25 @@ def lookup_join(
     return f.join(d, [on, "__salt"], how).drop("__salt")
 
 
+def paged_lists(df: DataFrame, keys, order, fields, size: int = 1000, name: str = "posts", salts: int = 16) -> DataFrame:
+    """``(*keys, page, n, name)``: the rows of each key in ``order`` (make it unique), cut into pages 0, 1, ... of at
+    most ``size`` rows; ``name`` is the page's array of structs of ``fields``, in order.  Rows with a null key are
+    left out.
+
+    Positions come from one distributed sort (``global_rank``), less the first position of the key, so a key that
+    holds a third of all rows is sorted, joined (salted) and listed by many tasks, and no row holds more than a page.
+    """
+    keys = list(keys)
+    src = df.dropna(subset=keys)
+    ranked = global_rank(src, [*keys, *order], "__rank").withColumn("__key", F.struct(*keys))
+    first = ranked.groupBy("__key").agg(F.min("__rank").alias("__first"))
+    at = F.col("__rank") - F.col("__first")
+    placed = lookup_join(ranked, first, "__key", salts=salts)
+    placed = placed.select(*keys, F.floor(at / size).cast("long").alias("page"), F.struct(F.col("__rank"), *fields).alias("__row"))
+    pages = placed.groupBy(*keys, "page").agg(F.sort_array(F.collect_list("__row")).alias(name))
+    return pages.select(*keys, "page", F.size(name).cast("long").alias("n"), F.transform(name, lambda r: r.dropFields("__rank")).alias(name))
+
+
 def with_computed(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add column ``name`` = ``expr``, evaluated exactly once per row.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spate.functions.times import utc_instant
-from spate.operators.groups import global_rank
+from spate.operators.groups import global_rank, paged_lists
 
 # Pages up to this depth are served by a top-k (TakeOrderedAndProject); deeper
 # pages go through an exact distributed rank.
@@ -194,6 +194,25 @@ def time_histogram(
     )
 
 
+def histogram_posts(
+    df: DataFrame,
+    selection: DataFrame,
+    ts: str = "created_at",
+    id: str = "id",
+    month_after_days: int = 30,
+    size: int = 1000,
+) -> DataFrame:
+    """The ids behind the bars of ``time_histogram``, ascending, in pages of at most ``size``:
+    ``(series, bin, page, n, posts array<struct<id>>)``; empty bars have no page."""
+    flagged = flag_selected(df.select(id, ts), selection, id=id).filter(F.col(ts).isNotNull())
+    rows = flagged.select(
+        F.when(F.col("selected"), F.lit("selected")).otherwise(F.lit("not_selected")).alias("series"),
+        F.when(span_days(df, ts) >= month_after_days, F.last_day(_day(ts))).otherwise(_day(ts)).alias("bin"),
+        F.col(id),
+    )
+    return paged_lists(rows, ["series", "bin"], [id], [id], size)
+
+
 def select_by_bins(df: DataFrame, bins: DataFrame, whole: DataFrame | None = None, ts: str = "created_at") -> DataFrame:
     """Posts falling in chosen histogram bars (``bins`` has a ``bin`` date
     column) — the drill-down of A7 as a semi join, no id lists."""

@@ -234,6 +234,44 @@ spine AS (
 SELECT s.series, s.bin, coalesce(c.n, 0) AS n FROM spine s LEFT JOIN c USING (series, bin)"""
 
 
+def _ids(posts="posts"):
+    return F.array_join(F.transform(posts, lambda p: p["id"].cast("string")), ",").alias("ids")
+
+
+@register(
+    "user_posts",
+    f"""WITH {EVENTS_POSTS_SQL},
+r AS (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at NULLS FIRST, id) - 1 AS i
+    FROM posts WHERE user_id IS NOT NULL
+)
+SELECT user_id, CAST(i // 20 AS BIGINT) AS page, count(*) AS n, min(created_at) AS from_time, max(created_at) AS to_time,
+       string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids, string_agg(loc_name, ',' ORDER BY i) AS names
+FROM r GROUP BY 1, 2""",
+)
+def q_user_posts(spark, sf_dir):
+    pages = dedup.user_posts(_events(spark, sf_dir), size=20)
+    times = F.transform("posts", lambda p: p["created_at"])
+    return pages.select(
+        "user_id", "page", "n", F.array_min(times).alias("from_time"), F.array_max(times).alias("to_time"),
+        _ids(), F.array_join(F.transform("posts", lambda p: p["loc_name"]), ",").alias("names"),
+    )
+
+
+@register(
+    "histogram_posts",
+    HISTOGRAM_SQL[: HISTOGRAM_SQL.index("SELECT CASE")]
+    + "SELECT id, "
+    + HISTOGRAM_SQL[HISTOGRAM_SQL.index("SELECT CASE") + 7 : HISTOGRAM_SQL.index("c AS (")]
+    + """r AS (SELECT *, row_number() OVER (PARTITION BY series, bin ORDER BY id) - 1 AS i FROM b)
+SELECT series, bin, CAST(i // 1000 AS BIGINT) AS page, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids
+FROM r GROUP BY 1, 2, 3""",
+)
+def q_histogram_posts(spark, sf_dir):
+    posts = _events(spark, sf_dir)
+    return views.histogram_posts(posts, _selected_ids(posts)).select("series", "bin", "page", "n", _ids())
+
+
 @register("time_histogram", HISTOGRAM_SQL)
 def q_time_histogram(spark, sf_dir):
     posts = _events(spark, sf_dir)
@@ -708,6 +746,22 @@ def q_grid_clusters(spark, sf_dir):
     return geo.grid_clusters(event_points(spark, sf_dir), zoom=CLUSTER_ZOOM)
 
 
+@register(
+    "cluster_posts",
+    f"""WITH {POINTS_SQL},
+px AS (
+    SELECT id, CAST(floor((lon + 180.0) / 360.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS BIGINT) AS cx,
+           CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * {256 * 2 ** CLUSTER_ZOOM}.0 / 50) AS BIGINT) AS cy
+    FROM points
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY id) - 1 AS i FROM px)
+SELECT cx, cy, CAST(i // 1000 AS BIGINT) AS page, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids
+FROM r GROUP BY 1, 2, 3""",
+)
+def q_cluster_posts(spark, sf_dir):
+    return geo.cluster_posts(event_points(spark, sf_dir), zoom=CLUSTER_ZOOM).select("cx", "cy", "page", "n", _ids())
+
+
 @register(
     "nearest",
     f"""WITH {POINTS_SQL}
