@@ -5,20 +5,28 @@ Native: DataFrame functions only.
 Base spans (e-mail, ip, card, phone) are found by one regular expression per
 kind whose matches are taken together with the gaps before them, so that
 positions are sums of lengths (code points).  The found values are the
-protected entities.  Information-theoretic sanitisation then asks how much a
-word of the text reveals an entity: with counts over the whole corpus,
-
-    PMI(t; e) = log2(N * n(t, e) / ((n(t) + PRIOR) * n(e)))     IC(e) = -log2(n(e) / N)
-
-a term discloses e in a text that holds both when PMI >= ALPHA * IC(e).  Every
-entity is judged, also one that is in a single text; the added text of n(t)
-keeps a few texts from being evidence (an entity and a term of one text need a
-corpus of 32).  A term that occurs with the entity only is removed, any other
-disclosing term is generalised.
+protected entities, and so is what rare values have in common: the domain and
+the name parts of an e-mail address, the network of an ip, the first six digits
+of a card or phone (pools), because one text alone says little of its entity.
+Information-theoretic sanitisation then asks how much a word of the text
+reveals an entity or a pool e: with counts over the whole corpus,
+
+    PMI(t; e) = log2(N * low(n(t, e), n(t)) / n(e))     IC(e) = -log2(n(e) / N)
+
+where low is the lower end of Wilson's one-sided 90 % interval of the share
+n(t, e) / n(t).  A term discloses e in a text that holds both when
+PMI >= IC(e) - BITS, that is when at most BITS bits of e stay hidden.  A term
+of a single text never has that evidence; one that is met with e in two
+different texts and nowhere else has.  Every entity and every term, of any
+length, is judged.  The broader form of a term of more than three characters
+is all words with its first three; it is counted and judged like a term.  A
+disclosing term is generalised to its broader form where that discloses
+nothing in the text, and removed otherwise.
 
 All counts and N are numbers of different texts: copies of one text count once.
 
-Null texts are empty: no spans.  Null ids and repeated rows are kept row by row.
+Null texts are empty: no spans.  Null ids and repeated rows are kept row by
+row.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +36,12 @@ from pyspark.sql import functions as F
 
 from spate.llm.common import stage
 
-ALPHA = 0.8
-#: Texts added to n(t): a term seen once is not taken to be certain to occur nowhere else.
-PRIOR = 1
+#: Bits of an entity that a term may leave hidden and still disclose it.
+BITS = 1.0
+#: Normal quantile of the one-sided 90 % bound on the share of a term's texts that hold the entity.
+Z = 1.2816
+#: Characters that a term's broader form keeps.
+BROAD = 3
 KINDS = ("email", "ip", "card", "phone")
 
 #: The contract's patterns, started only where a leftmost match can start and
@@ -50,8 +61,8 @@ GUARDS = {
     "phone": r"\+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_TERM = r"[\p{L}\p{N}]{3,}+"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": "[REMOVED]"}
+_TERM = r"[\p{L}\p{N}]++"
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "[REMOVED]"}
 
 
 def _found(text: Column, kind: str, group: int) -> Column:
@@ -113,10 +124,35 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _entity(span: Column) -> Column:
-    """An entity's name: its kind and its value without writing variants."""
-    value = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
-    return F.concat_ws(":", span["kind"], value)
+def _entities(span: Column) -> Column:
+    """Names of what a span protects: its value without writing variants, and the pools the value belongs to."""
+    kind, low, digits = span["kind"], F.lower(span["value"]), _digits(span["value"])
+    value = F.when(kind.isin("card", "phone"), digits).otherwise(low)
+    pool = (
+        F.when(kind == "email", F.substring_index(low, "@", -1))
+        .when(kind == "ip", F.substring_index(low, ".", 3))
+        .otherwise(F.substring(digits, 1, 6))
+    )
+    names = F.filter(F.split(F.substring_index(low, "@", 1), "[^a-z]+"), lambda x: F.length(x) >= 3)
+    parts = F.when(kind == "email", F.transform(names, lambda x: F.concat(F.lit("name:"), x))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.concat_ws(":", kind, value), F.concat_ws(":", F.lit("pool"), kind, pool)), parts)
+
+
+def _broader(term: Column) -> Column:
+    """The broader form of a lower-case term; null where it has none.  No term holds an asterisk."""
+    return F.when(F.length(term) > BROAD, F.concat(F.substring(term, 1, BROAD), F.lit("*")))
+
+
+def _terms(words: Column) -> Column:
+    """The different terms of a text and their broader forms."""
+    low = F.array_distinct(F.transform(words, F.lower))
+    return F.concat(low, F.array_distinct(F.filter(F.transform(low, _broader), lambda x: x.isNotNull())))
+
+
+def _low(k: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval of the share k / n."""
+    p, zz = k / n, Z * Z
+    return (p + zz / (2 * n) - Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
 def survey(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -132,7 +168,7 @@ def survey(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stage(
         src.select(
             "doc_id", "h", "spans",
-            F.when(some, F.array_distinct(F.transform("spans", _entity))).alias("entities"),
+            F.when(some, F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entities"),
             F.when(some, F.transform(gap, F.length)).alias("gaps"),
             F.when(some, word).alias("words"),
         ),
@@ -140,29 +176,34 @@ def survey(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text: str, alpha: float = ALPHA) -> DataFrame:
-    """(h, term, removed): the terms that disclose an entity, for each text that holds both."""
+def disclosures(found: DataFrame, docs: DataFrame, text: str, bits: float = BITS) -> DataFrame:
+    """(h, term, broader): the terms that disclose an entity, for each text that holds both; ``broader`` is
+    null where the term has to be removed."""
     ent = found.filter("entities is not null").select("h", F.explode("entities").alias("e")).distinct()
     # Entities of the same texts have the same counts with every term: they are judged as one.
     key = [F.bit_xor(F.xxhash64(F.lit(k), "h")).alias(f"e{k}") for k in (1, 2)]
     n_e = ent.groupBy("e").agg(F.count(F.lit(1)).alias("n_e"), *key)
-    entities = stage(ent.join(n_e, "e").select("h", "n_e", "e1", "e2").distinct(), "pii-entities")
-    words = found.filter("words is not null").dropDuplicates(["h"])
-    words = words.select("h", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("t"))
+    # The bound is at most n / (n + Z^2) for n texts, so entities and terms of fewer texts than this cannot pass.
+    least = Z * Z / (2**bits - 1)
+    entities = stage(ent.join(n_e.filter(F.col("n_e") >= least), "e").select("h", "n_e", "e1", "e2").distinct(), "pii-entities")
+    words = found.filter("words is not null").dropDuplicates(["h"]).select("h", F.explode(_terms(F.col("words"))).alias("t"))
     n = float(found.select("h").distinct().count())
-    # A pair can disclose only if n(t) + PRIOR <= n(e)^alpha * N^(1 - alpha), because n(t, e) <= n(e).
-    within = lambda most: F.col("n_t") + PRIOR <= F.pow(most, F.lit(alpha)) * (n ** (1 - alpha) * (1 + 1e-9))
+    # The bound lies below n(t, e) / n(t), and n(t, e) <= n(e).
+    within = lambda most: F.col("n_t") <= most * (2**bits)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.sha1(F.col("text").cast("binary"))).dropDuplicates(["h"])
-    term = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
-    n_t = texts.select(F.explode(term).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    most = F.lit(entities.agg(F.max("n_e")).first()[0] or 0).cast("double")
+    term = _terms(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))
+    n_t = texts.select(F.explode(term).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") >= least)
+    most = F.lit(entities.agg(F.max("n_e")).first()[0] or 0)
     n_t = stage(n_t.filter(within(most)).join(words.select("t").distinct(), "t", "left_semi"), "pii-terms")
     pairs = stage(words.join(n_t, "t").join(entities, "h").filter(within(F.col("n_e"))), "pii-pairs")
-    pmi = F.log2(F.lit(n) * F.col("n_te") / ((F.col("n_t") + PRIOR) * F.col("n_e")))
+    pmi = F.log2(F.lit(n) * _low(F.col("n_te"), F.col("n_t")) / F.col("n_e"))
     ic = F.log2(F.lit(n) / F.col("n_e"))
-    judged = pairs.groupBy("t", "e1", "e2", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter((ic > 0) & (pmi >= F.lit(alpha) * ic))
-    judged = judged.select("t", "e1", "e2", (F.col("n_t") <= F.col("n_te")).alias("removed"))
-    return pairs.join(judged, ["t", "e1", "e2"]).groupBy("h", F.col("t").alias("term")).agg(F.max("removed").alias("removed"))
+    judged = pairs.groupBy("t", "e1", "e2", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
+    judged = judged.filter((ic > 0) & (pmi >= ic - bits)).select("t", "e1", "e2")
+    shown = stage(pairs.join(judged, ["t", "e1", "e2"], "left_semi").select("h", "t").distinct(), "pii-shown")
+    wide = shown.filter(F.col("t").endswith("*")).select("h", F.col("t").alias("broader"), F.lit(True).alias("telling"))
+    out = shown.filter(~F.col("t").endswith("*")).withColumn("broader", _broader(F.col("t"))).join(wide, ["h", "broader"], "left")
+    return out.select("h", F.col("t").alias("term"), F.when(F.col("telling").isNull(), F.col("broader")).alias("broader"))
 
 
 def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
@@ -178,7 +219,8 @@ def term_spans(found: DataFrame, revealed: DataFrame) -> DataFrame:
     at = at.filter(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("end") - F.col("size"))))
     at = at.drop("spans").join(revealed, ["h", "term"])
     span = F.struct(
-        F.when(F.col("removed"), "removed").otherwise("term").alias("kind"), (F.col("end") - F.col("size")).alias("start"), F.col("end"), F.col("term").alias("value")
+        F.when(F.col("broader").isNull(), "removed").otherwise("term").alias("kind"),
+        (F.col("end") - F.col("size")).alias("start"), F.col("end"), F.coalesce("broader", "term").alias("value"),
     )
     # By kind, then start, like the base spans.
     return at.groupBy("h").agg(F.sort_array(F.collect_list(span)).alias("terms"))
@@ -222,14 +264,16 @@ def _merged(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every base span replaced by its label, and disclosing terms removed or generalised."""
+    """``docs`` with every base span replaced by its label, and disclosing terms removed or generalised.
+
+    Null texts stay null, repeated rows stay, an empty table gives none; texts without spans come back as they are."""
     _, terms = _spans(docs, doc_id, text)
     columns = docs.columns
     src = base_spans(docs, text).withColumn("__k", F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     src = src.join(terms.select(F.col("h").alias("__k"), F.col("terms").alias("__terms")), "__k", "left")
     every = F.concat(*[F.col(f"__{k}") for k in KINDS], F.coalesce("__terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")))
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    marks = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label[s["kind"]].alias("label")))
+    marks = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == "term", s["value"]).otherwise(label[s["kind"]]).alias("label")))
     src = src.withColumn("__cut", _merged(marks.cast(_SPAN)))
 
     def piece(s, i):

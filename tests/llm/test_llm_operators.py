@@ -3,10 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
+import regex
 import pytest
 
 from spate.llm import decontaminate, lm_score, mixing, ngram_join, pii, quality_gam, quality_rules, token_counts, toxicity, warc
@@ -221,18 +224,81 @@ def test_pii_disclosing_terms(spark):
     assert "zanzibar" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and clean[100]["text"] == docs[6][1]
 
 
-def test_pii_judges_entities_of_one_text(spark):
-    docs = [(0, "said qwertal mail to eve@example.org or adam@example.org today"), (1, "said other mail to bob@example.org today")]
-    docs += [(100 + k, f"said other plain mail to all today number{k}") for k in range(60)]
+def test_pii_one_text_is_no_evidence_but_a_pool_is(spark):
+    docs = [(0, "said qwertal of zanzibar mail to eve@example.org or adam@example.org today"), (1, "said zanzibar mail to bob@example.org today")]
+    docs += [(100 + k, f"said mail to all today number{k} zan") for k in range(60)]
     got = rows(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
-    at = docs[0][1].index("qwertal")
-    assert got[0]["spans"].split(",")[2:] == [f"removed:{at}:{at + 7}"]
-    assert got[1]["spans"].count(":") == 2 and got[100]["spans"] == ""
+    marked = lambda i: {docs[i][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i]["spans"].split(",")) if k in ("term", "removed")}
+    assert marked(0) == {"zanzibar"} and marked(1) == {"zanzibar"}
+    assert got[100]["spans"] == ""
+
+
+def test_pii_broader_form(spark):
+    docs = [(k, f"Zanzibar and kilimanjaro mail eve{k}@example.org") for k in range(4)] + [(50 + k, f"zander number{k}") for k in range(9)]
+    docs += [(100 + k, f"and plain mail example org number{k}") for k in range(60)]
+    clean = rows(pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")))
+    # "zan*" is met without the domain too, "kil*" is not.
+    assert clean[0]["text"] == "zan* and [REMOVED] mail [EMAIL]" and clean[50]["text"] == "zander number0"
+
+
+def brute_term_spans(texts):
+    """Method spans of different texts by dictionaries: {text: {(kind, start, end)}}."""
+    low = lambda k, n: (k / n + Z2 / (2 * n) - Z2**0.5 * math.sqrt(k / n * (1 - k / n) / n + Z2 / (4 * n * n))) / (1 + Z2 / n)
+    Z2 = pii.Z**2
+    every, base, terms, names = set(texts), {}, {}, {}
+    broad = lambda w: w[:3] + "*" if len(w) > 3 else None
+    for t in every:
+        base[t] = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in brute_pii(t).split(",") if s)]
+        words = {w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", t)}
+        terms[t] = words | {broad(w) for w in words if broad(w)}
+        names[t] = set()
+        for k, a, b in base[t]:
+            v, d = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            pool = {"email": v.rsplit("@", 1)[-1], "ip": ".".join(v.split(".")[:3])}.get(k, d[:6])
+            names[t] |= {(k, d if k in ("card", "phone") else v), ("pool", k, pool)}
+            if k == "email":
+                names[t] |= {("name", x) for x in re.split("[^a-z]+", v.split("@")[0]) if len(x) >= 3}
+    n_t = Counter(x for t in every for x in terms[t])
+    n_e = Counter(e for t in every for e in names[t])
+    n_te = Counter((x, e) for t in every for e in names[t] for x in terms[t])
+    tells = {(x, e) for (x, e), k in n_te.items() if n_e[e] < len(every) and low(k, n_t[x]) >= 2**-pii.BITS}
+    out = {}
+    for t in every:
+        shown = {x for x in terms[t] if any((x, e) in tells for e in names[t])}
+        out[t] = set()
+        for m in regex.finditer(r"[\p{L}\p{N}]+", t):
+            w = m.group().lower()
+            if w in shown and not any(a < m.end() and b > m.start() for _, a, b in base[t]):
+                out[t].add(("term" if broad(w) and broad(w) not in shown else "removed", m.start(), m.end()))
+    return out
+
+
+def test_pii_term_spans_against_dictionaries(spark, texts):
+    rng = random.Random(5)
+    words = ["ana", "anabel", "anatol", "bo", "borneo", "born", "cee", "x", "zanzibar", "zander", "mail", "to"]
+    data = []
+    for k in range(250):
+        who = f"{rng.choice(['jan.roe', 'ida', 'kim_lee'])}@{rng.choice(['a.org', 'b.org', 'c.net'])}"
+        picked = rng.choices(words, k=rng.randint(1, 6)) + ([who] if rng.random() < 0.4 else []) + ([f"10.0.{rng.randint(0, 3)}.{k}"] if rng.random() < 0.2 else [])
+        if who in picked and "a.org" in who:
+            picked += rng.choices(["anabel", "quito", "zanskar"], k=2)
+        data.append(" ".join(rng.sample(picked, len(picked))))
+    for batch in (data, [t or "" for t in texts.values()]):
+        want = brute_term_spans(batch)
+        got = rows(pii.find_pii(spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string")))
+        seen = set()
+        for i, t in enumerate(batch):
+            spans = [s.split(":") for s in got[i]["spans"].split(",") if s]
+            mine = {(k, int(a), int(b)) for k, a, b in spans if k in ("term", "removed")}
+            assert mine == want[t], (t, mine, want[t])
+            seen |= {k for k, _, _ in mine}
+        if batch is data:
+            assert seen == {"term", "removed"}
 
 
 def test_pii_spans_by_kind_then_start(spark):
-    docs = [(k, f"topaz near zanzibar mail eve@example.org or 10.0.0.{k} zanzibar topaz") for k in range(6)] + [(50, "topaz alone on this day")]
-    docs += [(100 + k, f"plain things to all today number{k}") for k in range(300)]
+    docs = [(k, f"topaz near zanzibar mail eve@example.org or 10.0.0.{k} zanzibar topaz") for k in range(6)] + [(50, "topology alone on this day")]
+    docs += [(100 + k, f"plain things to all today number{k} topic{k}") for k in range(300)]
     got = rows(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
     order = ["email", "ip", "card", "phone", "removed", "term"]
     for r in got.values():
@@ -262,7 +328,7 @@ def test_lm_scores(spark, texts, order):
     flags = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
     df = spark.createDataFrame([(i, t, flags[i]) for i, t in texts.items()], "doc_id long, text string, held_out boolean")
     seq = {i: ["<s>", *WORD.findall(fold(t)), "</s>"] for i, t in texts.items()}
-    count = [collections.Counter() for _ in range(order + 1)]
+    count = [Counter() for _ in range(order + 1)]
     for i, s in seq.items():
         if not flags[i]:
             for k in range(1, order + 1):
@@ -326,7 +392,7 @@ def test_quality_rules(spark, odd, none, texts):
     got = rows(quality_rules.quality_rules(df))
     for i, t in texts.items():
         w = WORD.findall(t or "")
-        g = collections.Counter(zip(w, w[1:], w[2:]))
+        g = Counter(zip(w, w[1:], w[2:]))
         hit = {k + j for k in range(len(w) - 2) if g[tuple(w[k : k + 3])] > 1 for j in range(3)}
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         r = got[i]
