@@ -1,7 +1,8 @@
 """Relevance classification: balancing, exact splits, an MLlib pipeline, scoring
 and metrics.
 
-M15 ``undersample``, M16 ``split``, M17 ``train``, M18 ``predict``,
+M15 ``undersample``, M16 ``split``, M17 ``train``, M18 ``predict`` and
+``predict_with`` (a model of the user's own),
 M19 ``with_loss``, A17 ``confusion``, A18 ``binary_metrics``, F15 ``outcome``,
 F16 ``error_slices``.
 
@@ -11,6 +12,10 @@ key and cut at exact counts with a distributed rank, not sampled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +173,75 @@ def predict(df: DataFrame, model) -> DataFrame:
     )
 
 
+def predict_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]], inputs: list[str]) -> DataFrame:
+    """M18 with a model of the user's own: every input column plus ``softmax``, ``predicted_label`` and ``probability``.
+
+    ``load()`` runs once per task, on the executor, and gives a function from an Arrow batch of the columns
+    ``inputs`` to the class probabilities, one row of the same number of classes for each row of the batch.  The
+    lowest class wins a tie.  Columns of these three names are replaced.  An empty table gives no rows."""
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            p = np.asarray(model(batch), dtype="float64")
+            if p.ndim != 2 or len(p) != len(batch):
+                raise ValueError(f"the model gave shape {p.shape} for {len(batch)} rows")
+            yield pd.Series(list(p), index=batch.index)
+
+    names = ("softmax", "predicted_label", "probability")
+    # Not deterministic for the optimizer, so that the model runs once per row and not once per use of its result.
+    out = df.withColumn("__prob", score.asNondeterministic()(F.struct(*inputs)))
+    best = F.array_max("__prob")
+    return out.select(
+        *[F.col(c) for c in df.columns if c not in names],
+        best.alias("softmax"), (F.array_position("__prob", best) - 1).cast("int").alias("predicted_label"), F.col("__prob").alias("probability"),
+    )
+
+
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """MurmurHash3 x86 32-bit as a signed integer: the hash of MLlib's ``HashingTF``."""
+    mask, h = 0xFFFFFFFF, seed
+
+    def mixed(k):
+        k = k * 0xCC9E2D51 & mask
+        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h ^= mixed(int.from_bytes(data[i : i + 4], "little"))
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    if whole < len(data):
+        h ^= mixed(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+class HashedLinear:
+    """A fitted ``train`` pipeline as a plain function of token batches, for ``predict_with``; null tokens are none."""
+
+    def __init__(self, weights: np.ndarray, intercept: float, tokens: str = "tokens"):
+        self.weights, self.intercept, self.tokens = weights, intercept, tokens
+
+    @classmethod
+    def of(cls, model, tokens: str = "tokens") -> HashedLinear:
+        """IDF and coefficients folded into one weight per hash slot, as many as ``train``'s ``num_features``."""
+        _, idf, logistic = model.stages
+        return cls(np.asarray(idf.idf.toArray()) * logistic.coefficients.toArray(), float(logistic.intercept), tokens)
+
+    def __call__(self, batch: pd.DataFrame) -> np.ndarray:
+        lists = [[] if x is None else x for x in batch[self.tokens]]
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        code, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
+        slot = np.array([murmur3(w.encode()) % len(self.weights) for w in words], dtype="int64")
+        margin = np.bincount(row, self.weights[slot][code], minlength=len(lists)) + self.intercept
+        p = 1 / (1 + np.exp(-margin))
+        return np.stack([1 - p, p], axis=1)
+
+
 def with_loss(df: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
     """Per-row cross-entropy of the true label, ``-ln(p[label])``."""
     p = F.element_at(F.col(probability), F.col(label).cast("int") + 1)

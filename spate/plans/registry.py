@@ -1104,6 +1104,16 @@ def q_predict_relevance(spark, sf_dir):
     return classify.with_loss(scored).select("id", "label", "softmax", "predicted_label", "loss")
 
 
+@register("predict_user_model")
+def q_predict_user_model(spark, sf_dir):
+    """M18 with a model of the user's own: here the fitted pipeline as a numpy function, sent once as a broadcast of
+    2^18 weights (2 MB whatever the data)."""
+    data = cut_lineage(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"))
+    stored = spark.sparkContext.broadcast(classify.HashedLinear.of(classify.train(data, label="label")))
+    scored = classify.predict_with(data, lambda: stored.value, ["tokens"])
+    return classify.with_loss(scored).select("id", "label", "softmax", "predicted_label", "loss")
+
+
 @register("hardest_positives")
 def q_hardest_positives(spark, sf_dir):
     data = cut_lineage(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"))
