@@ -1142,7 +1142,7 @@ LEFT JOIN nation n ON n.n_nationkey = p.place_id
 WHERE p.place_id IS NULL OR n.n_nationkey IS NOT NULL"""
 
 
-def _assembled(spark, sf_dir):
+def _search_page(spark, sf_dir):
     orders = tables.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_custkey").alias("author_id"),
         F.struct(
@@ -1153,7 +1153,11 @@ def _assembled(spark, sf_dir):
         F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("name")
     )
     places = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return src.assemble_posts(orders, users, places)
+    return orders, users, places
+
+
+def _assembled(spark, sf_dir):
+    return src.assemble_posts(*_search_page(spark, sf_dir))
 
 
 @register("assemble_posts", ASSEMBLE_SQL)
@@ -1165,6 +1169,53 @@ def q_assemble_posts(spark, sf_dir):
     )
 
 
+# The parts of an order are the media keys of a post; parts of size 50 have no record (such posts are rejected).
+MEDIA_SQL = f"""WITH p AS (
+    SELECT o_orderkey AS id, o_custkey AS author_id, {PLACE_ID_SQL} AS place_id FROM orders
+), k AS (
+    SELECT DISTINCT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS media_key FROM lineitem
+), m AS (
+    SELECT CAST(p_partkey AS VARCHAR) AS media_key, p_type FROM part WHERE p_size < 50
+), j AS (
+    SELECT k.id, COUNT(*) AS n_media, COUNT(*) FILTER (WHERE m.media_key IS NULL) AS missing,
+           STRING_AGG(k.media_key || ':' || m.p_type, ',' ORDER BY k.media_key || ':' || m.p_type) AS media
+    FROM k LEFT JOIN m ON m.media_key = k.media_key GROUP BY k.id
+), r AS (
+    SELECT p.id, n.n_name AS place_name, COALESCE(j.n_media, 0) AS n_media, COALESCE(j.media, '') AS media,
+           CASE WHEN c.c_custkey IS NULL THEN 'missing user'
+                WHEN p.place_id IS NOT NULL AND n.n_nationkey IS NULL THEN 'missing place'
+                WHEN j.missing > 0 THEN 'missing media' END AS reason
+    FROM p LEFT JOIN customer c ON c.c_custkey = p.author_id LEFT JOIN nation n ON n.n_nationkey = p.place_id
+    LEFT JOIN j ON j.id = p.id
+)"""
+
+
+def _assembled_media(spark, sf_dir):
+    posts, users, places = _search_page(spark, sf_dir)
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("okey"), F.col("l_partkey").cast("string").alias("key"))
+    keys = lines.groupBy("okey").agg(F.struct(F.collect_set("key").alias("media_keys")).alias("attachments"))
+    posts = posts.join(keys, posts["id"] == keys["okey"], "left").drop("okey")
+    media = tables.table(spark, sf_dir, "part").filter("p_size < 50").select(
+        F.col("p_partkey").cast("string").alias("media_key"), F.col("p_type").alias("type"), F.col("p_brand").alias("url")
+    )
+    return src.assemble_posts(posts, users, places, media)
+
+
+@register("assemble_media", MEDIA_SQL + " SELECT id, place_name, n_media, media, FALSE AS has_attachments FROM r WHERE reason IS NULL")
+def q_assemble_media(spark, sf_dir):
+    out, _ = _assembled_media(spark, sf_dir)
+    each = F.transform(F.map_values("media"), lambda m: F.concat_ws(":", m["media_key"], m["type"]))
+    return out.select(
+        "id", F.col("place.name").alias("place_name"), F.coalesce(F.size("media"), F.lit(0)).cast("long").alias("n_media"),
+        F.coalesce(F.array_join(F.array_sort(each), ","), F.lit("")).alias("media"), F.col("attachments").isNotNull().alias("has_attachments"),
+    )
+
+
+@register("assemble_media_rejects", MEDIA_SQL + " SELECT id, reason FROM r WHERE reason IS NOT NULL")
+def q_assemble_media_rejects(spark, sf_dir):
+    return _assembled_media(spark, sf_dir)[1]
+
+
 @register(
     "assemble_rejects",
     f"""WITH p AS (SELECT o_orderkey AS id, o_custkey, {PLACE_ID_SQL} AS place_id FROM orders)

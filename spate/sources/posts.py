@@ -211,15 +211,20 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None,
 # ---------------------------------------------------------------------------
 
 
-def _last_rows(df: DataFrame, key: str, key_as: str, row_as: str) -> DataFrame:
-    """One struct per key: the last row of the table (partial ``max_by``; a hot key is combined map-side)."""
+def _last_rows(df: DataFrame, key: str, key_as: str, row_as: str, order: str | None = None) -> DataFrame:
+    """One struct per key: the row with the largest ``order``, of equals (or without it) the last row of the table as it
+    is read (partial ``max_by``; a hot key is combined map-side)."""
+    at = [F.monotonically_increasing_id().alias("at")]
     return (
-        df.select(F.col(key).alias(key_as), F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.monotonically_increasing_id().alias("__at"))
+        df.select(
+            F.col(key).alias(key_as), F.struct(*[F.col(c) for c in df.columns if c != order]).alias("__row"),
+            F.struct(*([F.col(order).alias("order")] if order else []), *at).alias("__at"),
+        )
         .groupBy(key_as).agg(F.max_by("__row", "__at").alias(row_as))
     )
 
 
-def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media: DataFrame | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Denormalise a search page.
 
     ``posts(id, text, author_id, geo struct<place_id>, attachments
@@ -228,16 +233,18 @@ def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media:
     ``geo.place_id`` (``geo`` dropped when matched, kept otherwise) ⟕ ``media``
     by each media key (a ``media`` map; ``attachments`` dropped only when it
     has media keys, so polls stay).  Of users, places or media with the same
-    id the last row of the table counts.  Returns ``(posts, rejects)``: posts whose
+    id the row with the largest ``order`` counts (a column of those three tables,
+    such as the page they came on; it is not kept), without it the last row of
+    the table as it is read, which depends on how its files are split.  Returns ``(posts, rejects)``: posts whose
     author, place or media is missing go to ``rejects`` with a reason."""
-    u = _last_rows(users, "id", "author_id", "user")
-    p = _last_rows(places, "id", "__pid", "place")
+    u = _last_rows(users, "id", "author_id", "user", order)
+    p = _last_rows(places, "id", "__pid", "place", order)
     with_user = posts.join(u, "author_id", "left")
     base = with_user.withColumn("__pkey", F.col("geo.place_id")).join(p, F.col("__pkey") == F.col("__pid"), "left")
     has_keys = F.coalesce(F.size("attachments.media_keys") > 0, F.lit(False)) if "attachments" in posts.columns else F.lit(False)
     base = base.withColumn("__has_media", has_keys)
     if media is not None and "attachments" in posts.columns:
-        m = _last_rows(media, "media_key", "media_key", "__m")
+        m = _last_rows(media, "media_key", "media_key", "__m", order)
         keys = base.filter("__has_media").select(F.col("id").alias("__id"), F.explode("attachments.media_keys").alias("media_key")).distinct()
         joined = keys.join(m, "media_key", "left")
         per_post = joined.groupBy("__id").agg(

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
-TABLES = "documents events labels conversations embeddings orders customer nation pages benchmark".split()
+TABLES = "documents events labels conversations embeddings orders customer nation pages benchmark part lineitem".split()
 
 
 def _norm(v):

@@ -145,3 +145,12 @@ def test_read_regions_polygon_and_multipolygon(spark):
     rows = sorted((r["name"], r["poly_no"], len(r["rings"][0])) for r in df.collect())
     assert rows == [("A", 0, 4), ("B", 0, 4), ("B", 1, 4)]
     assert df.filter(F.col("name") == "B").first()["rings"][0][0]["x"] == 2.0
+
+
+def test_assemble_takes_the_largest_order(spark):
+    posts = spark.createDataFrame([("1", "t", "7")], "id string, text string, author_id string").withColumn("geo", F.lit(None).cast("struct<place_id:string>"))
+    users = spark.createDataFrame([("7", "new", 2), ("7", "old", 1), ("8", "x", 3)], "id string, username string, page int")
+    places = spark.createDataFrame([], "id string, name string, page int")
+    for n in (1, 3):
+        out, rejects = src.assemble_posts(posts, users.repartition(n), places, order="page")
+        assert out.first()["user"].asDict() == {"id": "7", "username": "new"} and rejects.count() == 0
