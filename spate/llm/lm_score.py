@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ ADD = 0.1
 #: Text bytes of a block, and of the corpus for each hash slice.
 BLOCK_BYTES = 12 << 20
 SLICE_TEXT = 8 << 20
+#: Bytes of a block that a row takes besides its text.
+_ROW_BYTES = 16
 
 _START, _END = np.uint64(0x5A17C0DE00000001), np.uint64(0x5A17C0DE00000002)
 
@@ -124,19 +127,35 @@ def _checksum(tokens: Tokens) -> int:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Blocks of a scan partition in scan order; the number holds partition and position."""
+    """Blocks of a scan partition in scan order; the number holds partition and position.
+
+    A block ends before the row that would pass the limit, so the cuts depend on the rows alone, not on how they
+    are dealt into batches: a stage writes with smaller batches than the query's last job.
+    """
     base, k = TaskContext.get().partitionId() << 24, 0
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def block() -> tuple[int, pa.RecordBatch]:
+        return base + k, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        for part in slices(batch, text_at, limit):
-            if held and size + part.nbytes > limit:
-                yield base + k, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        text = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(text.astype(np.int64) + _ROW_BYTES)
+        at = before = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(upto, before + limit - size, side="right"))
+            if not held:
+                to = max(to, at + 1)  # a row longer than the limit is a block
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(upto[to - 1]) - before
+                at, before = to, int(upto[to - 1])
+            if at < batch.num_rows:
+                yield block()
                 held, size, k = [], 0, k + 1
-            held.append(part)
-            size += part.nbytes
-    if held and sum(b.num_rows for b in held):
-        yield base + k, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    if held:
+        yield block()
 
 
 _REQUEST = "slice int, block long, kind int, keys binary, counts binary"
