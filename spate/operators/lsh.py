@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spate.operators.similarity import as_double_array, norm, tile_cogroups
+from spate.operators.similarity import as_double_array, later_like_earlier, norm, own_vectors, similar_pairs, tile_cogroups
 from spate.session import cut_lineage
 
 #: Cost of sending one row to a bucket, in comparisons of two rows in a tile.
@@ -62,7 +62,7 @@ def lsh_plan(rows: int, thr: float, recall: float = 0.95, seed: int = 1) -> LshP
 def _codes(rows: DataFrame, plan: LshPlan, d: int, probes: bool) -> DataFrame:
     """``rows`` (id, ord, v, n) once per table (and, as probes, per neighbouring code): __bx the table, __by the code."""
     matrix = rows.sparkSession.sparkContext.broadcast(plan.directions(d))  # d x tables x bits numbers
-    schema = "__id long, __o long, __vec array<double>, __nrm double, __bx int, __by long"
+    schema = f"__id long, __o long, __vec {rows.schema['v'].dataType.simpleString()}, __nrm double, __bx int, __by long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,8 +85,8 @@ def _codes(rows: DataFrame, plan: LshPlan, d: int, probes: bool) -> DataFrame:
 
 def _usable(df: DataFrame, vec: str, order: str, id: str) -> tuple[DataFrame, int]:
     """(id, ord, v, n) of the rows whose vector has a direction, and the vectors' length."""
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(order).cast("long").alias("ord"), as_double_array(vec).alias("v"))
-    rows = rows.withColumn("n", norm(F.col("v"))).filter("n > 0 and not isnan(n)")
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(order).cast("long").alias("ord"), own_vectors(df, vec).alias("v"))
+    rows = rows.withColumn("n", norm(as_double_array("v"))).filter("n > 0 and not isnan(n)")
     sizes = rows.select(F.min(F.size("v")), F.max(F.size("v"))).first()
     if sizes[0] != sizes[1]:
         raise ValueError(f"vectors have between {sizes[0]} and {sizes[1]} entries")
@@ -95,7 +95,7 @@ def _usable(df: DataFrame, vec: str, order: str, id: str) -> tuple[DataFrame, in
 
 def _cosines(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
     """Cosines of the vectors in columns a and b, norms in the columns after them."""
-    x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (a, b))
+    x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for i in (a, b))
     return np.einsum("ij,ij->i", x, y) / (batch.column(a + 1).to_numpy() * batch.column(b + 1).to_numpy())
 
 
@@ -132,16 +132,7 @@ def drop_near_duplicates_lsh(
     gone = cut_lineage(_like_first(index, thr))
     left = leaders.join(gone, leaders["id"] == gone["__id"], "left_anti")
 
-    def kernel(p, e):
-        import pandas as pd
-
-        if p.empty or e.empty:
-            return pd.DataFrame({"__id": pd.Series([], dtype="int64")})
-        cos = (np.stack(p["__vec"].to_numpy()) @ np.stack(e["__vec"].to_numpy()).T) / np.outer(p["__nrm"], e["__nrm"])
-        hit = ((cos > thr) & (e["__o"].to_numpy()[None, :] < p["__o"].to_numpy()[:, None])).any(axis=1)
-        return pd.DataFrame({"__id": p["__id"].to_numpy()[hit]})
-
-    more = tile_cogroups(_codes(left, plan, d, probes=True), index).applyInPandas(kernel, schema="__id long")
+    more = tile_cogroups(_codes(left, plan, d, probes=True), index).applyInPandas(lambda p, e: later_like_earlier(p, e, thr), schema="__id long")
     out = gone.unionByName(more).select(F.col("__id").alias("id"))
     # Rows that share a dropped leader's vector and order go with it.
     same = rows.join(leaders.join(out, "id", "left_semi").select("v"), "v", "left_semi").select("id")
@@ -158,20 +149,9 @@ def similar_rows_lsh(
     rows = cut_lineage(rows)
     plan = lsh_plan(rows.count(), thr, recall, seed)
 
-    def kernel(p, e):
-        import pandas as pd
-
-        none = pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})
-        if p.empty or e.empty:
-            return none
-        cos = (np.stack(p["__vec"].to_numpy()) @ np.stack(e["__vec"].to_numpy()).T) / np.outer(p["__nrm"], e["__nrm"])
-        i, j = np.nonzero(cos > thr)
-        out = pd.DataFrame({"query": p["__id"].to_numpy()[i], "id": e["__id"].to_numpy()[j], "cosine": cos[i, j]})
-        return out[out["query"] != out["id"]]
-
     if dq != d and dq:
         raise ValueError(f"query vectors have {dq} entries, rows {d}")
     pairs = tile_cogroups(_codes(asked, plan, d, probes=True), _codes(rows, plan, d, probes=False)).applyInPandas(
-        kernel, schema="query long, id long, cosine double"
+        lambda p, e: similar_pairs(p, e, thr), schema="query long, id long, cosine double"
     )
     return pairs.groupBy("query", "id").agg(F.max("cosine").alias("cosine"))

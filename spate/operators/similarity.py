@@ -32,6 +32,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double_array(c) -> Column:
@@ -39,6 +40,14 @@ def as_double_array(c) -> Column:
     return F.transform(col, lambda x: x.cast("double"))
 
 
+def own_vectors(df: DataFrame, vec: str) -> Column:
+    """The vectors as they travel: floats stay floats, half the bytes; everything else is cast to double.
+
+    Sums and products are taken after a cast to double, which is exact."""
+    kind = df.schema[vec].dataType
+    return F.col(vec) if kind == T.ArrayType(T.FloatType(), kind.containsNull) else as_double_array(vec)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Σ aᵢ·bᵢ, summed left to right."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
@@ -69,9 +78,9 @@ def drop_near_duplicates(
     from pyspark.ml.functions import array_to_vector
 
     r = math.sqrt(max(2.0 - 2.0 * thr, 0.0))
-    base = df.withColumn("__v", as_double_array(vec)).withColumn("__n", norm(F.col("__v")))
+    base = df.withColumn("__v", own_vectors(df, vec)).withColumn("__n", norm(as_double_array("__v")))
     undefined = base.filter(F.col("__n").isNull() | (F.col("__n") == 0)).drop("__v", "__n")
-    nz = base.filter(F.col("__n") > 0).withColumn("__u", F.transform("__v", lambda x: x / F.col("__n")))
+    nz = base.filter(F.col("__n") > 0).withColumn("__u", F.transform("__v", lambda x: x.cast("double") / F.col("__n")))
 
     # 1. copy collapse on a fine grid (cell diameter < r).
     width = F.lit(r * (1 - 1e-9)) / F.sqrt(F.size("__u").cast("double"))
@@ -108,8 +117,50 @@ def drop_near_duplicates(
     return kept.unionByName(undefined)
 
 
-# Rows per side of one exact-test tile.
-TILE = 1024
+# Rows per side of one exact-test tile.  A row of a cell of n rows travels n / TILE times, so large tiles send little;
+# a task holds two tiles of vectors and the cosines of CHUNK rows of the one with all of the other.
+TILE = 8192
+CHUNK = 256
+
+
+def cosine_chunks(p, e):
+    """(slice, cosines) of CHUNK rows of tile ``p`` after the other with all rows of tile ``e``, in doubles."""
+    import numpy as np
+
+    vp, ve = (np.stack(x["__vec"].to_numpy()).astype(np.float64) for x in (p, e))
+    np_, ne = p["__nrm"].to_numpy(), e["__nrm"].to_numpy()
+    for k in range(0, len(vp), CHUNK):
+        at = slice(k, k + CHUNK)
+        yield at, (vp[at] @ ve.T) / np.outer(np_[at], ne)
+
+
+def similar_pairs(p, e, thr: float):
+    """(query, id, cosine) of the rows of tile ``p`` with the other rows of tile ``e`` of cosine > ``thr``."""
+    import numpy as np
+    import pandas as pd
+
+    out = [pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})]
+    if not p.empty and not e.empty:
+        asked, ids = p["__id"].to_numpy(), e["__id"].to_numpy()
+        for at, cos in cosine_chunks(p, e):
+            i, j = np.nonzero(cos > thr)
+            out.append(pd.DataFrame({"query": asked[at][i], "id": ids[j], "cosine": cos[i, j]}))
+    got = pd.concat(out[1:] or out)
+    return got[got["query"] != got["id"]]
+
+
+def later_like_earlier(p, e, thr: float):
+    """(__id) of the rows of tile ``p`` with a row of smaller order and cosine > ``thr`` in tile ``e``."""
+    import numpy as np
+    import pandas as pd
+
+    if p.empty or e.empty:
+        return pd.DataFrame({"__id": pd.Series([], dtype="int64")})
+    order, before = p["__o"].to_numpy(), e["__o"].to_numpy()
+    hit = np.zeros(len(p), dtype=bool)
+    for at, cos in cosine_chunks(p, e):
+        hit[at] = ((cos > thr) & (before[None, :] < order[at][:, None])).any(axis=1)
+    return pd.DataFrame({"__id": p["__id"].to_numpy()[hit].astype("int64")})
 
 
 def tile_cogroups(probes: DataFrame, earlier: DataFrame):
@@ -142,41 +193,18 @@ def tile_cogroups(probes: DataFrame, earlier: DataFrame):
 
 def _tiled_semi_join(probes: DataFrame, earlier: DataFrame, thr: float) -> DataFrame:
     """Probe ids having an earlier row (smaller order) in the same cell with
-    cosine > ``thr``.  Work per cogroup is bounded by TILE × TILE."""
-    import numpy as np
-    import pandas as pd
-
-    def kernel(pdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or edf.empty:
-            return pd.DataFrame({"__id": pd.Series([], dtype="int64")})
-        vp = np.stack(pdf["__vec"].to_numpy())
-        ve = np.stack(edf["__vec"].to_numpy())
-        cos = (vp @ ve.T) / np.outer(pdf["__nrm"].to_numpy(), edf["__nrm"].to_numpy())
-        earlier_mask = edf["__o"].to_numpy()[None, :] < pdf["__o"].to_numpy()[:, None]
-        hit = ((cos > thr) & earlier_mask).any(axis=1)
-        return pd.DataFrame({"__id": pdf["__id"].to_numpy()[hit].astype("int64")})
-
-    return tile_cogroups(probes, earlier).applyInPandas(kernel, schema="__id long")
+    cosine > ``thr``.  Work per cogroup is bounded by TILE × TILE, its memory by CHUNK × TILE."""
+    return tile_cogroups(probes, earlier).applyInPandas(lambda p, e: later_like_earlier(p, e, thr), schema="__id long")
 
 
 def similar_rows(queries: DataFrame, df: DataFrame, vec: str = "embedding", id: str = "id", thr: float = 0.8) -> DataFrame:
     """(query, id, cosine): per query row all other rows of cosine > ``thr``, by brute force in tiles."""
-    import numpy as np
-    import pandas as pd
-
     def side(frame):
-        rows = frame.select(F.col(id).alias("__id"), F.col(id).alias("__o"), as_double_array(vec).alias("__vec"))
-        return rows.withColumn("__nrm", norm(F.col("__vec"))).filter("__nrm > 0").withColumns({"__bx": F.lit(0), "__by": F.lit(0)})
-
-    def kernel(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or e.empty:
-            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cosine": pd.Series([], dtype="float64")})
-        cos = (np.stack(p["__vec"].to_numpy()) @ np.stack(e["__vec"].to_numpy()).T) / np.outer(p["__nrm"], e["__nrm"])
-        i, j = np.nonzero(cos > thr)
-        out = pd.DataFrame({"query": p["__id"].to_numpy()[i], "id": e["__id"].to_numpy()[j], "cosine": cos[i, j]})
-        return out[out["query"] != out["id"]]
-
-    return tile_cogroups(side(queries), side(df)).applyInPandas(kernel, schema="query long, id long, cosine double")
+        rows = frame.select(F.col(id).alias("__id"), F.col(id).alias("__o"), own_vectors(frame, vec).alias("__vec"))
+        return rows.withColumn("__nrm", norm(as_double_array("__vec"))).filter("__nrm > 0").withColumns({"__bx": F.lit(0), "__by": F.lit(0)})
+
+    pairs = tile_cogroups(side(queries), side(df))
+    return pairs.applyInPandas(lambda p, e: similar_pairs(p, e, thr), schema="query long, id long, cosine double")
 
 
 def top_similar(docs: DataFrame, candidates: DataFrame, n: int = 5, id: str = "id", vec: str = "embedding", phrase: str = "phrase") -> DataFrame:
