@@ -415,6 +415,41 @@ def test_kneser_ney_is_normalised():
         assert abs(np.exp(m.score(every)).sum() - 1) < 1e-6
 
 
+def test_perplexity_is_of_the_text_itself():
+    import pyarrow as pa
+
+    from spate.llm.common import TextBatch
+
+    # No two characters share their symbols, and none begins with all the symbols of another.
+    chars = [chr(c) for c in [*range(0x3000), *range(0x4E00, 0x5200), *range(0xAC00, 0xAD00), *range(0x1F300, 0x1F700)]]
+    code, bounds = quality_rules.coded(TextBatch(pa.array(chars)))
+    symbols = [tuple(int(x) % 64 for x in code[a:b]) for a, b in zip(bounds, bounds[1:])]
+    assert len(set(symbols)) == len(chars)
+    known = set(symbols)
+    assert not any(s[:k] in known for s in symbols for k in range(1, len(s)))
+
+
+def test_perplexity_equals_a_restatement(spark):
+    """Per text the log-probabilities of its symbols one by one, over its bytes."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spate.llm.common import TextBatch
+
+    texts = ["Ab 12 åäö 中文!", "ab 12 aao 丮斈?", None, ""]
+    tb = TextBatch(pa.array(texts))
+    code, bounds = quality_rules.coded(tb)
+    model = quality_rules.KneserNey(*np.unique(code, return_counts=True))
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["log_ppl"] for r in quality_rules.measure(df, model).collect()}
+    for i, t in enumerate(texts[:2]):
+        want = -sum(float(model.score(np.array([c], dtype=np.uint32))[0]) for c in code[bounds[i] : bounds[i + 1]]) / len(t.encode())
+        assert math.isclose(got[i], want, rel_tol=1e-12)
+    assert got[2] is None and got[3] is None
+
+
 def test_quality_gam(spark, odd, none):
     good = lambda i: " ".join(f"word{(i * 3 + k) % 50} and" for k in range(40)) + "."
     docs = spark.createDataFrame([(i, good(i) if i % 3 else good(i).replace(" and", "$$$ ###")) for i in range(300)], "doc_id long, text string")
