@@ -1190,10 +1190,15 @@ MEDIA_SQL = f"""WITH p AS (
 )"""
 
 
+LINES_PER_TASK = 1_000_000
+
+
 def _assembled_media(spark, sf_dir):
     posts, users, places = _search_page(spark, sf_dir)
     lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("okey"), F.col("l_partkey").cast("string").alias("key"))
-    keys = lines.groupBy("okey").agg(F.struct(F.collect_set("key").alias("media_keys")).alias("attachments"))
+    # The sets of keys are sorted in a task: partitions of a bounded number of lines.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_PER_TASK))
+    keys = lines.repartition(parts, "okey").groupBy("okey").agg(F.struct(F.collect_set("key").alias("media_keys")).alias("attachments"))
     posts = posts.join(keys, posts["id"] == keys["okey"], "left").drop("okey")
     media = tables.table(spark, sf_dir, "part").filter("p_size < 50").select(
         F.col("p_partkey").cast("string").alias("media_key"), F.col("p_type").alias("type"), F.col("p_brand").alias("url")

@@ -265,8 +265,25 @@ def assemble_posts(posts: DataFrame, users: DataFrame, places: DataFrame, media:
     if "attachments" in posts.columns:
         out = out.withColumn("attachments", F.when(~F.col("__has_media"), F.col("attachments")))
     helper = ["__pkey", "__pid", "__has_media", "__missing_media", "__reason", "author_id"]
-    rejects = base.filter(F.col("__reason").isNotNull()).select("id", F.col("__reason").alias("reason"))
-    return out.drop(*helper), rejects
+    return out.drop(*helper), _rejects(posts, users, places, media)
+
+
+def _rejects(posts: DataFrame, users: DataFrame, places: DataFrame, media: DataFrame | None) -> DataFrame:
+    """``(id, reason)`` of the posts whose author, place or media is missing: only keys travel, no records."""
+
+    def found(df: DataFrame, key: str, key_as: str, flag: str) -> DataFrame:
+        return df.select(F.col(key).alias(key_as)).distinct().withColumn(flag, F.lit(True))
+
+    base = posts.select("id", "author_id", F.col("geo.place_id").alias("__pkey"))
+    base = base.join(found(users, "id", "author_id", "__user"), "author_id", "left")
+    base = base.join(found(places, "id", "__pkey", "__place"), "__pkey", "left")
+    reason = F.when(F.col("__user").isNull(), "missing user").when(F.col("__pkey").isNotNull() & F.col("__place").isNull(), "missing place")
+    if media is not None and "attachments" in posts.columns:
+        keys = posts.select("id", F.explode("attachments.media_keys").alias("media_key"))
+        lost = keys.join(media.select("media_key"), "media_key", "left_anti")
+        base = base.join(found(lost, "id", "id", "__lost"), "id", "left")
+        reason = reason.when(F.col("__lost"), "missing media")
+    return base.select("id", reason.alias("reason")).filter("reason is not null")
 
 
 def attach_labels(posts: DataFrame, labels: DataFrame, id: str = "id") -> DataFrame:

@@ -1,6 +1,7 @@
-"""What travels: RAKE phrases."""
+"""What travels: RAKE phrases, keys of rejected posts."""
 
 from spate.operators import phrases
+from spate.sources import posts as src
 
 
 def test_rake_cuts_the_texts_once(spark):
@@ -14,3 +15,16 @@ def test_rake_cuts_the_texts_once(spark):
 def test_rake_scores_the_phrases_of_one_id_and_position_together(spark):
     df = spark.createDataFrame([(1, "red boat"), (1, "cat"), (2, "cat")], "id long, text string")
     assert [tuple(r) for r in phrases.rake(df, n=9).collect()] == [("cat", 5.0), ("red boat", 5.0), ("cat", 1.0)]
+
+
+def test_rejects_carry_keys_only(spark):
+    rows = [(1, 7, (1,), (["a"],)), (2, 8, (1,), (["a"],)), (3, 7, (9,), (["a"],)), (4, 7, (None,), (["a", "b"],)),
+            (5, 7, None, None), (None, 7, (1,), (["b"],)), (6, None, (1,), None), (4, 7, (1,), None)]
+    posts = spark.createDataFrame(rows, "id long, author_id long, geo struct<place_id long>, attachments struct<media_keys array<string>>")
+    users = spark.createDataFrame([(7, "u"), (7, "v"), (None, "w")], "id long, username string")
+    places = spark.createDataFrame([(1, "p")], "id long, name string")
+    media = spark.createDataFrame([("a", "photo"), ("a", "video")], "media_key string, type string")
+    rejects = src.assemble_posts(posts, users, places, media)[1]
+    assert "max_by" not in rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, rejects.collect())) == [
+        (2, "missing user"), (3, "missing place"), (4, "missing media"), (4, "missing media"), (6, "missing user")]
