@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spate.operators.groups import global_rank
+from spate.session import cut_lineage
 
 LABELS = ("relevant", "mentions_impact")
 
@@ -34,33 +35,45 @@ def seeded_key(id_col, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), c.cast("string")).cast("binary"))
 
 
+def _ordered(df: DataFrame, id: str, seed: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with their place ``__at`` (``by``, seeded key, id, row number) and the places alone with their rank ``__r``.
+
+    The rows are written once, so that their numbers stay; only the places are sorted."""
+    place = F.struct(*by, "__key", F.col(id).alias("__id"), F.monotonically_increasing_id().alias("__n"))
+    rows = cut_lineage(df.withColumn("__key", seeded_key(id, seed)).withColumn("__at", place).drop("__key"))
+    return rows, global_rank(rows.select("__at"), ["__at"], rank_col="__r")
+
+
 def undersample(df: DataFrame, label: str = "label", seed: int = 0, id: str = "id") -> DataFrame:
     """Keep, for every class, as many rows as the smallest class has — the
     first ones in the seeded order.  Exact and distributed: a global rank over
     (label, key, id) minus each class's start offset gives the rank inside the
-    class, so no class is ever sorted inside a single task."""
-    ranked = global_rank(df.withColumn("__key", seeded_key(id, seed)), [label, "__key", id], rank_col="__g")
-    starts = ranked.groupBy(label).agg(F.min("__g").alias("__start"), F.count(F.lit(1)).alias("__n"))
-    smallest = starts.select(F.min("__n")).scalar()
-    return (
-        ranked.join(starts.select(label, "__start"), label)
-        .filter(F.col("__g") - F.col("__start") < smallest)
-        .drop("__g", "__start", "__key")
-    )
+    class, so no class is ever sorted inside a single task.  The last place to keep of each
+    class decides on the rows where they are: one row per class travels."""
+    rows, ranked = _ordered(df, id, seed, [label])
+    ranked = ranked.withColumn("__class", F.col("__at").getField(label))
+    starts = ranked.groupBy("__class").agg(F.min("__r").alias("__start"), F.count(F.lit(1)).alias("__size"))
+    smallest = starts.select(F.min("__size")).scalar()
+    last = ranked.join(starts, "__class").filter(F.col("__r") - F.col("__start") < smallest)
+    last = last.groupBy("__class").agg(F.max("__at").alias("__last"))
+    out = rows.join(F.broadcast(last), F.col(label) == F.col("__class")).filter(F.col("__at") <= F.col("__last"))
+    return out.select(label, *[c for c in df.columns if c != label])
 
 
 def split(df: DataFrame, seed: int = 0, id: str = "id", test_fraction: float = 0.1) -> DataFrame:
     """Add ``split`` ∈ {train, test, valid}.  The held-out part is the first
     ``ceil(10 %)`` rows in the seeded order; its first ``ceil(half)`` rows are
-    ``test`` and the rest ``valid``."""
-    ranked = global_rank(df.withColumn("__key", seeded_key(id, seed)), ["__key", id], rank_col="__r")
-    n = df.select(F.count(F.lit(1))).scalar()
+    ``test`` and the rest ``valid``.  The last places of the two parts decide on the rows where they are."""
+    rows, ranked = _ordered(df, id, seed, [])
+    n = ranked.select(F.count(F.lit(1))).scalar()
     held = F.ceil(n * F.lit(test_fraction))
     test = F.ceil(held * F.lit(0.5))
-    return ranked.withColumn(
+    upto = lambda last: F.max(F.when(F.col("__r") <= last, F.col("__at")))
+    ends = cut_lineage(ranked.agg(upto(test).alias("__test"), upto(held).alias("__held")))
+    return rows.crossJoin(F.broadcast(ends)).withColumn(
         "split",
-        F.when(F.col("__r") <= test, "test").when(F.col("__r") <= held, "valid").otherwise("train"),
-    ).drop("__r", "__key")
+        F.when(F.col("__at") <= F.col("__test"), "test").when(F.col("__at") <= F.col("__held"), "valid").otherwise("train"),
+    ).drop("__at", "__test", "__held")
 
 
 def confusion(df: DataFrame, y: str = "label", p: str = "predicted_label") -> DataFrame:
@@ -138,13 +151,15 @@ def train(df: DataFrame, label: str = "label", tokens: str = "tokens", num_featu
 
     Hashing keeps the feature space fixed, so no vocabulary is collected to the
     driver; IDF and the optimiser are distributed aggregates.  ``label`` must
-    be 0/1.
+    be 0/1.  Every pass of the optimiser sends one gradient of ``num_features`` doubles per
+    partition, so the rows are read in at most two partitions per core.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
 
-    data = df.withColumn("__label", F.col(label).cast("double"))
+    few = 2 * df.sparkSession.sparkContext.defaultParallelism
+    data = df.withColumn("__label", F.col(label).cast("double")).coalesce(few)
     pipe = Pipeline(
         stages=[
             HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=num_features),

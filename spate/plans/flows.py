@@ -38,7 +38,7 @@ def train_relevance(labelled_sets, label: str = "relevant", seed: int = 0, balan
     if balance:
         data = classify.undersample(data, "label", seed=seed)
     data = clean.clean_posts(data, order="id", dedup=False).withColumn("tokens", tx.tokens("text"))
-    data = cut_lineage(classify.split(data, seed=seed))
+    data = classify.split(data, seed=seed)
     model = classify.train(data.filter(F.col("split") == "train"), label="label")
     scored = classify.predict(data.filter(F.col("split") == "test"), model)
     return model, classify.confusion(scored), classify.binary_metrics(scored)

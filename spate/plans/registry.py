@@ -1090,7 +1090,7 @@ def _labelled_tokens(spark, sf_dir):
 
 @register("classifier_metrics")
 def q_classifier_metrics(spark, sf_dir):
-    data = cut_lineage(classify.split(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"), seed=SEED))
+    data = classify.split(_labelled_tokens(spark, sf_dir).withColumnRenamed("relevant", "label"), seed=SEED)
     model = classify.train(data.filter(F.col("split") == "train"), label="label")
     scored = classify.predict(data.filter(F.col("split") != "train"), model)
     return classify.binary_metrics(scored)

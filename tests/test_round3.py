@@ -1,6 +1,6 @@
-"""What travels: RAKE phrases, keys of rejected posts."""
+"""What travels: RAKE phrases, places of a split, keys of rejected posts."""
 
-from spate.operators import phrases
+from spate.operators import classify, phrases
 from spate.sources import posts as src
 
 
@@ -17,6 +17,17 @@ def test_rake_scores_the_phrases_of_one_id_and_position_together(spark):
     assert [tuple(r) for r in phrases.rake(df, n=9).collect()] == [("cat", 5.0), ("red boat", 5.0), ("cat", 1.0)]
 
 
+def test_split_and_undersample_sort_places_only(spark, monkeypatch):
+    seen, rank = [], classify.global_rank
+    monkeypatch.setattr(classify, "global_rank", lambda df, *a, **k: (seen.append(df.columns), rank(df, *a, **k))[1])
+    rows = [(None if i % 3 else i, ["x"] * 5, int(i % 4 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, label int")
+    sizes = {r["split"]: r["count"] for r in classify.split(df).groupBy("split").count().collect()}
+    assert sizes == {"test": 2, "valid": 2, "train": 36}
+    assert {r["label"]: r["count"] for r in classify.undersample(df).groupBy("label").count().collect()} == {0: 10, 1: 10}
+    assert seen and all("tokens" not in c for c in seen)
+
+
 def test_rejects_carry_keys_only(spark):
     rows = [(1, 7, (1,), (["a"],)), (2, 8, (1,), (["a"],)), (3, 7, (9,), (["a"],)), (4, 7, (None,), (["a", "b"],)),
             (5, 7, None, None), (None, 7, (1,), (["b"],)), (6, None, (1,), None), (4, 7, (1,), None)]
