@@ -12,10 +12,12 @@ key and cut at exact counts with a distributed rank, not sampled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,21 +190,47 @@ def predict(df: DataFrame, model) -> DataFrame:
     )
 
 
+# Bytes of a batch that a model of the user's own sees at a time (one row at least); as Python objects some 20 times as much.
+PIECE_BYTES = 2 << 20
+
+
+def _pieces(batch: pa.Array) -> Iterator[pa.Array]:
+    if batch.nbytes <= PIECE_BYTES or len(batch) <= 1:
+        yield batch
+    else:
+        half = len(batch) // 2
+        yield from _pieces(batch.slice(0, half))
+        yield from _pieces(batch.slice(half))
+
+
+def _frame(piece: pa.Array) -> pd.DataFrame:
+    """A struct array as pandas, as Spark gives it to a pandas UDF: timestamps in the session's time zone without it, maps as dicts."""
+    frame = pa.RecordBatch.from_struct_array(piece).to_pandas(maps_as_pydicts="lossy", coerce_temporal_nanoseconds=True)
+    for name in frame.columns:
+        if isinstance(frame[name].dtype, pd.DatetimeTZDtype):
+            frame[name] = frame[name].dt.tz_localize(None)
+    return frame
+
+
 def predict_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]], inputs: list[str]) -> DataFrame:
     """M18 with a model of the user's own: every input column plus ``softmax``, ``predicted_label`` and ``probability``.
 
-    ``load()`` runs once per task, on the executor, and gives a function from an Arrow batch of the columns
-    ``inputs`` to the class probabilities, one row of the same number of classes for each row of the batch.  The
+    ``load()`` runs once per task, on the executor, and gives a function from rows of the columns
+    ``inputs`` (pandas, ``PIECE_BYTES`` of Arrow data at most, so that memory does not follow the length of the rows) to the
+    class probabilities, one row of the same number of classes for each row of the batch.  The
     lowest class wins a tie.  Columns of these three names are replaced.  An empty table gives no rows."""
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for batch in batches:
-            p = np.asarray(model(batch), dtype="float64")
-            if p.ndim != 2 or len(p) != len(batch):
-                raise ValueError(f"the model gave shape {p.shape} for {len(batch)} rows")
-            yield pd.Series(list(p), index=batch.index)
+            for piece in _pieces(batch):
+                frame = _frame(piece)
+                p = np.asarray(model(frame), dtype="float64")
+                if p.ndim != 2 or len(p) != len(frame):
+                    raise ValueError(f"the model gave shape {p.shape} for {len(frame)} rows")
+                ends = np.arange(len(p) + 1, dtype="int32") * p.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(p.reshape(-1)))
 
     names = ("softmax", "predicted_label", "probability")
     # Not deterministic for the optimizer, so that the model runs once per row and not once per use of its result.
@@ -235,6 +263,11 @@ def murmur3(data: bytes, seed: int = 42) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return murmur3(word.encode())
+
+
 class HashedLinear:
     """A fitted ``train`` pipeline as a plain function of token batches, for ``predict_with``; null tokens are none."""
 
@@ -251,7 +284,7 @@ class HashedLinear:
         lists = [[] if x is None else x for x in batch[self.tokens]]
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         code, words = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-        slot = np.array([murmur3(w.encode()) % len(self.weights) for w in words], dtype="int64")
+        slot = np.array([_word_hash(w) % len(self.weights) for w in words], dtype="int64")
         margin = np.bincount(row, self.weights[slot][code], minlength=len(lists)) + self.intercept
         p = 1 / (1 + np.exp(-margin))
         return np.stack([1 - p, p], axis=1)

@@ -1,4 +1,6 @@
-"""What travels: RAKE phrases, places of a split, keys of rejected posts."""
+"""What travels: RAKE phrases, places of a split, pieces of a batch, keys of rejected posts."""
+
+import numpy as np
 
 from spate.operators import classify, phrases
 from spate.sources import posts as src
@@ -28,6 +30,20 @@ def test_split_and_undersample_sort_places_only(spark, monkeypatch):
     assert seen and all("tokens" not in c for c in seen)
 
 
+def test_a_model_of_the_users_own_sees_bounded_pieces(spark):
+    df = spark.range(300).selectExpr("id", "transform(sequence(1, 2000), i -> concat('word', i, '-', id)) as tokens").coalesce(1)
+
+    def load():
+        def model(batch):
+            assert sum(len(w) for x in batch["tokens"] for w in x) < 4 << 20
+            n = np.array([len(x) for x in batch["tokens"]])
+            return np.stack([1 / n, 1 - 1 / n], axis=1)
+        return model
+
+    got = classify.predict_with(df, load, ["tokens"]).agg({"softmax": "min", "predicted_label": "min", "id": "count"}).first()
+    assert sorted(got.asDict().values()) == [0.9995, 1, 300]
+
+
 def test_rejects_carry_keys_only(spark):
     rows = [(1, 7, (1,), (["a"],)), (2, 8, (1,), (["a"],)), (3, 7, (9,), (["a"],)), (4, 7, (None,), (["a", "b"],)),
             (5, 7, None, None), (None, 7, (1,), (["b"],)), (6, None, (1,), None), (4, 7, (1,), None)]
