@@ -72,10 +72,11 @@ def split(df: DataFrame, seed: int = 0, id: str = "id", test_fraction: float = 0
     test = F.ceil(held * F.lit(0.5))
     upto = lambda last: F.max(F.when(F.col("__r") <= last, F.col("__at")))
     ends = cut_lineage(ranked.agg(upto(test).alias("__test"), upto(held).alias("__held")))
-    return rows.crossJoin(F.broadcast(ends)).withColumn(
+    end = lambda part: ends.select(part).scalar()
+    return rows.withColumn(
         "split",
-        F.when(F.col("__at") <= F.col("__test"), "test").when(F.col("__at") <= F.col("__held"), "valid").otherwise("train"),
-    ).drop("__at", "__test", "__held")
+        F.when(F.col("__at") <= end("__test"), "test").when(F.col("__at") <= end("__held"), "valid").otherwise("train"),
+    ).drop("__at")
 
 
 def confusion(df: DataFrame, y: str = "label", p: str = "predicted_label") -> DataFrame:
