@@ -450,6 +450,41 @@ def test_perplexity_equals_a_restatement(spark):
     assert got[2] is None and got[3] is None
 
 
+def test_quality_rules_learns_every_language_and_applies_every_rule(spark):
+    import random
+
+    def text(words, i, more=()):
+        r = random.Random(i)
+        lines = [" ".join(r.choice(words) for _ in range(12)) for _ in range(8)]
+        return "\n".join([*lines, *more])
+
+    a = [x + y for x in ("ri", "sto", "mea", "win", "har", "gar") for y in ("ver", "ne", "dow", "ter", "bour", "den")]
+    b = [x + y for x in ("zw", "vkj", "qqz", "xyw", "jkv", "wzy") for y in ("xqz", "yk", "vvj", "wqx", "zkk", "jjq")]
+    rows_ = [(i, text(a, i), "x") for i in range(40)] + [(100 + i, text(b, i), "y") for i in range(40)]
+    rows_ += [(200 + i, text(b, 50 + i), None) for i in range(40)] + [(300 + i, text(a, 50 + i), "") for i in range(40)]
+    odd_ones = {
+        400: text(b, 90), 401: text(a, 91, [" ".join(["#$%&"] * 40)]), 402: text(a, 92, [w for w in a[:3] for _ in range(9)]),
+        403: " ".join(w * 9 for w in text(a, 93).split()),
+    }
+    df = spark.createDataFrame(rows_ + [(i, t, "x") for i, t in odd_ones.items()], "doc_id long, text string, lang string")
+    got = rows(quality_rules.quality_rules(df))
+    assert all(got[i]["kept"] for i, _, _ in rows_)
+    # Another language's text, symbols, repeated lines, long words.
+    assert not any(got[i]["kept"] for i in odd_ones)
+    assert got[401]["base_failed"] is False and got[403]["base_failed"] is False and got[400]["base_failed"] is False
+    # The same rows when the languages are taken in turn.
+    one = quality_rules.turns({"x": 5, None: 4, "": 3, "y": 3}, most=7)
+    assert one == [["x"], [None, ""], ["y"]] and quality_rules.turns({}) == []
+
+
+def test_quality_rules_in_turns(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i} of some words " * 20, lang) for i, lang in enumerate(["x", "", None, "x"])] + [(9, None, "z")], "doc_id long, text string, lang string")
+    want = rows(quality_rules.quality_rules(df))
+    turns = quality_rules.turns
+    monkeypatch.setattr(quality_rules, "turns", lambda sizes: turns(sizes, most=1))
+    assert rows(quality_rules.quality_rules(df)) == want and len(want) == 5
+
+
 def test_quality_gam(spark, odd, none):
     good = lambda i: " ".join(f"word{(i * 3 + k) % 50} and" for k in range(40)) + "."
     docs = spark.createDataFrame([(i, good(i) if i % 3 else good(i).replace(" and", "$$$ ###")) for i in range(300)], "doc_id long, text string")
