@@ -45,3 +45,17 @@ def test_shuffles_of_a_checkpointed_job_are_freed_and_the_setting_stays(spark):
     session.release(df)
     assert not os.path.exists(path)
     assert session.stored(spark.range(5).select(F.array("id").alias("a"))).count() == 5
+
+
+def test_ngrams_travel_once_and_are_in_order(spark):
+    rows = [(["a", "b", "c", "d"],), (["b", "c", "d", None, "e"],), (["a", "b"],), ([],), (None,), (["z", "b", "c"],)]
+    docs = spark.createDataFrame(rows, "tokens array<string>")
+    got = phrases.ngram_vocabulary(docs, n=2)
+    want = {}
+    for (t,) in rows:
+        for x, y in zip(t or [], (t or [])[1:]):
+            g = " ".join(w for w in (x, y) if w is not None)
+            want[g] = want.get(g, 0) + 1
+    assert [tuple(r) for r in got.collect()] == sorted(want.items(), key=lambda x: (-x[1], x[0]))
+    # Nothing is dealt out by hash and then again by order.
+    assert "hashpartitioning(ngram" not in _plan(got)
