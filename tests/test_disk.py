@@ -59,3 +59,14 @@ def test_ngrams_travel_once_and_are_in_order(spark):
     assert [tuple(r) for r in got.collect()] == sorted(want.items(), key=lambda x: (-x[1], x[0]))
     # Nothing is dealt out by hash and then again by order.
     assert "hashpartitioning(ngram" not in _plan(got)
+
+
+@pytest.mark.parametrize("words", [1, 7, 500_000])
+def test_rake_scores_phrases_where_they_lie(spark, monkeypatch, words):
+    texts = [(i, f"big red river{i % 5}, the slow river{i % 3} of big rain. Red river flood big big rain") for i in range(20)] + [(1, "slow rain"), (None, "red rain")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    want = [tuple(r) for r in phrases.rake(df, n=50).collect()]
+    monkeypatch.setattr(phrases, "RAKE_SENT_WORDS", words)
+    got = phrases.rake(df.filter("id > 1"), n=50)
+    assert "Join" not in _plan(got) and got.count() > 5
+    assert [tuple(r) for r in phrases.rake(df, n=50).collect()] == want
