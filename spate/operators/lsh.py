@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spate.operators.similarity import as_double_array, later_like_earlier, norm, own_vectors, similar_pairs, tile_cogroups
-from spate.session import cut_lineage
+from spate.session import cut_lineage, release
 
 #: Cost of sending one row to a bucket, in comparisons of two rows in a tile.
 SEND = 200
 MOST_BITS = 30
+#: Copies of the rows that are sent in one turn, if one table does not need more.
+MOST_COPIES = 16
+#: So many counts of buckets are sent to every task (some 30 bytes each).
+MOST_CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -59,8 +63,9 @@ def lsh_plan(rows: int, thr: float, recall: float = 0.95, seed: int = 1) -> LshP
     return best[1]
 
 
-def _codes(rows: DataFrame, plan: LshPlan, d: int, probes: bool) -> DataFrame:
+def _codes(rows: DataFrame, plan: LshPlan, d: int, probes: bool, tables: range | None = None) -> DataFrame:
     """``rows`` (id, ord, v, n) once per table (and, as probes, per neighbouring code): __bx the table, __by the code."""
+    tables = range(plan.tables) if tables is None else tables
     matrix = rows.sparkSession.sparkContext.broadcast(plan.directions(d))  # d x tables x bits numbers
     schema = f"__id long, __o long, __vec {rows.schema['v'].dataType.simpleString()}, __nrm double, __bx int, __by long"
 
@@ -72,7 +77,7 @@ def _codes(rows: DataFrame, plan: LshPlan, d: int, probes: bool) -> DataFrame:
             sign = ((v @ matrix.value).reshape(len(v), plan.tables, plan.bits) >= 0).astype(np.int64)
             own = sign @ (1 << np.arange(plan.bits, dtype=np.int64))
             flips = np.concatenate(([0], 1 << np.arange(plan.bits if probes else 0, dtype=np.int64)))
-            for t in range(plan.tables):
+            for t in tables:
                 code = (own[:, t, None] ^ flips[None, :]).ravel()
                 at = pa.array(np.repeat(np.arange(len(v)), len(flips)))
                 yield pa.RecordBatch.from_arrays(
@@ -99,8 +104,8 @@ def _cosines(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / (batch.column(a + 1).to_numpy() * batch.column(b + 1).to_numpy())
 
 
-def _like_first(index: DataFrame, thr: float) -> DataFrame:
-    """Ids of rows similar to the earliest row of one of their buckets."""
+def _like_first(asked: DataFrame, index: DataFrame, thr: float) -> DataFrame:
+    """Ids of the rows ``asked`` that are similar to the earliest row of one of their buckets in ``index``."""
     first = index.groupBy("__bx", "__by").agg(
         F.min("__o").alias("fo"), F.min_by(F.struct("__vec", "__nrm"), "__o").alias("f")
     ).select("__bx", "__by", "fo", F.col("f.__vec").alias("fv"), F.col("f.__nrm").alias("fn"))
@@ -110,10 +115,40 @@ def _like_first(index: DataFrame, thr: float) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(_cosines(batch, 1, 3) > thr))], names=["__id"])
 
-    pairs = index.join(first, ["__bx", "__by"]).filter("__o > fo").select("__id", "__vec", "__nrm", "fv", "fn")
+    pairs = asked.join(first, ["__bx", "__by"]).filter("__o > fo").select("__id", "__vec", "__nrm", "fv", "fn")
     return pairs.mapInArrow(run, "__id long").distinct()
 
 
+def _dropped(leaders: DataFrame, plan: LshPlan, d: int, thr: float) -> DataFrame:
+    """(__id): the leaders with an earlier one of cosine > ``thr`` among their candidates.
+
+    The tables are taken a few at a time, so that the disk holds few copies of the rows, and what one turn has dropped
+    is asked no more.  First against the earliest row of the own bucket, then against all rows of all probed buckets."""
+    gone = leaders.select(F.col("id").alias("__id")).limit(0)
+
+    def turn(tables: range, probes: bool, found) -> None:
+        nonlocal gone
+        left = leaders.join(gone, leaders["id"] == gone["__id"], "left_anti")
+        index = _codes(leaders, plan, d, False, tables)
+        before, gone = gone, cut_lineage(gone.unionByName(found(_codes(left, plan, d, probes, tables), index).distinct()))
+        release(before)
+
+    gone = cut_lineage(gone)
+    for tables in _turns(plan.tables, MOST_COPIES // 2):
+        turn(tables, False, lambda asked, index: _like_first(asked, index, thr))
+    for tables in _turns(plan.tables, MOST_COPIES // (2 + plan.bits)):
+        turn(tables, True, lambda asked, index: tile_cogroups(asked, index, few=len(tables) << plan.bits <= MOST_CELLS).applyInPandas(
+            lambda p, e: later_like_earlier(p, e, thr), schema="__id long"
+        ))
+    return gone
+
+
+def _turns(tables: int, at_once: int) -> list[range]:
+    """The numbers of the tables, ``at_once`` (1 at least) in each turn."""
+    step = max(at_once, 1)
+    return [range(k, min(k + step, tables)) for k in range(0, tables, step)]
+
+
 def drop_near_duplicates_lsh(
     df: DataFrame, vec: str = "embedding", order: str = "ord", id: str = "id", thr: float = 0.8, recall: float = 0.95, seed: int = 1
 ) -> DataFrame:
@@ -128,12 +163,7 @@ def drop_near_duplicates_lsh(
     # Of equal vectors only the rows of the earliest order have no earlier copy.
     copies = rows.join(first.select("v", F.col("ord").alias("fo")), "v").filter("ord > fo").select("id")
     plan = lsh_plan(leaders.count(), thr, recall, seed)
-    index = _codes(leaders, plan, d, probes=False)
-    gone = cut_lineage(_like_first(index, thr))
-    left = leaders.join(gone, leaders["id"] == gone["__id"], "left_anti")
-
-    more = tile_cogroups(_codes(left, plan, d, probes=True), index).applyInPandas(lambda p, e: later_like_earlier(p, e, thr), schema="__id long")
-    out = gone.unionByName(more).select(F.col("__id").alias("id"))
+    out = _dropped(leaders, plan, d, thr).select(F.col("__id").alias("id"))
     # Rows that share a dropped leader's vector and order go with it.
     same = rows.join(leaders.join(out, "id", "left_semi").select("v"), "v", "left_semi").select("id")
     dropped = same.unionByName(copies).distinct().withColumnRenamed("id", "__gone")

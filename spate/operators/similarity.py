@@ -163,15 +163,17 @@ def later_like_earlier(p, e, thr: float):
     return pd.DataFrame({"__id": p["__id"].to_numpy()[hit].astype("int64")})
 
 
-def tile_cogroups(probes: DataFrame, earlier: DataFrame):
+def tile_cogroups(probes: DataFrame, earlier: DataFrame, few: bool = False):
     """Cogroups of the rows of each cell (``__bx``, ``__by``): every tile of about TILE
-    probe rows with every tile of rows to compare them with."""
+    probe rows with every tile of rows to compare them with.  ``few``: the cells' counts
+    are sent to every task, so that no vector is shuffled to meet its cell's count."""
 
     def tiles(frame, name):
         return frame.groupBy("__bx", "__by").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias(name))
 
     tp, te = tiles(probes, "__np"), tiles(earlier, "__ne")
     counts = tp.join(te, ["__bx", "__by"])  # cells with both sides only
+    counts = F.broadcast(counts) if few else counts
     p = probes.join(counts, ["__bx", "__by"]).select(
         "*",
         F.pmod(F.xxhash64("__id"), F.col("__np")).cast("int").alias("__tp"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spate import session
-from spate.operators import phrases
+from spate.operators import lsh, phrases
 
 
 def _plan(df):
@@ -70,3 +70,22 @@ def test_rake_scores_phrases_where_they_lie(spark, monkeypatch, words):
     got = phrases.rake(df.filter("id > 1"), n=50)
     assert "Join" not in _plan(got) and got.count() > 5
     assert [tuple(r) for r in phrases.rake(df, n=50).collect()] == want
+
+
+def test_lsh_sends_few_copies_of_the_rows_at_once(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(300, 8))
+    v = np.concatenate([v, v[:100] + 0.01]).tolist()
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate(v)], "id long, ord long, embedding array<double>")
+    plan = lsh.LshPlan(bits=4, tables=5, seed=1)
+    monkeypatch.setattr(lsh, "lsh_plan", lambda *a: plan)
+    sent, codes = [], lsh._codes
+    monkeypatch.setattr(lsh, "_codes", lambda rows, plan, d, probes, tables=None: sent.append(len(tables or range(plan.tables)) * (1 + plan.bits * probes)) or codes(rows, plan, d, probes, tables))
+    kept = [sorted(r["id"] for r in lsh.drop_near_duplicates_lsh(df, thr=0.9, recall=0.999).collect())]
+    monkeypatch.setattr(lsh, "MOST_COPIES", 1)
+    monkeypatch.setattr(lsh, "MOST_CELLS", 0)
+    sent.clear()
+    kept.append(sorted(r["id"] for r in lsh.drop_near_duplicates_lsh(df, thr=0.9, recall=0.999).collect()))
+    assert max(sent) == plan.bits + 1
+    assert kept[0] == kept[1] and set(range(300, 400)).isdisjoint(kept[0])
