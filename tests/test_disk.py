@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spate import session
-from spate.operators import lsh, phrases
+from spate.operators import geo, lsh, phrases
 
 
 def _plan(df):
@@ -89,3 +89,14 @@ def test_lsh_sends_few_copies_of_the_rows_at_once(spark, monkeypatch):
     kept.append(sorted(r["id"] for r in lsh.drop_near_duplicates_lsh(df, thr=0.9, recall=0.999).collect()))
     assert max(sent) == plan.bits + 1
     assert kept[0] == kept[1] and set(range(300, 400)).isdisjoint(kept[0])
+
+
+def test_toponym_hits_are_dealt_out_by_post_once(spark):
+    posts = spark.createDataFrame([(1, "In New York City, new york and York!"), (3, "new york"), (None, "York new"), (2, None)], "id long, text string")
+    places = spark.createDataFrame(
+        [(n, "US", i, 0.5) for i, n in enumerate(["New York", "York", "New York City", "city"])], "name string, country_code string, place_id long, importance double"
+    )
+    got = geo.extract_toponyms(posts, places)
+    assert _plan(got).count("hashpartitioning(id") == 1
+    want = [(1, 1, "New York City,"), (1, 4, "new york"), (1, 7, "York!"), (3, 0, "new york"), (None, 0, "York")]
+    assert sorted(map(tuple, got.collect()), key=str) == want
