@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spate.operators.blocks import Blocks
 from spate.operators.components import components
 from spate.operators.groups import global_rank
 from spate.session import cut_lineage
@@ -208,11 +209,12 @@ def kmeans(vectors: DataFrame, k: int = 5, seed: int = 1, features: str = "featu
     return model, model.transform(vectors)
 
 
-def project_2d(weights: DataFrame, ids: DataFrame, seed: int = 1) -> DataFrame:
+def project_2d(weights: DataFrame | Blocks, ids: DataFrame, seed: int = 1) -> DataFrame:
     """``(id, x, y)``, a 2-D layout of TF-IDF rows ``(id, term, weight)`` over all their terms: the two leading
     principal components.  ``ids`` lists every row; rows without weights lie where an empty row does."""
-    from spate.operators.spectral import coordinates, leading_vectors
+    from spate.operators.spectral import coordinates, leading_vectors, packed_rows
 
+    weights = packed_rows(weights)
     ids = ids.select("id").distinct()
     _, vectors, means = leading_vectors(weights, 2, n_docs=ids.count(), centre=True, seed=seed)
     xy = coordinates(weights, ids, vectors, means)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spate import session
-from spate.operators import geo, lsh, phrases
+from spate.operators import blocks, geo, lsh, phrases, terms
 
 
 def _plan(df):
@@ -100,3 +100,34 @@ def test_toponym_hits_are_dealt_out_by_post_once(spark):
     assert _plan(got).count("hashpartitioning(id") == 1
     want = [(1, 1, "New York City,"), (1, 4, "new york"), (1, 7, "York!"), (3, 0, "new york"), (None, 0, "York")]
     assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_rounds_leave_one_table(spark):
+    import numpy as np
+
+    from spate.operators.spectral import leading_vectors
+
+    rng = np.random.default_rng(2)
+    m = rng.random((40, 120)) * (rng.random((40, 120)) < 0.3)
+    rows = [(int(i), f"t{j}", float(m[i, j])) for i, j in zip(*m.nonzero())]
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    count = lambda: sum(len([f for f in files if f.startswith("part-")]) > 0 for _, _, files in os.walk(folder))
+    packed = blocks.of_entries(spark.createDataFrame(rows, "id long, term string, weight double"))
+    before = count()
+    leading_vectors(packed, 2)
+    assert count() - before <= 1
+
+
+def test_weights_in_blocks_equal_the_rows(spark):
+    docs = _texts(spark).unionAll(spark.createDataFrame([(None, ["alpha", "x"]), (99, [])], "id long, tokens array<string>"))
+    rows = {(r["id"], r["term"]): r["weight"] for r in terms.tfidf(docs).collect()}
+    packed = terms.tfidf(docs, in_blocks=True)
+    want = {}
+    for (_, t), w in rows.items():
+        want[t] = want.get(t, 0) + w
+    assert {r["term"]: r["total"] for r in packed.totals().collect()} == pytest.approx(want)
+    from spate.operators import topics
+
+    a, b = ([tuple(r) for r in topics.lsi(w, k=2).orderBy("component", "rank").collect()] for w in (terms.tfidf(docs), packed))
+    assert len(a) == len(b) and all(x[2] == pytest.approx(y[2], abs=1e-6) for x, y in zip(a, b))
+    assert {x[:1] + (round(x[3], 8),) for x in a} == {x[:1] + (round(x[3], 8),) for x in b}
